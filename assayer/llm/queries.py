@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import decontaminate
+from assayer.llm import decontaminate, near_dup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,12 @@ def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_suffix_decontamination,)}
+    return {f.__name__: f for f in (op7_suffix_decontamination, op9_superminhash_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
