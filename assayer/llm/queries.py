@@ -5,24 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, near_dup
+from assayer.llm import decontaminate, html_text, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_optimal_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op2_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"), 8)
+
+
+def op3_ownership_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(_table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
+def op4_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(_table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op6_ngram_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ruled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_suffix_decontamination, op9_superminhash_near_dup)}
+    every = (
+        op1_optimal_length_packing,
+        op2_vector_bin_sharding,
+        op3_ownership_secret_scan,
+        op4_information_theoretic_pii,
+        op5_nearest_url_extraction,
+        op6_ngram_likelihood_quality,
+        op7_suffix_decontamination,
+        op8_bucket_pointer_dedup,
+        op9_superminhash_near_dup,
+        op10_levenshtein_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
