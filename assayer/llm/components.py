@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from assayer.llm._store import stored
 
 MAX_ROUNDS = 60
+#: edges in a file of a round's table
+FILE_ROWS = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,20 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     are written to the shared folder. Self loops and nulls are ignored; no edges give an empty result.
     """
     now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    before = None
     for _ in range(MAX_ROUNDS):
+        # settled when every node above some other has one edge, to a node that has no edge down itself
+        n = now.count()
+        if now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
         # large star: each neighbour above u goes to the smallest of u and its neighbours
         both = now.union(now.select("u", "v"))  # v: the node, u: its neighbour
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("m").alias("v"), "u").where("u <> v").distinct()
+        large = both.where("u > v").join(low, "v").select(F.col("m").alias("v"), "u")
         # small star: each neighbour below u, and u, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        now = stored(small.union(least.select(F.col("m").alias("v"), "u")).distinct(), "edges")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == before:
-            break
-        before = seen
+        now = stored(small.union(least.select(F.col("m").alias("v"), "u")).distinct().coalesce(-(-n // FILE_ROWS)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

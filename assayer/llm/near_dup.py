@@ -29,7 +29,7 @@ from assayer.llm.components import components
 
 SLOTS, ROWS, BANDS = 128, 4, 24
 #: members of a block; shingles of a block
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: pairs at the threshold have this many equal slots or more, but for about one in two million
 LEAST_EQUAL = 0.6
 _SKETCH = "doc_id long, n_shingles long, key binary, sig binary, bands array<long>"
@@ -142,7 +142,7 @@ class _Group:
         self.sigs: list[bytes] = []
 
     def links(self) -> list[tuple[int, int]]:
-        """A confirmed link for each two parts that one joins; pairs of two members that are not `alone` are left out."""
+        """(part, part) for each confirmed link that joins two parts; pairs of two members that are not `alone` are left out."""
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -155,28 +155,31 @@ class _Group:
         alone = np.array(self.alone)
         size = np.array([len(s) for s in self.sets])
         least = int(LEAST_EQUAL * sig.shape[1])
-        pairs = []
+        found = []
         for i in range(len(self.node) - 1):
             small, large = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-            j = np.flatnonzero((100 * small >= self.percent * large) & (alone[i] | alone[i + 1 :]))
+            j = i + 1 + np.flatnonzero((100 * small >= self.percent * large) & (alone[i] | alone[i + 1 :]))
             if len(j):
-                equal = (sig[i + 1 + j] == sig[i]).sum(axis=1)
-                pairs += [(-e, i, i + 1 + k) for e, k in zip(equal.tolist(), j.tolist(), strict=True) if e >= least]
+                equal = np.count_nonzero(sig[j] == sig[i], axis=1)
+                found.append(np.stack([equal, np.full(len(j), i), j])[:, equal >= least])
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        pairs = pairs[1:, np.argsort(-pairs[0], kind="stable")].T.tolist()
         out = []
-        for _, i, j in sorted(pairs):
+        for i, j in pairs:
             a, b = find(self.part[i]), find(self.part[j])
             if a != b:
                 s, t = self.sets[i], self.sets[j]
                 both = np.sort(np.concatenate([s, t]))
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= self.percent * (len(s) + len(t) - common):
-                    root[a] = b
-                    out.append((self.node[i], self.node[j]))
+                    root[max(a, b)] = min(a, b)
+                    out.append((a, b))
         return out
 
 
 def _confirmed(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of `rows` (g, node, part, alone, sig, text); a task streams its groups one by one."""
+    """Links (a, b) between parts within each group of `rows` (g, node, part, alone, sig, text); each joins two parts that those
+    before it in its group leave apart. A task streams its groups one by one."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, _Group(percent), []
@@ -215,25 +218,24 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
     dealt = member.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # whole texts are shuffled here, once; what follows reads the members only
     held = stored(dealt.select("component", "blocks", "block", "node", "sig").join(texts.withColumnRenamed("doc_id", "node"), "node"), "members")
 
     links = stored(_confirmed(held.selectExpr("concat_ws(':', component, block) as g", "node", "node as part", "true as alone", "sig", "text"), size, percent), "links")
     many = held.where("blocks > 1")
     if not many.isEmpty():
-        links = stored(links.union(_between_blocks(many, links, size, percent)), "links")
-    part = components(links)
+        links = _between_blocks(many, links, size, percent)
     rows = sketch.select("doc_id", "n_shingles", "key").join(nodes.select("key", "node"), "key", "left")
-    rows = rows.join(part, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    rows = rows.join(components(links), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def _between_blocks(many: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between blocks of the same candidate group."""
-    known = many.select("component", "blocks", "block", "node", "sig", "text")
+    """`links` and those between blocks of the same candidate group."""
 
     def parted(links: DataFrame) -> DataFrame:
-        own = components(links).withColumnRenamed("component", "part")
-        return known.join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        own = components(links.join(many.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("component", "part")
+        return many.join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
 
     # every block with the first one; the first goes to each other block
     to_first = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))

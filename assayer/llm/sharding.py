@@ -5,9 +5,10 @@ the shard where the dot product of its vector with the shard's residual capacity
 measured in shares of the totals.
 
 Placing every group one by one would be a driver loop as long as the data. So groups below 1/`BUNDLES` of each total share
-`BUNDLES` bundles by the hash of their text, and a group above that, of which there can be `3 * BUNDLES` at most, is cut into
-pieces below it by the hash of doc_id. The driver sees at most `7 * BUNDLES` vectors however large the input is, and a hot group
-spreads over the shards. The law that holds is `bytes`: sizes of shards are near equal, within a bundle or one text.
+`BUNDLES` bundles by the hash of their text; a group above that, of which there can be `3 * BUNDLES` at most, is placed by itself,
+and whole unless it holds more than 1/`PARTS` of a shard, when it is cut into pieces of about that size by the hash of doc_id.
+The driver sees a number of vectors that depends on these parameters only, and a hot group spreads over the shards. The law that
+holds is `bytes`: sizes of shards are near equal, within a small part of one.
 
 Defined cases: a null text has no bytes or tokens and is a group of its own with empty texts; its size is 1, as an empty text's;
 an empty table gives no rows; rows that repeat doc_id and text are rows of one group, each with a slot of its own; extra columns
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from assayer.llm._store import numbered, stored
 
 SHARDS = 8
-BUNDLES = 2048
+BUNDLES, PARTS = 2048, 16
 _AXES = ("bytes", "tokens", "rows")
 
 
@@ -71,14 +72,15 @@ def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     )
     rows = stored(features, "features")
     total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "tokens")), F.count(F.lit(1))).first()
-    limit = [max(1, -(-t // BUNDLES)) for t in total]
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    pieces = F.greatest(*(F.ceil(F.col(c) / F.lit(x)) for c, x in zip(_AXES, limit, strict=True))).cast("long")
-    hot = groups.withColumn("pieces", pieces).where((F.col("pieces") > 1) & (F.col("rows") > 1)).select("key", "pieces")
-    bundle = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("key"), F.lit(BUNDLES)))
+    share = F.greatest(*(F.col(c) / F.lit(float(max(1, t))) for c, t in zip(_AXES, total, strict=True)))
+    pieces = F.when(F.col("rows") > 1, F.least(F.ceil(share * n * PARTS), F.col("rows"))).otherwise(1).cast("long")
+    large = groups.where(share > 1 / BUNDLES).select("key", pieces.alias("pieces"))
+    bundle = F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("string")
     piece = F.concat_ws(":", F.hex("key"), F.pmod(F.xxhash64("doc_id"), F.col("pieces")))
-    # hot groups hold 1/BUNDLES of a total each, so there are 3 * BUNDLES at most, of a few dozen bytes
-    dealt = stored(rows.join(F.broadcast(hot), "key", "left").select("doc_id", "size", "text_crc32", "tokens", F.coalesce(bundle.cast("string"), piece).alias("item")), "items")
+    # large groups hold 1/BUNDLES of a total each, so there are 3 * BUNDLES at most, of a few dozen bytes
+    item = F.when(F.col("pieces").isNull(), bundle).otherwise(piece).alias("item")
+    dealt = stored(rows.join(F.broadcast(large), "key", "left").select("doc_id", "size", "text_crc32", "tokens", item), "items")
     items = dealt.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).orderBy("item").collect()
     where = place(np.array([[r[a] for a in _AXES] for r in items], dtype=np.int64).reshape(-1, 3), n)
     table = docs.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, where, strict=True)], "item string, shard int")
