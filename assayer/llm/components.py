@@ -10,6 +10,8 @@ from assayer.llm._store import stored
 MAX_ROUNDS = 60
 #: edges in a file of a round's table
 FILE_ROWS = 500_000
+#: tasks at least that share the neighbours of a hot node
+SALTS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,8 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round links a node's neighbours to the smallest of
     them, until every component is a star around its smallest node. A node's minimum is pre-aggregated before the shuffle and
-    joined back, so that no task gathers a hot node's neighbours; adaptive execution splits such a join key. Each round's edges
-    are written to the shared folder. Self loops and nulls are ignored; no edges give an empty result.
+    joined back by node and salt, so that no task gathers a hot node's neighbours. Each round's edges are written to the shared
+    folder. Self loops and nulls are ignored; no edges give an empty result.
     """
     now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
@@ -29,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each neighbour above u goes to the smallest of u and its neighbours
         both = now.union(now.select("u", "v"))  # v: the node, u: its neighbour
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("m").alias("v"), "u")
+        salted = both.where("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        large = salted.join(spread, ["v", "salt"]).select(F.col("m").alias("v"), "u")
         # small star: each neighbour below u, and u, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))

@@ -154,12 +154,14 @@ def _refined(rows: DataFrame, length: int, tag: str) -> tuple[DataFrame, DataFra
     """(spans (tid, start, end) of rows that another row equals, rows left undecided): of a bucket h with different runs u, the
     undecided ones and one of each decided, against which they may match in part."""
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
-    mixed_ = F.col("u0") != F.col("u1")
-    kept = stored(rows.join(often.select("h", mixed_.alias("mixed")), "h"), f"{tag}-buckets")
+    # written, so that the joins shuffle their sides for themselves and can split a hot bucket
+    often = stored(often.select("h", (F.col("u0") != F.col("u1")).alias("mixed")), f"{tag}-often")
+    kept = stored(rows.join(often, "h"), f"{tag}-buckets")
     runs = kept.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("tid", "p", "low", "high")).alias("one"))
+    runs = stored(runs, f"{tag}-runs")
     twice = runs.where("n > 1").select("h", "u")
     equal = kept.join(twice, ["h", "u"], "left_semi").select("tid", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + length).alias("end"))
-    return equal, stored(runs.where("mixed").select("one.*"), f"{tag}-left")
+    return equal, runs.where("mixed").select("one.*")
 
 
 def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -224,6 +226,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         more, left = _refined(blocks, length, "blocks")
         windows = stored(_with_text(texts, left).mapInArrow(_windows(length), "h long, tid binary, s int"), "windows")
         twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        twice = stored(twice, "twice")
         last = windows.join(twice, "h", "left_semi").select("tid", F.col("s").alias("start"), (F.col("s") + length).alias("end"))
         every = spans.union(more).union(last).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         done = texts.join(every.hint("shuffle_hash"), "tid", "left").select("tid", "text", "spans")
