@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator, with the SQL that each must equal."""
 
-from assayer.plans import areas, selection
+from assayer.plans import areas, selection, texts
 from assayer.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "areas", "selection"]
+__all__ = ["QUERIES", "SQL", "areas", "selection", "texts"]
