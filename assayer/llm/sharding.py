@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from assayer.llm._store import numbered, stored
 
 SHARDS = 8
-BUNDLES, PARTS = 2048, 16
+BUNDLES, PARTS = 2048, 4
 _AXES = ("bytes", "tokens", "rows")
 
 
