@@ -117,8 +117,8 @@ def logistic(rows: DataFrame, keys: list[str], features: list[str], c: float = 1
 
 
 def out_of_fold(rows: DataFrame, keys: list[str], sample: str, features: list[str], c: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities of `rows` (keys, sample, label, fold, k, features): features standardised on the training folds."""
-    each = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    """Out-of-fold probabilities of `rows` (keys, sample, label, fold, n_folds, features): features standardised on the training folds."""
+    each = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("n_folds").cast("int") - 1)))
     by = [*keys, "held"]
     train = each.where("fold <> held")
     stats = train.groupBy(*by).agg(*(f(x).alias(f"_{n}_{x}") for x in features for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))

@@ -103,11 +103,11 @@ def permuted(samples: DataFrame, keys: list[str], sample: str, value: str, seed:
 
 
 def folds(samples: DataFrame, keys: list[str], sample: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
-    """Repeated stratified folds: `fold` by hash order within each label, modulo k; k = min(max(2, n_splits), rarest class)."""
-    by = samples.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.least(F.lit(max(2, n_splits)), F.min("_n")).alias("k"))
+    """Repeated stratified folds: `fold` by hash order within each label, modulo `n_folds` = min(max(2, n_splits), rarest class)."""
+    by = samples.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.least(F.lit(max(2, n_splits)), F.min("_n")).alias("n_folds"))
     each = replicates(samples, repeats).join(by, keys)
     order = F.md5(F.concat_ws(":", (F.lit(seed) + 1009 * F.col("rep")).cast("string"), F.col(sample).cast("string")))
-    return each.withColumn("fold", (F.pmod(F.row_number().over(W.partitionBy(*keys, "rep", "label").orderBy(order, sample)) - 1, F.col("k"))).cast("int"))
+    return each.withColumn("fold", (F.pmod(F.row_number().over(W.partitionBy(*keys, "rep", "label").orderBy(order, sample)) - 1, F.col("n_folds"))).cast("int"))
 
 
 def budgeted(samples: DataFrame, keys: list[str], sample: str, size: int, seed: int) -> DataFrame:

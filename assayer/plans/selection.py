@@ -195,8 +195,8 @@ def cv1_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT slug, task, round(avg(auc), 9) AS auroc FROM {area_sql('o', 'slug, task, rep')} GROUP BY ALL"
 )
 def cv3_locked_sign_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = scores(spark, sf_dir, ["inverse"]).join(_folds(spark, sf_dir).select("slug", "task", "sample_idx", "rep", "fold", "k"), [*DEPLOYMENT, "sample_idx"])
-    each = held.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    held = scores(spark, sf_dir, ["inverse"]).join(_folds(spark, sf_dir).select("slug", "task", "sample_idx", "rep", "fold", "n_folds"), [*DEPLOYMENT, "sample_idx"])
+    each = held.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("n_folds").cast("int") - 1)))
     train = auroc.ranked_area(each.where("fold <> held"), [*DEPLOYMENT, "rep", "held"])
     signs = train.select(*DEPLOYMENT, "rep", F.col("held").alias("fold"), F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("sign"))
     out = held.join(signs, [*DEPLOYMENT, "rep", "fold"]).withColumn("score", F.col("score") * F.col("sign"))
