@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # settled when every node above some other has one edge, to a node that has no edge down itself
         n = now.count()
-        if now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         # large star: each neighbour above u goes to the smallest of u and its neighbours
         both = now.union(now.select("u", "v"))  # v: the node, u: its neighbour

@@ -70,5 +70,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_SPACED = r"coalesce(regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+'), [])"
+
+#: every window of an item against every place of a document; runs of places on one diagonal make the longest matches
+_OP7 = f"""WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents), items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+windows AS (SELECT item, j, least(10, len(w)) AS n, array_to_string(w[j : j + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM items WHERE len(w) > 0)),
+places AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT doc_id, item, p, j, n FROM places JOIN windows USING (n, g)),
+cover AS (SELECT doc_id, count(DISTINCT c) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS c FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+runs AS (SELECT doc_id, max(p + n) - min(p) AS size, min(p) - 1 AS start FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, p - j ORDER BY p) AS island FROM hits) GROUP BY doc_id, item, p - j, island),
+longest AS (SELECT doc_id, size, start FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, start) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(size, 0) AS BIGINT) AS longest_match, CAST(coalesce(start, -1) AS BIGINT) AS match_start
+FROM docs d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)"""
+
+#: all pairs of documents that share a shingle, and the closure of their links
+_OP9 = f"""WITH RECURSIVE docs AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+parts AS (SELECT a AS doc_id, min(b) AS part FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(part, doc_id) AS component_id, coalesce(part, doc_id) = doc_id AS kept FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator; the others are tested against brute force."""
+    return {"op7_suffix_decontamination": _OP7, "op9_superminhash_near_dup": _OP9}
