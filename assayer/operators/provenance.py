@@ -44,6 +44,23 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def bits(df: DataFrame, value: str) -> DataFrame:
-    """Adds the hex digits of a double's bytes, for bitwise comparison."""
-    return df.withColumn(f"{value}_bits", F.hex(F.encode(F.col(value).cast("string"), "utf-8")))
+def inventory(files: DataFrame, group: str) -> DataFrame:
+    """One map from path to hash for each group of files (path, sha256), in order of paths."""
+    listed = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+    return files.groupBy(group).agg(F.map_from_entries(listed).alias("files"), F.count(F.lit(1)).alias("n"))
+
+
+def module_hashes(package: str) -> dict[str, str]:
+    """SHA-256 of each source file of an installed package, on the driver; it records which code made a result."""
+    import hashlib
+    import importlib
+    from pathlib import Path
+
+    root = Path(importlib.import_module(package).__file__).parent
+    return {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
+
+
+def bitwise_equal(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Key and whether both sides hold the same double, or none."""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full_outer")
+    return both.select(*keys, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))

@@ -117,3 +117,21 @@ def budgeted(samples: DataFrame, keys: list[str], sample: str, size: int, seed:
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample).cast("string")))
     place = F.row_number().over(W.partitionBy(*keys, "label").orderBy(order, sample))
     return samples.select("*", quota.alias("_quota"), place.alias("_place")).where("_place <= _quota").drop("_quota", "_place")
+
+
+def swapped(pairs: DataFrame, keys: list[str], stem: str, seed: Column, into: str = "swapped") -> DataFrame:
+    """Labels of exact {0, 1} pairs, exchanged within a stem where its hash bit says so. Every stem keeps one of each label."""
+    return pairs.withColumn(into, F.when(draw(F.lit(2), seed, *(F.col(k) for k in keys), F.col(stem)) == 1, 1 - F.col("label")).otherwise(F.col("label")))
+
+
+def unpaired(rows: DataFrame, keys: list[str], stem: str) -> DataFrame:
+    """Stems that are not exact {0, 1} pairs; a swap needs that there are none."""
+    by = rows.groupBy(*keys, stem).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), F.count_distinct("label").alias("labels"))
+    return by.where("n <> 2 or labels <> 2")
+
+
+def budgeted_stems(rows: DataFrame, keys: list[str], stem: str, size: int, seed: int) -> DataFrame:
+    """Whole pairs up to an even budget of rows: the first size / 2 stems of each key in hash order."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(stem).cast("string")))
+    place = F.dense_rank().over(W.partitionBy(*keys).orderBy(order, stem))
+    return rows.withColumn("_place", place).where(F.col("_place") <= size // 2).drop("_place")
