@@ -26,7 +26,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of `stored` frames that nothing reads any more; results that are still lazy must not depend on them."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], into: str, rows_per_cell: int = 20_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._store import stored
+from assayer.llm._store import forget, stored
 
 MAX_ROUNDS = 60
 #: edges in a file of a round's table
@@ -37,7 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each neighbour below u, and u, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        now = stored(small.union(least.select(F.col("m").alias("v"), "u")).distinct().coalesce(-(-n // FILE_ROWS)), "edges")
+        before, now = now, stored(small.union(least.select(F.col("m").alias("v"), "u")).distinct().coalesce(-(-n // FILE_ROWS)), "edges")
+        forget(before)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._scratch = now._scratch  # the caller may forget it
+    return out

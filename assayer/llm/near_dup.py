@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._store import stored
+from assayer.llm._store import forget, stored
 from assayer.llm._words import NOT_SPACE, Words, grams, mixed, powers, slices
 from assayer.llm.components import components
 
@@ -220,13 +220,16 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     dealt = member.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # whole texts are shuffled here, once; what follows reads the members only
     held = stored(dealt.select("component", "blocks", "block", "node", "sig").join(texts.withColumnRenamed("doc_id", "node"), "node"), "members")
+    forget(candidate)
 
     links = stored(_confirmed(held.selectExpr("concat_ws(':', component, block) as g", "node", "node as part", "true as alone", "sig", "text"), size, percent), "links")
     many = held.where("blocks > 1")
     if not many.isEmpty():
         links = _between_blocks(many, links, size, percent)
+    part = components(links)
+    forget(held, links)
     rows = sketch.select("doc_id", "n_shingles", "key").join(nodes.select("key", "node"), "key", "left")
-    rows = rows.join(components(links), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    rows = rows.join(part, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -240,7 +243,7 @@ def _between_blocks(many: DataFrame, links: DataFrame, size: int, percent: int)
     # every block with the first one; the first goes to each other block
     to_first = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))
     first = parted(links).withColumn("with", F.explode(to_first)).selectExpr("concat_ws(':', component, 'first', with) as g", "node", "part", "true as alone", "sig", "text")
-    links = stored(links.union(_confirmed(first, size, percent)), "links")
+    within, links = links, stored(links.union(_confirmed(first, size, percent)), "links")
     # members outside the group's largest part, in chunks, with every block
     now = stored(parted(links), "parted")
     sizes = now.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -252,7 +255,9 @@ def _between_blocks(many: DataFrame, links: DataFrame, size: int, percent: int)
     apart = apart.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
     apart = apart.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["concat_ws(':', component, 'rest', block, chunk) as g", "node", "part", "alone", "sig", "text"]
-    return stored(links.union(_confirmed(every.selectExpr(*columns).union(apart.selectExpr(*columns)), size, percent)), "links")
+    out = stored(links.union(_confirmed(every.selectExpr(*columns).union(apart.selectExpr(*columns)), size, percent)), "links")
+    forget(within, links, now)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

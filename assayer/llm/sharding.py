@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._store import numbered, stored
+from assayer.llm._store import forget, numbered, stored
 
 SHARDS = 8
 BUNDLES, PARTS = 2048, 4
@@ -81,6 +81,7 @@ def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     # large groups hold 1/BUNDLES of a total each, so there are 3 * BUNDLES at most, of a few dozen bytes
     item = F.when(F.col("pieces").isNull(), bundle).otherwise(piece).alias("item")
     dealt = stored(rows.join(F.broadcast(large), "key", "left").select("doc_id", "size", "text_crc32", "tokens", item), "items")
+    forget(rows)
     items = dealt.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).orderBy("item").collect()
     where = place(np.array([[r[a] for a in _AXES] for r in items], dtype=np.int64).reshape(-1, 3), n)
     table = docs.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, where, strict=True)], "item string, shard int")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._store import stored
+from assayer.llm._store import forget, stored
 from assayer.llm._words import mixed, prefix_sums, slices, span_hash
 
 LENGTH, Q, BLOCK = 400, 96, 16
@@ -150,18 +150,19 @@ def _windows(length: int):
 _ROWS = "h long, u long, tid binary, p int, low int, high int"
 
 
-def _refined(rows: DataFrame, length: int, tag: str) -> tuple[DataFrame, DataFrame]:
-    """(spans (tid, start, end) of rows that another row equals, rows left undecided): of a bucket h with different runs u, the
-    undecided ones and one of each decided, against which they may match in part."""
+def _refined(rows: DataFrame, length: int, tag: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(spans (tid, start, end) of rows that another row equals, rows left undecided, tables that both read): of a bucket h with
+    different runs u, the undecided ones and one of each decided, against which they may match in part."""
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
     # written, so that the joins shuffle their sides for themselves and can split a hot bucket
     often = stored(often.select("h", (F.col("u0") != F.col("u1")).alias("mixed")), f"{tag}-often")
     kept = stored(rows.join(often, "h"), f"{tag}-buckets")
+    forget(rows, often)
     runs = kept.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("tid", "p", "low", "high")).alias("one"))
     runs = stored(runs, f"{tag}-runs")
     twice = runs.where("n > 1").select("h", "u")
     equal = kept.join(twice, ["h", "u"], "left_semi").select("tid", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + length).alias("end"))
-    return equal, runs.where("mixed").select("one.*")
+    return equal, runs.where("mixed").select("one.*"), [kept, runs]
 
 
 def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -221,9 +222,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     try:
         q = min(Q, length)
         runs = stored(texts.mapInArrow(_all_runs(length, q), _ROWS), "runs")
-        spans, left = _refined(runs, length, "runs")
+        spans, left, used = _refined(runs, length, "runs")
         blocks = stored(_with_text(texts, left).mapInArrow(_blocks(length, q, BLOCK), _ROWS), "blocks")
-        more, left = _refined(blocks, length, "blocks")
+        more, left, used_too = _refined(blocks, length, "blocks")
         windows = stored(_with_text(texts, left).mapInArrow(_windows(length), "h long, tid binary, s int"), "windows")
         twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
         twice = stored(twice, "twice")
@@ -231,6 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         every = spans.union(more).union(last).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         done = texts.join(every.hint("shuffle_hash"), "tid", "left").select("tid", "text", "spans")
         results = stored(done.mapInArrow(_results, "tid binary, n_removed long, n_spans long, kept_sha256 string"), "results")
+        forget(*used, *used_too, windows, twice)
     finally:
         spark.sql(f"drop table if exists {table}")
     copies = ids.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"))

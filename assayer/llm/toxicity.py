@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._store import stored
+from assayer.llm._store import forget, stored
 from assayer.llm._words import ALNUM, slices
 
 #: labelled rows that the lexicon and the weights are fitted on, at most; those of the least hashes of doc_id
@@ -201,6 +201,7 @@ def _lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("df1"), F.count_if(F.col("toxic") == 0).alias("df0"))
     ratio = ((F.col("df1") + 0.5) / (n1 + 1.0)) / ((F.col("df0") + 0.5) / (n0 + 1.0))
     best = counts.where((F.col("df1") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * n1))) & (ratio >= RATIO)).orderBy(F.desc("df1"), F.length("term"), "term").limit(TERMS).collect()
+    forget(each)
     chosen: dict[str, int] = {}
     stems: list[str] = []
     by_term = {r["term"]: r["df1"] for r in best}
@@ -278,6 +279,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
         model.clean = frozenset(bytes(r[0]).decode("latin-1") for r in clean)
     capped = [F.least(F.col(c), F.lit(MOST)).alias(c) for c in ("n_exact", "n_misspelled", "n_quoted")]
     cells = _counted(train, model, ["toxic"]).select("toxic", *capped).groupBy("n_exact", "n_misspelled", "n_quoted", "toxic").count().collect()
+    forget(train)
     if len({c["toxic"] for c in cells}) == 2:
         model.weights = _fit([(c[0], c[1], c[2], c[3], c[4]) for c in cells])
     return model
