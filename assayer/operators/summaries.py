@@ -105,7 +105,7 @@ def youden(scores: DataFrame, keys: list[str]) -> DataFrame:
 def failures(wide: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of (label, v1, v2) that the second score misses, flags wrongly, or alone catches, by the key's percentiles."""
     m = wide.groupBy(*keys).agg(F.percentile("v1", F.lit(0.5)).alias("m1"), *(F.percentile("v2", F.lit(p)).alias(n) for p, n in ((0.9, "hi"), (0.1, "lo"))))
-    both = wide.join(F.broadcast(m), keys)
+    both = wide.join(m, keys)
     one = F.col("label") == 1
     kinds = F.array_compact(
         F.array(

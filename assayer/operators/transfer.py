@@ -46,7 +46,7 @@ def random_effects(studies: DataFrame, keys: list[str]) -> DataFrame:
     c = F.col("_w") - F.col("_ww") / F.col("_w")
     tau = first.select(*keys, "k", q.alias("q"), F.when(F.col("k") > 1, F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / c)).otherwise(0.0).alias("tau2"))
     v = 1.0 / (F.col("se") * F.col("se") + F.col("tau2"))
-    second = studies.join(F.broadcast(tau), keys).groupBy(*keys, "k", "q", "tau2").agg(F.sum(v).alias("_v"), F.sum(v * y).alias("_vy"), F.sum(v * y * y).alias("_vyy"))
+    second = studies.join(tau, keys).groupBy(*keys, "k", "q", "tau2").agg(F.sum(v).alias("_v"), F.sum(v * y).alias("_vy"), F.sum(v * y * y).alias("_vyy"))
     mean = F.col("_vy") / F.col("_v")
     spread = F.col("_vyy") - F.col("_vy") * F.col("_vy") / F.col("_v")
     # modified Knapp-Hartung: never narrower than the plain standard error

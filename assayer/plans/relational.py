@@ -293,7 +293,7 @@ def prv9_replication_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grd1_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = scores(spark, sf_dir, ["signal"])
     threshold = policy.policies(held, ["slug"], 0.05).select("slug", F.round("threshold", 6).alias("threshold"))
-    joined = held.join(F.broadcast(threshold), "slug")
+    joined = held.join(threshold, "slug")
     return joined.select("slug", "sample_idx", policy.decision(F.col("score"), F.col("threshold"), F.lit(25.0)).alias("decision"))
 
 

@@ -430,7 +430,7 @@ def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = locked(spark, sf_dir)
     modal = own.groupBy("cell").agg(summaries.majority_sign("sign").alias("modal"))
     fitted = F.when(F.col("cell") != "price", F.nullif(F.col("sign"), F.lit(0)))
-    return own.join(F.broadcast(modal), "cell").select("slug", "task", "cell", F.coalesce(fitted, F.col("modal")).alias("sign"))
+    return own.join(modal, "cell").select("slug", "task", "cell", F.coalesce(fitted, F.col("modal")).alias("sign"))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
