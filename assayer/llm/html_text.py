@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,8 +144,6 @@ def shared(a: list[str], b: list[str]) -> set[int]:
         places.setdefault(y[j], []).append(j)
     ends: list[int] = []
     links: list[tuple] = []
-    from bisect import bisect_left
-
     for i in x:
         for j in places[a[i]]:
             k = bisect_left(ends, j)
@@ -203,15 +202,14 @@ def _diffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for rows in batches:
-        for r in rows.to_batches() if hasattr(rows, "to_batches") else [rows]:
-            host, path, page, url, text = (r.column(i) for i in range(5))
-            for i in range(r.num_rows):
-                later = _Page(host[i].as_py(), path[i].as_py(), (page[i].as_py(), url[i].as_py()), lines(text[i].as_py() or ""))
-                if now is not None:
-                    out.append(now.result(before, later))
-                before, now = now, later
-                if len(out) >= 512:
-                    yield batch()
+        host, path, page, url, text = (rows.column(i) for i in range(5))
+        for i in range(rows.num_rows):
+            later = _Page(host[i].as_py(), path[i].as_py(), (page[i].as_py(), url[i].as_py()), lines(text[i].as_py() or ""))
+            if now is not None:
+                out.append(now.result(before, later))
+            before, now = now, later
+            if len(out) >= 512:
+                yield batch()
     if now is not None:
         out.append(now.result(before))
     yield batch()

@@ -30,7 +30,7 @@ from assayer.llm.components import components
 SLOTS, ROWS, BANDS = 128, 4, 24
 #: members of a block; shingles of a block
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-#: pairs at the threshold have this many equal slots or more, but for about one in two million
+#: pairs at the threshold have this many equal slots or more, but for about one in 40 million
 LEAST_EQUAL = 0.6
 _SKETCH = "doc_id long, n_shingles long, key binary, sig binary, bands array<long>"
 
