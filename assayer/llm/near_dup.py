@@ -11,7 +11,7 @@ from the group's largest part with every block; no task holds a whole group, and
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one
 shingle; exact copies are one class, linked without comparison; a doc_id is one document, so rows that repeat it share its fate;
-an empty table gives no rows; extra columns are ignored by `groups` and kept by `without_near_duplicates`.
+a row without doc_id is linked with nothing and kept; an empty table gives no rows; extra columns are ignored by `groups` and kept by `without_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stored(texts.mapInArrow(_sketches(size), _SKETCH), "sketch")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  rows of a key have equal sketches
-    nodes = stored(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), first("n_shingles"), first("sig"), first("bands")), "nodes")
+    nodes = stored(sketch.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), first("n_shingles"), first("sig"), first("bands")), "nodes")
 
     held = nodes.select(F.explode("bands").alias("band"), "node")
     centres = held.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -228,9 +228,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         links = _between_blocks(many, links, size, percent)
     part = components(links)
     forget(held, links)
-    rows = sketch.select("doc_id", "n_shingles", "key").join(nodes.select("key", "node"), "key", "left")
+    known = F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")
+    rows = sketch.select("doc_id", "n_shingles", known).join(nodes.select("key", "node"), "key", "left")
     rows = rows.join(part, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _between_blocks(many: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
@@ -262,5 +263,5 @@ def _between_blocks(many: DataFrame, links: DataFrame, size: int, percent: int)
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`docs`, all columns, with one document of each group."""
-    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__assayer_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__assayer_gone"), "left_anti")

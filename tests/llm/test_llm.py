@@ -471,6 +471,22 @@ def test_empty_tables(spark, empty):
     assert all(f.count() == 0 for f in frames)
 
 
+def test_rows_without_ids(spark, empty):
+    text = " ".join(f"w{i}" for i in range(120)) + " mail x@y.example password=abcdefgh"
+    rows = [(None, text), (None, text), (5, text), (None, None), (6, text + " more")]
+    docs = spark.createDataFrame([(i, t, None, None, None, True, "t", 5, 1, "k") for i, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(None, 1, 1), (5, None, None), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(None, text), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id bigint, text string")
+    frames = [packing.packed(docs), sharding.shards(docs, 2), secrets.scanned(docs, F.col("source"), F.col("lang")), pii.detected(docs), pii.sanitised(docs)]
+    frames += [quality.ruled(docs, labels.where("quality = 1")), suffix_dedup.repeated_spans(docs), toxicity.scores(docs, labels), toxicity.without_toxic(docs, labels)]
+    frames += [decontaminate.contamination(docs, items), near_dup.groups(docs)]
+    assert [f.count() for f in frames] == [5] * len(frames)
+    assert decontaminate.without_contaminated(docs, items).count() == 1
+    near = {(r.doc_id, r.component_id, r.kept) for r in near_dup.groups(docs).collect()}
+    assert near == {(None, None, True), (5, 5, True), (6, 5, False)}
+    assert near_dup.without_near_duplicates(docs).count() == 4
+
+
 def test_missing_side_tables(spark, edge):
     docs, texts, _ = edge
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
