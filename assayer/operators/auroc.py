@@ -31,15 +31,17 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, str],
     return out.select("*", *((F.col(f"_s_{n}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(n) for n, c in values.items())).drop("_k", *(f"_s_{n}" for n in values))
 
 
-def ranked_area(scores: DataFrame, keys: list[str], weight: Column | None = None, buckets: int = 1) -> DataFrame:
+def ranked_area(scores: DataFrame, keys: list[str], weight: Column | None = None, buckets: int = 1, every: bool = False) -> DataFrame:
     """For each key: n, n1 and n0 (weights of rows with a score), and `auc`, null where a class is missing.
 
-    `scores` has `label` (0 or 1) and `score`; rows without score or label are left out. `weight` is a multiplicity: the area of
-    a resample is that of its multiplicities, so resampled rows are never made.
+    `scores` has `label` (0 or 1) and `score`; rows without score or label do not count, and keys that have only such rows are left
+    out unless `every` is set. `weight` is a multiplicity: the area of a resample is that of its multiplicities, so resampled rows
+    are never made.
     """
     w = F.lit(1) if weight is None else weight
-    kept = scores.where(F.col("score").isNotNull() & F.col("label").isNotNull())
-    values = kept.groupBy(*keys, "score").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("w1"), F.sum(F.when(F.col("label") == 0, w).otherwise(0)).alias("w0"))
+    held = F.col("score").isNotNull() & F.col("label").isNotNull()
+    weights = [F.sum(F.when(held & (F.col("label") == k), w).otherwise(0)).alias(f"w{k}") for k in (1, 0)]
+    values = (scores if every else scores.where(held)).groupBy(*keys, "score").agg(*weights)
     below = running(values, keys, "score", {"c0": "w0"}, buckets)
     wins = F.sum(F.col("w1") * (2 * F.col("c0") + F.col("w0")))  # twice the pairs won, an integer for integer weights
     out = below.groupBy(*keys).agg((F.sum("w1") + F.sum("w0")).alias("n"), F.sum("w1").alias("n1"), F.sum("w0").alias("n0"), wins.alias("_wins"))
@@ -48,14 +50,13 @@ def ranked_area(scores: DataFrame, keys: list[str], weight: Column | None = None
 
 def sign_locked(scores: DataFrame, keys: list[str], least: int = LEAST, buckets: int = 1) -> DataFrame:
     """Key, `auroc` = max(a, 1 - a), `sign` (+1 where a >= 0.5) and `n_evaluated`; null and 0 below `least` scores or one class."""
-    area = ranked_area(scores.withColumn("score", finite(F.col("score"))), keys, buckets=buckets)
-    every = scores.select(*keys).distinct().join(area, keys, "left")
+    area = ranked_area(scores.withColumn("score", finite(F.col("score"))), keys, buckets=buckets, every=True)
     ok = (F.col("n") >= least) & F.col("auc").isNotNull()
-    return every.select(
+    return area.select(
         *keys,
         F.when(ok, F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("auroc"),
-        F.when(~F.coalesce(ok, F.lit(False)), 0).when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("sign"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_evaluated"),
+        F.when(~ok, 0).when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("sign"),
+        F.col("n").cast("long").alias("n_evaluated"),
     )
 
 
