@@ -31,7 +31,7 @@ TRAIN_ROWS = 20_000
 #: terms of the lexicon, at most
 TERMS = 2_000
 #: lengths of word beginnings that may become terms
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: a term is this many times as frequent in toxic texts
 RATIO = 20.0
 #: texts and share of the toxic texts that must hold a term
@@ -193,7 +193,7 @@ def _lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     each = texts.select("toxic", F.split(F.translate("text", upper, lower), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+").alias("w"))
     # near copies would make all their words look toxic: one text stands for those with the same least hash of word pairs
     for seed in (1, 2):
-        each = each.groupBy("toxic", F.array_min(_pair_hashes(F.col("w"), seed)).alias("least")).agg(F.first("w").alias("w")).select("toxic", "w")
+        each = each.groupBy("toxic", F.array_min(_pair_hashes(F.col("w"), seed)).alias("least")).agg(F.min_by("w", F.xxhash64("w")).alias("w")).select("toxic", "w")
     each = stored(each, "clusters")
     n1, n0 = each.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     made = [_beginnings(F.col("w"), n) for n in STEMS]
