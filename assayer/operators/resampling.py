@@ -20,13 +20,15 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int) -> DataFrame:
+def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
     """`samples` (keys, unit, ...) for each replicate with `w`, how often its unit was drawn, 0 if it was not.
 
-    Units are drawn whole: rows that share one have the same multiplicity. With unique units this is the plain bootstrap.
+    Units are drawn whole: rows that share one have the same multiplicity. With unique units this is the plain bootstrap. With
+    `buckets` above 1, numeric units are numbered in that many ranges a key, so that a key may hold any share of the rows.
     """
-    units = samples.select(*keys, unit).distinct()
-    numbered = units.select(*keys, unit, (F.row_number().over(W.partitionBy(*keys).orderBy(unit)) - 1).alias("_pos"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_units"))
+    units = samples.select(*keys, unit, F.lit(1).alias("_one")).distinct()
+    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_units"))
+    numbered = running(units, keys, unit, {"_pos": "_one"}, buckets).join(sizes, keys).drop("_one")
     drawn = replicates(numbered, n)
     tag = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
     picks = drawn.select(*keys, "rep", draw(F.col("_units"), F.lit(seed), F.col("rep"), tag, F.col("_pos")).alias("_pos"))
@@ -52,13 +54,13 @@ def bag_areas(scores: DataFrame, weights: DataFrame, keys: list[str], sample: st
     return sums.select(*group, area("_wi", "i1", "i0").alias("in_bag"), area("_wo", "o1", "o0").alias("out_of_bag"), (F.col("i1") + F.col("i0")).alias("n_in"), (F.col("o1") + F.col("o0")).alias("n_out"))
 
 
-def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, unit: str, n: int, seed: int, least: int = LEAST) -> DataFrame:
+def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, unit: str, n: int, seed: int, least: int = LEAST, buckets: int = 1) -> DataFrame:
     """For each key and replicate: the cell that wins in the bag, its sign, and its area out of the bag under that sign.
 
     `scores` has cell and cell_idx; of equal distances from one half the lower cell_idx wins. A replicate whose unpicked samples
     are fewer than `least` or of one class is skipped; a winner counts even where its own unpicked scores do not suffice.
     """
-    weights = multiplicities(samples, keys, unit, n, seed)
+    weights = multiplicities(samples, keys, unit, n, seed, buckets)
     usable = weights.where("w = 0").groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("label").alias("_classes")).where((F.col("_n") >= least) & (F.col("_classes") == 2)).select(*keys, "rep")
     areas = bag_areas(scores, weights, keys, sample, ["cell", "cell_idx"]).join(usable, [*keys, "rep"], "left_semi")
     distance = F.when(F.col("n_in") >= least, F.abs(F.col("in_bag") - 0.5))

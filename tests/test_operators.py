@@ -103,6 +103,12 @@ def test_draws_split_no_stem_and_cover_all_rows(spark):
         assert sum(v.copy().pop() for (q, _), v in by.items() if q == rep) == 13
 
 
+def test_draws_do_not_depend_on_the_ranges_that_number_units(spark):
+    own = samples(spark, 50, 50)
+    a, b = ({(r.rep, r.s): r.w for r in resampling.multiplicities(own, ["k"], "s", 3, 4, buckets=n).collect()} for n in (1, 7))
+    assert a == b and len(a) == 150
+
+
 def test_cluster_draws_with_unique_stems_are_row_draws(spark):
     own = samples(spark, 30, 30)
     a = {(r.rep, r.s): r.w for r in resampling.multiplicities(own, ["k"], "s", 4, 9).collect()}
