@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +78,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     """The text blocks of a page, white space made single, and where each stands."""
     out: list[tuple[str, int]] = []
     held: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     now: list[str] = []
     state = LOOSE
 
@@ -102,15 +104,18 @@ def lines(page: str) -> list[tuple[str, int]]:
         if tag in _BLOCKS:
             close()
         if m[2]:
-            if any(t == tag for t, _ in held):
+            if opened[tag]:
                 if tag not in _BLOCKS:
                     close()
-                while held.pop()[0] != tag:
-                    pass
+                while opened[tag] and held:
+                    last = held.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
                 state = held[-1][1] if held else LOOSE
             continue
         if held and held[-1][0] in ("p", "li") and tag in _BLOCKS:
-            held.pop()
+            opened[held.pop()[0]] -= 1
             state = held[-1][1] if held else LOOSE
         role = _role(tag, m[4])
         if tag in _HELD or role == FURNITURE and not m[4].endswith("/") and tag not in ("input", "img", "hr", "link", "meta"):
@@ -118,6 +123,7 @@ def lines(page: str) -> list[tuple[str, int]]:
                 close()
             own = FURNITURE if state == FURNITURE or role == FURNITURE else max(role, state)
             held.append((tag, own))
+            opened[tag] += 1
             state = own
     close()
     return out
