@@ -14,6 +14,13 @@ FILE_ROWS = 500_000
 SALTS = 8
 
 
+def _salted_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left.join(right, key), a key's rows on the left being spread by the hash of another column; keys are unique on the right."""
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copied = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copied, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of `edges` (a, b) with the smallest node that it reaches.
 
@@ -31,12 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each neighbour above u goes to the smallest of u and its neighbours
         both = now.union(now.select("u", "v"))  # v: the node, u: its neighbour
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        salted = both.where("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
-        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        large = salted.join(spread, ["v", "salt"]).select(F.col("m").alias("v"), "u")
+        large = _salted_join(both.where("u > v"), low, "v", "u").select(F.col("m").alias("v"), "u")
         # small star: each neighbour below u, and u, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
+        small = _salted_join(large, least, "u", "v").where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
         before, now = now, stored(small.union(least.select(F.col("m").alias("v"), "u")).distinct().coalesce(-(-n // FILE_ROWS)), "edges")
         forget(before)
     else:

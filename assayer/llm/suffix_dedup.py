@@ -241,4 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_text = results.join(copies, "tid").select(
         "tid", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"), F.when(whole, nothing).otherwise(F.col("kept_sha256")).alias("kept_sha256")
     )
+    # written, so that the join shuffles the ids for itself and can split a text that many share
+    by_text = stored(by_text, "by-text")
+    forget(results)
     return ids.join(by_text, "tid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
