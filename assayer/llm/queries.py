@@ -99,6 +99,31 @@ parts AS (SELECT a AS doc_id, min(b) AS part FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(part, doc_id) AS component_id, coalesce(part, doc_id) = doc_id AS kept FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)"""
 
 
+#: every window of 400 bytes; those that occur twice, merged into runs, and what lies between the runs
+_OP8 = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER w + 400 THEN 1 ELSE 0 END AS new FROM windows JOIN twice USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS e FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM covered) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(b), max(e) + 1, any_value(octet_length(b)))) AS rest FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, hex(b)))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+#: matches and what lies between them, whose lengths sum up to places; then owners and repositories of each value
+_OP3 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source || '/' || lang, '') AS repository, coalesce(source, '') AS owner FROM documents),
+patterns AS (SELECT * FROM (VALUES (0, 'assign', '{_HEAD}[A-Za-z0-9+/_.=-]+'), (1, 'access', 'AKIA[A-Z0-9]{{16,}}'), (2, 'hex', '[0-9a-f]{{24,}}'), (3, 'owned', '[A-Za-z0-9_-]{{20,}}')) p(kind, name, re)),
+parts AS (SELECT doc_id, kind, name, unnest(string_split_regex(t, re)) AS gap, unnest(regexp_extract_all(t, re)) AS value, unnest(range(1, len(string_split_regex(t, re)) + 1)) AS i FROM d, patterns),
+places AS (SELECT doc_id, kind, name, value, sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM parts WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+spans AS (SELECT doc_id, kind, name, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS e, CASE WHEN kind = 0 THEN regexp_replace(value, '^{_HEAD}', '') ELSE value END AS secret FROM places WHERE value IS NOT NULL),
+good AS (SELECT * FROM spans WHERE (kind <> 0 OR length(secret) >= 6) AND (kind <> 3 OR regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[0-9]'))),
+cand AS (SELECT g.* FROM good g WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM good o WHERE o.doc_id = g.doc_id AND o.kind < 3 AND g.a < o.e AND o.a < g.e)),
+freq AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM cand JOIN d USING (doc_id) GROUP BY secret),
+told AS (SELECT * FROM cand JOIN freq USING (secret) WHERE kind < 3 OR owners = 1),
+res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example, max(repositories) AS most FROM told GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most, 0) AS most_repositories FROM d LEFT JOIN res USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested against brute force."""
-    return {"op7_suffix_decontamination": _OP7, "op9_superminhash_near_dup": _OP9}
+    return {"op3_ownership_secret_scan": _OP3, "op7_suffix_decontamination": _OP7, "op8_bucket_pointer_dedup": _OP8, "op9_superminhash_near_dup": _OP9}
