@@ -92,10 +92,12 @@ def youden(scores: DataFrame, keys: list[str]) -> DataFrame:
     s = scores.withColumn("score", finite(F.col("score"))).where("score is not null")
     d = s.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
     w = W.partitionBy(*keys).orderBy("score")
-    up = w.rowsBetween(W.currentRow, W.unboundedFollowing)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
+    # what lies above is the total less what lies below: a frame that ends unbounded would be summed up anew for each row
+    above = lambda c: F.sum(c).over(whole) - F.coalesce(F.sum(c).over(before), F.lit(0))
     at = F.coalesce((F.col("score") + F.lag("score").over(w)) / 2, F.col("score") - 1e-9)
-    j = F.sum("p").over(up) / F.sum("p").over(whole) - F.sum("q").over(up) / F.sum("q").over(whole)
+    j = above("p") / F.sum("p").over(whole) - above("q") / F.sum("q").over(whole)
     inner = d.select(*keys, at.alias("threshold"), j.alias("youden"))
     beyond = d.groupBy(*keys).agg((F.max("score") + 1e-9).alias("threshold"), F.lit(0.0).alias("youden"))
     best = F.max_by(F.struct("threshold", "youden"), F.struct(F.round("youden", 12).alias("j"), (-F.col("threshold")).alias("t")))
