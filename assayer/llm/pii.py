@@ -6,7 +6,8 @@ information, log2(N c(t,e) / (n(t) n(e))), out of the entity's information, log2
 the whole corpus; at least `SUPPORT` different texts must hold both. Terms are runs of letters and digits. A term whose share reaches `GENERALISE` is generalised, and one that reaches `REMOVE` is removed.
 
 Only terms within `CONTEXT` code points of an entity are paired with it, so the pairs grow with the entities, not with the square
-of a text. Counts are pre-aggregated before each shuffle; the disclosing pairs are joined back to their places.
+of a text. Counts are pre-aggregated before each shuffle; the disclosing pairs are joined back to their places. `sanitised` masks a
+disclosing term at all its places in every text that holds the entity, however far from it.
 
 Defined cases: a null text is empty and has no spans, and stays null where texts are sanitised; copies of a text give no more support than one;
 repeated rows each get their row; an empty table gives no rows; extra columns are ignored by `detected` and kept by `sanitised`.
@@ -53,6 +54,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(F.when(F.contains(text, F.lit("@")), matches(text, 0, EMAIL)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")), ip, card, phone)
 
 
+def _entity() -> Column:
+    return F.concat_ws(":", F.col("e.kind").cast("string"), F.lower(F.col("e.value"))).alias("entity")
+
+
+def _free() -> Column:
+    """Whether the word `w` is no part of an entity."""
+    return ~F.exists("base", lambda y: (F.col("w.start") < y["end"]) & (y["start"] < F.col("w.end")))
+
+
 def _contexts(found: DataFrame) -> DataFrame:
     """(key, entity, term, start, end) for each whole word near an entity that is no part of one."""
     one = found.select("key", "text", "base", F.explode("base").alias("e"))
@@ -63,18 +73,28 @@ def _contexts(found: DataFrame) -> DataFrame:
     before = F.filter(F.transform(matches(left, 0, WORD), lambda x: F.struct((x["start"] + begin).alias("start"), (x["end"] + begin).alias("end"), x["value"].alias("value"))), lambda x: (x["start"] > begin) | (begin == 0))
     after = F.transform(matches(right, 0, WORD), lambda x: F.struct((x["start"] + F.col("e.end")).alias("start"), (x["end"] + F.col("e.end")).alias("end"), x["value"].alias("value")))
     after = F.filter(after, lambda x: (x["end"] < F.col("e.end") + CONTEXT) | (F.length("text") <= F.col("e.end") + CONTEXT))
-    entity = F.concat_ws(":", F.col("e.kind").cast("string"), F.lower(F.col("e.value"))).alias("entity")
-    words = one.select("key", "base", entity, F.explode(F.concat(before, after)).alias("w"))
-    free = words.where(~F.exists("base", lambda y: (F.col("w.start") < y["end"]) & (y["start"] < F.col("w.end"))))
-    return free.select("key", "entity", F.lower("w.value").alias("term"), "w.start", "w.end").where("length(term) >= 3").distinct()
+    words = one.select("key", "base", _entity(), F.explode(F.concat(before, after)).alias("w"))
+    return words.where(_free()).select("key", "entity", F.lower("w.value").alias("term"), "w.start", "w.end").where("length(term) >= 3").distinct()
 
 
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(key, terms): for each different text with such terms, their spans (kind 4: to generalise, 5: to remove)."""
+def _everywhere(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, start, end, kind) of all whole words that are chosen terms of an entity that the text holds."""
+    holders = found.select("key", F.explode("base").alias("e")).select("key", _entity()).distinct()
+    wanted = holders.join(chosen, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    texts = found.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    words = texts.select("key", "base", F.explode(matches(F.col("text"), 0, WORD)).alias("w")).where(_free())
+    return words.select("key", F.lower("w.value").alias("term"), "w.start", "w.end").join(wanted, ["key", "term"]).select("key", "start", "end", "kind")
+
+
+def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, everywhere: bool = False) -> DataFrame:
+    """(key, terms): for each different text with such terms, their spans (kind 4: to generalise, 5: to remove).
+
+    The spans are those near the entity; with `everywhere` all in texts that hold it.
+    """
     text = F.col("text").cast("string")
     texts = docs.where("text is not null").select(text.alias("text"))
     found = texts.select(_key(F.col("text")).alias("key"), "text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
@@ -91,9 +111,13 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     share = F.log2(F.lit(float(total)) * F.col("c") / (F.greatest("n_t", "c") * F.col("n_e"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
     chosen = pairs.join(terms, "term").withColumn("share", F.when(F.col("n_e") < total, share)).where(F.col("share") >= generalise)
     kind = F.when(F.col("share") >= remove, 5).otherwise(4)
-    spans = places.join(chosen.select("term", "entity", kind.alias("kind")), ["term", "entity"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    chosen = stored(chosen.select("term", "entity", kind.alias("kind")), "chosen")
+    spans = places.join(chosen, ["term", "entity"]).select("key", "start", "end", "kind")
+    if everywhere:
+        spans = spans.union(_everywhere(found, chosen))
+    spans = spans.groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     out = stored(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")), "terms")
-    forget(found, places, near, pairs)
+    forget(found, places, near, pairs, chosen)
     return out
 
 
@@ -128,7 +152,7 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """`docs`, all columns, with entities and disclosing terms of `text` replaced, and n_chars, where it has it, set to match."""
     columns = docs.columns
-    terms = disclosing(docs, support, generalise, remove)
+    terms = disclosing(docs, support, generalise, remove, everywhere=True)
     marked = docs.withColumn("__assayer_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
     # only texts that hold an entity are shuffled
     clean = marked.where(F.size("__assayer_base") == 0).select(*columns)
