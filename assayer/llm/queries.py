@@ -35,7 +35,8 @@ def op5_nearest_url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ruled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+    labels = _table(spark, sf_dir, "labels")
+    return quality.ruled(_table(spark, sf_dir, "documents"), labels.where("quality = 1"), rejected=labels.where("quality = 0"))
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
