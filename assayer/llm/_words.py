@@ -56,14 +56,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """c with c[i] the polynomial sum of data[:i]; (c[b] - c[a]) * inverse[a] is the hash of data[a:b]."""
-    p, _ = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_KEY[data] * p[:-1], out=c[1:])
+def sums(keys: np.ndarray) -> np.ndarray:
+    """c with c[i] the polynomial sum of keys[:i]; (c[b] - c[a]) * inverse[a] is the hash of keys[a:b]."""
+    p, _ = powers(len(keys) + 1)
+    c = np.zeros(len(keys) + 1, dtype=np.uint64)
+    np.cumsum(keys * p[:-1], out=c[1:])
     return c
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """`sums` of bytes."""
+    return sums(BYTE_KEY[data])
+
+
 def span_hash(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of data[a:b] for arrays of a and b; the length is mixed in."""
     _, inv = powers(len(c))
@@ -85,6 +90,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         at = to
 
 
+def word_counts(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The number of words of each text of a slice, without their hashes."""
+    is_word = kind[data]
+    begins = is_word.copy()
+    begins[1:] &= ~is_word[:-1]
+    inner = offs[:-1][offs[:-1] < len(data)]
+    begins[inner] = is_word[inner]
+    total = np.concatenate([[0], np.cumsum(begins)])
+    return total[offs[1:]] - total[offs[:-1]]
+
+
 class Words:
     """Words of a slice, in order: start and end offsets, hash, document (row in the slice); `first` has where a document's words begin."""
 

@@ -137,3 +137,20 @@ def least_padding(lengths: list[int], buckets: int) -> int:
             cost = sum(next(b for b in bounds if b >= x) - x for x in lengths)
             best = cost if best is None else min(best, cost)
     return best
+
+
+def passages(texts: list[str | None], length: int) -> list[tuple[int, int]]:
+    """(words in passages of `length` words that another text holds, such passages) of each text."""
+    words = [SPACED.findall((t or "").translate(LOWER)) for t in texts]
+    held = defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            held[tuple(w[i : i + length])].add(k)
+    out = []
+    for w in words:
+        covered = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if len(held[tuple(w[i : i + length])]) > 1:
+                covered[i : i + length] = b"\1" * length
+        out.append((sum(covered), len(re.findall(b"\1+", bytes(covered)))))
+    return out
