@@ -214,7 +214,7 @@ PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=
         ("", ""),
         (PAGE % "<div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p>One<br>two  \n three</p><p><b>Four</p><aside>no</aside></article>", "Head & tail\nOne two three\nFour"),
         (PAGE % "<article><p>a</p><section class='comments'><p>nice!</p></section><form><p>mail</p></form><p>b</p></article>", "a\nb"),
-        (PAGE % "<main><script>var t='</p>';</script><p>x &lt;y&gt; &#233; &nope;</p><!-- <p>z</p> --><div hidden>h</div></main>", "x <y> é &nope;"),
+        (PAGE % "<main><script>var t='</p>';</script><p>x &lt;y&gt; &#233; &nope;</p><!-- <p>z</p> --><div hidden>h</div><math><mi>k</mi></math></main><div hidden>no</div>", "x <y> é &nope;\nh\nk"),
         (PAGE % "<article><p>cut &am</article>", "cut &am"),
         ("<article><p>never closed <p>second <i>it</i>alic", "never closed\nsecond italic"),
         ("plain < text", "plain < text"),
