@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,11 @@ FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the setting is unset, as in tests."""
+    """The cluster's checkpoint folder; a folder of our own only where the setting is unset and all tasks run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{FALLBACK}"
         os.makedirs(FALLBACK, exist_ok=True)
     return folder.rstrip("/")
@@ -44,7 +47,8 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str, rows
     """`df` with a gapless number from 0 within each group, no task holding a whole group.
 
     Rows are dealt into cells by the hash of `order`; each cell numbers its own rows of a group, and the cells' counts,
-    summed up in cell order, give where each cell starts. The table of counts has one row for each cell and group.
+    summed up in cell order, give where each cell starts. The table of counts has one row for each cell and group. Rows that are
+    equal in `order` meet in one cell, so it should name something that few rows share.
     """
     cells = max(1, -(-df.count() // rows_per_cell))
     g = ", ".join(f"`{x}`" for x in groups)
