@@ -72,7 +72,7 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (words(F.col("text")) if length is None else length.cast("long")).alias("n"))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / max_len).cast("long") - 1, F.lit(0).cast("long")))
     sequences = counted.select("doc_id", "n", F.explode(pieces).alias("piece"))
-    sequences = stored(sequences.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * max_len).alias("first_token"), F.least(F.col("n") - F.col("piece") * max_len, F.lit(max_len)).alias("n_tokens")), "sequences")
+    sequences = stored(sequences.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * max_len).alias("first_token"), F.least(F.col("n") - F.col("piece") * max_len, F.lit(max_len)).alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "sequences")
     histogram = sequences.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).collect()
     bounds = boundaries(np.array([r["n_tokens"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
     if not bounds:
@@ -80,7 +80,7 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
     limits = F.array(*(F.lit(x).cast("long") for x in bounds))
     bucket = F.size(F.filter(limits, lambda x: x < F.col("n_tokens")))
     rows = sequences.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(limits, F.col("bucket") + 1))
-    rows = numbered(rows, ["bucket", "bucket_len"], ["doc_id", "piece"], "rank")
+    rows = numbered(rows, ["bucket", "bucket_len"], ["doc_id", "piece", "row"], "rank")
     each = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1))), F.lit(1))
     return rows.select(
         "doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / each).cast("long").alias("batch"), (F.col("rank") % each).cast("long").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding")
