@@ -1,14 +1,16 @@
 """Toxicity scores from a lexicon trie intersected with Levenshtein automata, weighed by context windows.
 
-The lexicon is learned from labelled rows: words and word beginnings that toxic texts hold far more often than others. Each word
-of a text is read by a Levenshtein automaton (a bit-parallel one, a bit mask for each number of edits) that walks the lexicon's
-trie, so misspelled terms are caught; misspellings that clean training texts hold are no evidence. A hit between
-quotation marks within its context window counts as quotation, others as abuse. A logistic model weighs plain hits, misspelled
-hits and quoted hits.
-
-Defined cases: null and empty texts have no hits and get the score of a text without any; a doc_id with several labels counts
-as toxic if one says so; null labels are ignored; without labels of both kinds the lexicon is empty and every score is the same;
-extra columns are ignored by `scores` and kept by `without_toxic`; repeated rows get equal scores.
+The lexicon is learned from labelled rows: words and word beginnings that toxic texts hold far more often than others. A beginning
+is a stem where it covers clearly more texts than any single word that begins so; it accepts any ending, and the words that it
+covers stay in the lexicon beside it. Each word of a text is read by a Levenshtein automaton (a bit-parallel one, a bit mask for
+each number of edits) that walks the lexicon's trie, so misspelled words are caught; misspellings that clean training texts hold
+are no evidence. A hit between quotation marks within its context window counts as quotation, others as abuse. A logistic model
+weighs plain hits, misspelled hits and quoted hits.
+
+Defined cases: null and empty texts have no hits and get the score of a text without any; texts of any length are read whole, and a
+task holds its longest one a few times; of equally near words of the lexicon the first in order is the hit; a doc_id with several
+labels counts as toxic if one says so; null labels are ignored; without labels of both kinds the lexicon is empty and every score
+is the same; extra columns are ignored by `scores` and kept by `without_toxic`, whatever their names; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -22,25 +24,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assayer.llm._store import forget, stored
 from assayer.llm._words import ALNUM, slices
 
 #: labelled rows that the lexicon and the weights are fitted on, at most; those of the least hashes of doc_id
 TRAIN_ROWS = 20_000
-#: terms of the lexicon, at most
-TERMS = 2_000
 #: lengths of word beginnings that may become terms
 STEMS = (4, 5, 6, 7, 8)
 #: a term is this many times as frequent in toxic texts
 RATIO = 20.0
-#: texts and share of the toxic texts that must hold a term
+#: texts and share of the toxic texts that must hold a term; the share bounds the lexicon, as a text holds only so many words
 MIN_TEXTS, MIN_SHARE = 6, 0.01
 #: characters before and after a hit that decide whether it is quoted
 CONTEXT = 60
-#: hits of a kind that count, at most; what a misspelled hit counts of an exact one
-MOST, MISSPELLED = 12, 0.5
-RESULT = "doc_id long, held_out boolean, score double, predicted int, n_exact long, n_misspelled long, n_quoted long"
+#: what a misspelled hit counts of an exact one
+MISSPELLED = 0.5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if ALNUM[c] else 32 for c in range(256))
 _QUOTES = ('"', "“", "”", "„", "«", "»")
@@ -200,30 +200,24 @@ def _lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     terms = each.select("toxic", F.explode(F.array_distinct(F.concat(F.filter("w", lambda x: F.length(x) >= 4), *made))).alias("term"))
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("df1"), F.count_if(F.col("toxic") == 0).alias("df0"))
     ratio = ((F.col("df1") + 0.5) / (n1 + 1.0)) / ((F.col("df0") + 0.5) / (n0 + 1.0))
-    best = counts.where((F.col("df1") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * n1))) & (ratio >= RATIO)).orderBy(F.desc("df1"), F.length("term"), "term").limit(TERMS).collect()
+    best = counts.where((F.col("df1") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * n1))) & (ratio >= RATIO)).collect()
     forget(each)
     chosen: dict[str, int] = {}
     stems: list[str] = []
     by_term = {r["term"]: r["df1"] for r in best}
     for term in sorted(by_term, key=lambda t: (len(t.rstrip("*")), t)):
         bare = term.rstrip("*")
-        if any(bare.startswith(s) for s in stems):
-            continue
         if not term.endswith("*"):
             chosen[bare] = by_term[term]
         # a stem must cover clearly more texts than the single word that it is the beginning of
-        elif by_term[term] > 1.2 * max([0, *(n for t, n in by_term.items() if not t.endswith("*") and t.startswith(bare))]):
+        elif not any(bare.startswith(s) for s in stems) and by_term[term] > 1.2 * max([0, *(n for t, n in by_term.items() if not t.endswith("*") and t.startswith(bare))]):
             stems.append(bare)
     return _latin(sorted(chosen)), _latin(stems)
 
 
 def _features(exact: float, wrong: float, quoted: float) -> list[float]:
-    plain = min(exact, MOST) + MISSPELLED * min(wrong, MOST)
-    return [1.0, float(plain >= 1), math.log1p(plain), math.log1p(min(quoted, MOST))]
-
-
-def _logit(w: tuple[float, ...], counts: tuple[int, int, int]) -> float:
-    return sum(a * b for a, b in zip(w, _features(*counts), strict=True))
+    plain = exact + MISSPELLED * wrong
+    return [1.0, float(plain >= 1), math.log1p(plain), math.log1p(quoted)]
 
 
 def _fit(cells: list[tuple[int, int, int, int, int]]) -> tuple[float, ...]:
@@ -240,8 +234,8 @@ def _fit(cells: list[tuple[int, int, int, int, int]]) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def _counted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `docs` with the counts of hits in its text."""
+def _counted(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("n_exact", "n_misspelled", "n_quoted")) -> DataFrame:
+    """`docs`, all columns, with the counts of hits in its text as columns `names`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)
@@ -249,11 +243,13 @@ def _counted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for a, b, data, offs in slices(batch):
                 raw = data.tobytes()
                 counts = np.array([finder.counts(raw[offs[k] : offs[k + 1]]) for k in range(b - a)], dtype=np.int64).reshape(-1, 3)
-                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c))[a:b] for c in keep), *(pa.array(counts[:, i]) for i in range(3))], names=[*keep, "n_exact", "n_misspelled", "n_quoted"])
+                rows = batch.slice(a, b - a)
+                yield pa.record_batch([*rows.columns, *(pa.array(counts[:, i]) for i in range(3))], names=[*batch.schema.names, *names])
 
-    kept = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
-    return kept.mapInArrow(scan, f"{schema}, n_exact long, n_misspelled long, n_quoted long")
+    kind = StructType(list(docs.schema.fields))
+    for name in names:
+        kind = kind.add(name, "long")
+    return docs.mapInArrow(scan, kind)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
@@ -277,41 +273,32 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     if model.terms:
         clean = train.where("toxic = 0").select("text").mapInArrow(variants, "word binary").distinct().collect()
         model.clean = frozenset(bytes(r[0]).decode("latin-1") for r in clean)
-    capped = [F.least(F.col(c), F.lit(MOST)).alias(c) for c in ("n_exact", "n_misspelled", "n_quoted")]
-    cells = _counted(train, model, ["toxic"]).select("toxic", *capped).groupBy("n_exact", "n_misspelled", "n_quoted", "toxic").count().collect()
+    cells = _counted(train, model).groupBy("n_exact", "n_misspelled", "n_quoted", "toxic").count().collect()
     forget(train)
     if len({c["toxic"] for c in cells}) == 2:
         model.weights = _fit([(c[0], c[1], c[2], c[3], c[4]) for c in cells])
     return model
 
 
-def _score(model: Model) -> Column:
+def _score(model: Model, names: tuple[str, str, str]) -> Column:
+    exact, wrong, quoted = (F.col(c) for c in names)
     w = [F.lit(float(x)) for x in model.weights]
-    most = lambda c: F.least(F.col(c), F.lit(MOST))
-    plain = most("n_exact") + F.lit(MISSPELLED) * most("n_misspelled")
-    z = w[0] + w[1] * (plain >= 1).cast("double") + w[2] * F.log1p(plain) + w[3] * F.log1p(most("n_quoted"))
+    plain = exact + F.lit(MISSPELLED) * wrong
+    z = w[0] + w[1] * (plain >= 1).cast("double") + w[2] * F.log1p(plain) + w[3] * F.log1p(quoted.cast("double"))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): its score and the hits behind it."""
+    names = ("n_exact", "n_misspelled", "n_quoted")
     model = fitted(docs, labels)
-    counted = _counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
-    scored = counted.withColumn("score", _score(model)).withColumn("held_out", held_out(F.col("doc_id")))
-    return scored.selectExpr("doc_id", "held_out", "score", "int(score >= 0.5D) as predicted", "n_exact", "n_misspelled", "n_quoted")
+    counted = _counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, names)
+    scored = counted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(model, names).alias("score"), *names)
+    return scored.selectExpr("doc_id", "held_out", "score", "int(score >= 0.5D) as predicted", *names)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs`, all columns, without the rows whose score is 0.5 or more."""
+    names = ("__assayer_exact", "__assayer_misspelled", "__assayer_quoted")
     model = fitted(docs, labels)
-    w = model.weights
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(model)
-        for batch in batches:
-            for a, b, data, offs in slices(batch):
-                raw = data.tobytes()
-                keep = [_logit(w, finder.counts(raw[offs[k] : offs[k + 1]])) < 0 for k in range(b - a)]
-                yield batch.slice(a, b - a).filter(pa.array(keep))
-
-    return docs.mapInArrow(scan, docs.schema)
+    return _counted(docs, model, names).where(_score(model, names) < 0.5).select(*docs.columns)
