@@ -81,7 +81,7 @@ windows AS (SELECT item, j, least(10, len(w)) AS n, array_to_string(w[j : j + le
 places AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows))),
 hits AS (SELECT doc_id, item, p, j, n FROM places JOIN windows USING (n, g)),
 cover AS (SELECT doc_id, count(DISTINCT c) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS c FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
 runs AS (SELECT doc_id, max(p + n) - min(p) AS size, min(p) - 1 AS start FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, p - j ORDER BY p) AS island FROM hits) GROUP BY doc_id, item, p - j, island),
 longest AS (SELECT doc_id, size, start FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, start) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
@@ -125,29 +125,27 @@ res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most, 0) AS most_repositories FROM d LEFT JOIN res USING (doc_id)"""
 
 
-#: entities like the spans of the scan above; terms from the words of 64 code points on either side
+#: entities like the spans of the scan above; terms from the words of all texts that hold an entity
 _OP4 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS key FROM documents),
 patterns AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) p(kind, name, re)),
 parts AS (SELECT doc_id, key, t, kind, name, unnest(string_split_regex(t, re)) AS gap, unnest(regexp_extract_all(t, re)) AS value, unnest(range(1, len(string_split_regex(t, re)) + 1)) AS i FROM d, patterns),
 places AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM parts WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
-base AS (SELECT doc_id, key, t, kind, name, value, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS e FROM places WHERE value IS NOT NULL AND CASE kind WHEN 0 THEN TRUE
+base AS (SELECT doc_id, key, t, kind, name, value, digits, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS e FROM places WHERE value IS NOT NULL AND CASE kind WHEN 0 THEN TRUE
   WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
   WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(digits[length(digits) - j] AS INTEGER) ELSE (CAST(digits[length(digits) - j] AS INTEGER) * 2) % 10 + CAST(digits[length(digits) - j] AS INTEGER) // 5 END)) % 10 = 0
   ELSE length(digits) BETWEEN 10 AND 15 END),
-sides AS (SELECT DISTINCT key, kind || ':' || lower(value) AS entity, substring(t, greatest(a - 64, 0) + 1, a - greatest(a - 64, 0)) AS s, greatest(a - 64, 0) AS o, TRUE AS before, a, e, length(t) AS n FROM base
-  UNION ALL SELECT DISTINCT key, kind || ':' || lower(value), substring(t, e + 1, 64), e, FALSE, a, e, length(t) FROM base),
-words AS (SELECT key, entity, o, before, e, n, unnest(string_split_regex(s, '[\pL\pN]+')) AS gap, unnest(regexp_extract_all(s, '[\pL\pN]+')) AS value, unnest(range(1, len(string_split_regex(s, '[\pL\pN]+')) + 1)) AS i FROM sides),
-located AS (SELECT *, o + sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY key, entity, o, before, e ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM words WINDOW w AS (PARTITION BY key, entity, o, before, e ORDER BY i)),
-near AS (SELECT DISTINCT key, entity, lower(value) AS term, CAST(p AS BIGINT) AS p, CAST(p + length(value) AS BIGINT) AS q FROM located l WHERE value IS NOT NULL AND length(lower(value)) >= 3 AND CASE WHEN before THEN p > o OR o = 0 ELSE p + length(value) < e + 64 OR n <= e + 64 END
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.key = l.key AND p < b.e AND b.a < p + length(value))),
-copies AS (SELECT key, count(*) AS copies FROM d WHERE key IN (SELECT key FROM base) GROUP BY key),
-held AS (SELECT DISTINCT term, entity, key FROM near),
-n_e AS (SELECT entity, sum(copies) AS n_e FROM (SELECT DISTINCT entity, key FROM held) JOIN copies USING (key) GROUP BY entity),
-pairs AS (SELECT term, entity, sum(copies) AS c FROM held JOIN copies USING (key) GROUP BY ALL HAVING count(*) >= 3),
-n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT rowid AS r, unnest(regexp_extract_all(lower(t), '[\pL\pN]+')) AS term FROM (SELECT row_number() OVER () AS rowid, t FROM d)) GROUP BY term),
+protected AS (SELECT DISTINCT key, unnest([kind || ':' || lower(value), kind || '@' || CASE kind WHEN 0 THEN split_part(lower(value), '@', 2) WHEN 1 THEN split_part(value, '.', 1) || '.' || split_part(value, '.', 2) WHEN 2 THEN left(digits, 6) ELSE left(digits, 4) END]) AS entity FROM base),
+copies AS (SELECT key, count(*) AS copies, any_value(t) AS t FROM d WHERE key IN (SELECT key FROM base) GROUP BY key),
 total AS (SELECT count(text) AS n FROM documents),
-share AS (SELECT term, entity, log2(n * 1.0 * c / (greatest(n_t, c) * n_e)) / log2(n * 1.0 / n_e) AS share FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total WHERE n_e < n),
-terms AS (SELECT key, p AS a, q AS e, max(CASE WHEN share >= 0.95 THEN 5 ELSE 4 END) AS kind FROM near JOIN share USING (term, entity) WHERE share >= 0.8 GROUP BY ALL),
+n_e AS (SELECT entity, sum(copies) AS n_e FROM protected JOIN copies USING (key) GROUP BY entity HAVING count(*) >= 3 AND sum(copies) < (SELECT n FROM total) AND (substr(entity, 2, 1) = ':' OR sum(copies) <= 0.01 * (SELECT n FROM total))),
+held AS (SELECT DISTINCT key, copies, unnest(regexp_extract_all(lower(t), '[\pL\pN]+')) AS term FROM copies),
+pairs AS (SELECT term, entity, sum(copies) AS c FROM held JOIN protected USING (key) JOIN n_e USING (entity) GROUP BY ALL HAVING count(*) >= 3),
+n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS term FROM (SELECT row_number() OVER () AS r, text FROM documents)) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+share AS (SELECT term, entity, log2(n * 1.0 * c / ((n_t + 1) * n_e)) / log2(n * 1.0 / n_e) AS share FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total),
+wanted AS (SELECT key, term, max(CASE WHEN share >= 0.95 THEN 5 ELSE 4 END) AS kind FROM share JOIN protected USING (entity) JOIN held USING (key, term) WHERE share >= 0.8 GROUP BY ALL),
+words AS (SELECT key, unnest(string_split_regex(t, '[\pL\pN]+')) AS gap, unnest(regexp_extract_all(t, '[\pL\pN]+')) AS value, unnest(range(1, len(string_split_regex(t, '[\pL\pN]+')) + 1)) AS i FROM copies WHERE key IN (SELECT key FROM wanted)),
+located AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM words WINDOW w AS (PARTITION BY key ORDER BY i)),
+terms AS (SELECT l.key, CAST(p AS BIGINT) AS a, CAST(p + length(value) AS BIGINT) AS e, kind FROM located l JOIN wanted w ON w.key = l.key AND w.term = lower(l.value) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.key = l.key AND p < b.e AND b.a < p + length(value))),
 every AS (SELECT doc_id, kind, name, a, e FROM base UNION ALL SELECT doc_id, kind, CASE kind WHEN 4 THEN 'generalise' ELSE 'remove' END, a, e FROM terms JOIN d USING (key)),
 res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind > 3) AS n_terms,
   string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) FILTER (kind < 4) AS base, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans FROM every GROUP BY doc_id)
