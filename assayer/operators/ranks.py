@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from assayer.functions.numbers import finite
+from assayer.operators.auroc import running
 
 
-def average_rank(order: Column | str, keys: list[str]) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    return F.rank().over(W.partitionBy(*keys).orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, order)) - 1) / 2.0
+def ranked(df: DataFrame, keys: list[str], value: str, into: str, buckets: int = 1) -> DataFrame:
+    """Adds average ranks of a value that is never null, from counts by distinct value; with `buckets` a key's values are dealt into
+    that many ranges, so that one key may hold any share of the rows."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    below = running(counts, keys, value, {"_below": "_n"}, buckets)
+    return df.join(below.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(into)), [*keys, value])
 
 
-def rank01(scores: DataFrame, keys: list[str], value: str = "score", into: str = "rank01") -> DataFrame:
+def rank01(scores: DataFrame, keys: list[str], value: str = "score", into: str = "rank01", buckets: int = 1) -> DataFrame:
     """Adds (average rank - 0.5) / number of finite values of the key; missing values stay missing and take no rank."""
     scored = scores.withColumn("_v", finite(F.col(value)))
     kept = scored.where(F.col("_v").isNotNull())
-    ranked = kept.withColumn(into, (average_rank("_v", keys) - 0.5) / F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    every = ranked(kept, keys, "_v", "_rank", buckets).join(sizes, keys).withColumn(into, (F.col("_rank") - 0.5) / F.col("_size"))
     rest = scored.where(F.col("_v").isNull()).withColumn(into, F.lit(None).cast("double"))
-    return ranked.unionByName(rest).drop("_v")
+    return every.select(*scored.columns, into).unionByName(rest).drop("_v")
 
 
 def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame) -> DataFrame:
@@ -29,14 +33,14 @@ def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame
     `components` has (fusion, cell); `signs` has keys, cell and `sign`, never 0.
     """
     n = components.groupBy("fusion").agg(F.count(F.lit(1)).alias("_n"))
-    turned = scores.join(F.broadcast(components), "cell").join(signs, [*keys, "cell"]).withColumn("score", F.col("score") * F.col("sign"))
-    ranked = rank01(turned, [*keys, "fusion", "cell"])
-    mean = ranked.groupBy(*keys, "fusion", sample).agg(F.avg("rank01").alias("_mean"), F.count("rank01").alias("_held"), F.first("label").alias("label"))
-    return mean.join(F.broadcast(n), "fusion").select(*keys, "fusion", sample, "label", F.when(F.col("_held") == F.col("_n"), F.col("_mean")).alias("score"))
+    turned = scores.join(components, "cell").join(signs, [*keys, "cell"]).withColumn("score", F.col("score") * F.col("sign"))
+    places = rank01(turned, [*keys, "fusion", "cell"])
+    mean = places.groupBy(*keys, "fusion", sample).agg(F.avg("rank01").alias("_mean"), F.count("rank01").alias("_held"), F.first("label").alias("label"))
+    return mean.join(n, "fusion").select(*keys, "fusion", sample, "label", F.when(F.col("_held") == F.col("_n"), F.col("_mean")).alias("score"))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, buckets: int = 1) -> DataFrame:
     """The correlation of average ranks of rows that have both values."""
     both = df.withColumn("_x", finite(F.col(x))).withColumn("_y", finite(F.col(y))).where("_x is not null and _y is not null")
-    ranked = both.withColumn("_rx", average_rank("_x", keys)).withColumn("_ry", average_rank("_y", keys))
-    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    every = ranked(ranked(both, keys, "_x", "_rx", buckets), keys, "_y", "_ry", buckets)
+    return every.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))

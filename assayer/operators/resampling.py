@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from assayer.functions.numbers import draw, finite
 from assayer.operators.auroc import LEAST, running
+from assayer.operators.ordering import hash_places
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -97,11 +98,11 @@ def weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> Da
 
 
 def permuted(samples: DataFrame, keys: list[str], sample: str, value: str, seed: Column, into: str = "permuted") -> DataFrame:
-    """Adds `value` of another row of the key: rows in hash order take the values in order of `sample`."""
-    rank = (F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", seed.cast("string"), F.col(sample).cast("string"))), sample)) - 1).alias("_to")
-    place = (F.row_number().over(W.partitionBy(*keys).orderBy(sample)) - 1).alias("_from")
-    values = samples.select(*keys, place, F.col(value).alias(into)).withColumnRenamed("_from", "_to")
-    return samples.select("*", rank).join(values, [*keys, "_to"]).drop("_to")
+    """Adds `value` of another row of the key: rows in one hash order take the values in another."""
+    hashed = lambda *parts: F.md5(F.concat_ws(":", *parts, F.col(sample).cast("string")))
+    taking = hash_places(samples, keys, hashed(seed.cast("string")), sample, "_to")
+    values = hash_places(samples.select(*keys, sample, F.col(value).alias(into)), keys, hashed(F.lit("values")), sample, "_to")
+    return taking.join(values.drop(sample), [*keys, "_to"]).drop("_to")
 
 
 def folds(samples: DataFrame, keys: list[str], sample: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
@@ -109,16 +110,18 @@ def folds(samples: DataFrame, keys: list[str], sample: str, n_splits: int, repea
     by = samples.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.least(F.lit(max(2, n_splits)), F.min("_n")).alias("n_folds"))
     each = replicates(samples, repeats).join(by, keys)
     order = F.md5(F.concat_ws(":", (F.lit(seed) + 1009 * F.col("rep")).cast("string"), F.col(sample).cast("string")))
-    return each.withColumn("fold", (F.pmod(F.row_number().over(W.partitionBy(*keys, "rep", "label").orderBy(order, sample)) - 1, F.col("n_folds"))).cast("int"))
+    placed = hash_places(each, [*keys, "rep", "label"], order, sample, "_place")
+    return placed.withColumn("fold", F.pmod(F.col("_place"), F.col("n_folds")).cast("int")).drop("_place")
 
 
 def budgeted(samples: DataFrame, keys: list[str], sample: str, size: int, seed: int) -> DataFrame:
     """A stratified subsample of about `size` rows: max(2, size * share, rounded half to even) of each label, in hash order."""
-    share = F.count(F.lit(1)).over(W.partitionBy(*keys, "label")) / F.count(F.lit(1)).over(W.partitionBy(*keys))
-    quota = F.greatest(F.lit(2), F.bround(F.lit(size) * share, 0).cast("int"))
+    counts = samples.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") / F.sum("_n").over(W.partitionBy(*keys))
+    quotas = counts.select(*keys, "label", F.greatest(F.lit(2), F.bround(F.lit(size) * share, 0).cast("int")).alias("_quota"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample).cast("string")))
-    place = F.row_number().over(W.partitionBy(*keys, "label").orderBy(order, sample))
-    return samples.select("*", quota.alias("_quota"), place.alias("_place")).where("_place <= _quota").drop("_quota", "_place")
+    placed = hash_places(samples, [*keys, "label"], order, sample, "_place").join(quotas, [*keys, "label"])
+    return placed.where("_place < _quota").select(*samples.columns)
 
 
 def swapped(pairs: DataFrame, keys: list[str], stem: str, seed: Column, into: str = "swapped") -> DataFrame:
@@ -135,5 +138,5 @@ def unpaired(rows: DataFrame, keys: list[str], stem: str) -> DataFrame:
 def budgeted_stems(rows: DataFrame, keys: list[str], stem: str, size: int, seed: int) -> DataFrame:
     """Whole pairs up to an even budget of rows: the first size / 2 stems of each key in hash order."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(stem).cast("string")))
-    place = F.dense_rank().over(W.partitionBy(*keys).orderBy(order, stem))
-    return rows.withColumn("_place", place).where(F.col("_place") <= size // 2).drop("_place")
+    chosen = hash_places(rows.select(*keys, stem).distinct(), keys, order, stem, "_place").where(F.col("_place") < size // 2)
+    return rows.join(chosen.drop("_place"), [*keys, stem], "left_semi")

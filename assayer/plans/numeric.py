@@ -45,7 +45,7 @@ def bst5_cell_seeded_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SCORES_SQL}, f AS (SELECT slug, task, rep, sample_idx, label, row_number() OVER (PARTITION BY slug, task, rep ORDER BY md5(concat_ws(':', '{SEED}', rep, sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, task, rep ORDER BY sample_idx) AS o FROM samples, range({REPS}) r(rep)), "
+    f"WITH {SCORES_SQL}, f AS (SELECT slug, task, rep, sample_idx, label, row_number() OVER (PARTITION BY slug, task, rep ORDER BY md5(concat_ws(':', '{SEED}', rep, sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, task, rep ORDER BY md5(concat_ws(':', 'values', sample_idx)), sample_idx) AS o FROM samples, range({REPS}) r(rep)), "
     "perm AS (SELECT a.slug, a.task, a.rep, a.sample_idx, b.label FROM f a JOIN f b ON a.slug = b.slug AND a.task = b.task AND a.rep = b.rep AND a.t = b.o), "
     "sh AS (SELECT s.slug, s.task, p.rep, s.cell, s.score, p.label FROM scores s JOIN perm p USING (slug, task, sample_idx)), "
     f"nul AS (SELECT slug, task, rep, max(abs(auc - 0.5)) AS m FROM {area_sql('sh', 'slug, task, rep, cell')} GROUP BY ALL), obs AS (SELECT slug, task, cell, abs(auc - 0.5) AS d FROM {area_sql('scores', 'slug, task, cell')}) "
@@ -123,7 +123,7 @@ def udf1_composite_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"WITH {_ANSWERS_SQL} SELECT conv_id, turn, CASE WHEN regexp_matches(answer, '(?i)^\s*(yes|no)\b') THEN upper(regexp_extract(answer, '(?i)^\s*(yes|no)\b', 1)) END AS answer FROM answers")
 def udf1_custom_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer parser with a caller's own tiers."""
-    return answers(spark, sf_dir).select("conv_id", "turn", texts.yes_no(F.col("answer"), {"first": texts.TIERS["first"]}, special="(?!)").alias("answer"))
+    return answers(spark, sf_dir).select("conv_id", "turn", texts.yes_no(F.col("answer"), {"first": r"(?i)^\s*(yes|no)\b"}, special="(?!)").alias("answer"))
 
 
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, CASE WHEN abs(value - 20) <= 2 THEN 'ABSTAIN' WHEN value > 20 THEN 'BLOCK' ELSE 'ALLOW' END AS decision FROM events) SELECT hour, event_type, decision, count(*) AS n FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL")

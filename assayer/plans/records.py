@@ -41,7 +41,7 @@ def str12_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_hashes(spark, sf_dir, "{nation,region}.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", "sha256")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('nation.parquet', TRUE), ('region.parquet', TRUE), ('absent', FALSE)) t(name, found)")
 def src9_content_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs found by their content among the files of a folder."""
     wanted = str12_file_hashes(spark, sf_dir).select("name", "sha256").unionByName(spark.createDataFrame([("absent", "0" * 64)], "name string, sha256 string"))

@@ -159,7 +159,7 @@ def jon7_planned_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("slug", "task", F.when(F.col("cell").isNull(), "UNRUN").otherwise("RUN").alias("status"), F.coalesce(F.col("auroc") > 0.6, F.lit(False)).alias("deployable"))
 
 
-@query()
+@query("WITH n AS (SELECT p_partkey, p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS k FROM part) SELECT p_partkey, p_brand, p_type, (SELECT arg_min(b.p_type, b.k + CASE WHEN b.k > a.k THEN 0 ELSE 1000000000 END) FROM n b WHERE b.p_brand = a.p_brand AND b.p_type <> a.p_type) AS donor FROM n a")
 def jon8_donor_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrong answers for parts of each brand: another part's type, never its own."""
     return joins.donors(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_type").select("p_partkey", "p_brand", "p_type", "donor")
@@ -402,7 +402,7 @@ def src6_tolerant_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark).select("cell_idx", files.panel_cells(text).alias("c")).select("cell_idx", "c.step", "c.family", "c.detail")
 
 
-@query()
+@query("SELECT * FROM nation")
 def src7_guarded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Parquet file behind a check of its content."""
     path = f"{sf_dir}/nation.parquet"

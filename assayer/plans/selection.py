@@ -143,7 +143,7 @@ def bst9_partial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _permuted_sql(seed: str) -> str:
-    return f"""f AS (SELECT slug, task, sample_idx, row_number() OVER (PARTITION BY slug, task ORDER BY md5(concat_ws(':', '{seed}', sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, task ORDER BY sample_idx) AS o, label FROM samples),
+    return f"""f AS (SELECT slug, task, sample_idx, row_number() OVER (PARTITION BY slug, task ORDER BY md5(concat_ws(':', '{seed}', sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, task ORDER BY md5(concat_ws(':', 'values', sample_idx)), sample_idx) AS o, label FROM samples),
 perm AS (SELECT a.slug, a.task, a.sample_idx, b.label FROM f a JOIN f b ON a.slug = b.slug AND a.task = b.task AND a.t = b.o)"""
 
 
@@ -159,7 +159,7 @@ def prm1_shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SAMPLES_SQL}, r AS (SELECT slug, stratum, rep, label, p, row_number() OVER (PARTITION BY slug, stratum, rep ORDER BY md5(concat_ws(':', '{SEED}', rep, sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, stratum, rep ORDER BY sample_idx) AS o FROM samples, range({REPS}) x(rep)), "
+    f"WITH {SAMPLES_SQL}, r AS (SELECT slug, stratum, rep, label, p, row_number() OVER (PARTITION BY slug, stratum, rep ORDER BY md5(concat_ws(':', '{SEED}', rep, sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, stratum, rep ORDER BY md5(concat_ws(':', 'values', sample_idx)), sample_idx) AS o FROM samples, range({REPS}) x(rep)), "
     "s AS (SELECT a.slug, a.rep, avg(a.p) FILTER (b.label = 1) - avg(a.p) FILTER (b.label = 0) AS d FROM r a JOIN r b ON a.slug = b.slug AND a.stratum = b.stratum AND a.rep = b.rep AND a.t = b.o GROUP BY ALL), "
     "o AS (SELECT slug, avg(p) FILTER (label = 1) - avg(p) FILTER (label = 0) AS d0 FROM samples GROUP BY slug) SELECT slug, round(max(d0), 6) AS observed, round((count(*) FILTER (d >= d0) + 1) * 1.0 / (count(*) + 1), 9) AS p FROM s JOIN o USING (slug) GROUP BY slug"
 )
@@ -244,7 +244,7 @@ def sub3_smoke_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKED_SQL = "ranked AS (SELECT *, (rank() OVER w + (count(*) OVER (PARTITION BY slug, task, cell, score) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY slug, task, cell) AS rank01 FROM scores WHERE score IS NOT NULL WINDOW w AS (PARTITION BY slug, task, cell ORDER BY score))"
 
 
-@query(f"WITH {SCORES_SQL}, {_RANKED_SQL} SELECT slug, task, cell, sample_idx, round(rank01, 9) AS rank01 FROM scores s LEFT JOIN ranked r USING (slug, task, cell, sample_idx)")
+@query(f"WITH {SCORES_SQL} SELECT slug, task, cell, sample_idx, CASE WHEN score IS NOT NULL THEN round((rank() OVER (PARTITION BY slug, task, cell ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY slug, task, cell, score) - 1) / 2.0 - 0.5) / count(score) OVER (PARTITION BY slug, task, cell), 9) END AS rank01 FROM scores")
 def rnk1_rank01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.rank01(scores(spark, sf_dir), ["slug", "task", "cell"]).select("slug", "task", "cell", "sample_idx", rounded(F.col("rank01")).alias("rank01"))
 

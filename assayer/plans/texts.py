@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -55,11 +57,19 @@ def str4_commitment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == "").alias("empty"), F.count_if(texts.is_canonical(F.col("c"))).alias("canonical"))
 
 
-@query(
-    rf"WITH {_ANSWERS_SQL}, b AS (SELECT conv_id, turn, regexp_replace(answer, '<\|[^|>]*\|>', ' ', 'g') AS t FROM answers) SELECT conv_id, turn, upper(coalesce("
-    + ", ".join(f"list_extract(regexp_extract_all(t, '{p.replace('(?im)', '(?i)(?m)') if '(?im)' in p else p}', 1), -1)" for p in texts.TIERS.values())
-    + ")) AS answer FROM b"
-)
+#: the tiers by words and lines, and by patterns only where they are about what stands before the answer
+_TIERS_SQL = r"""b AS (SELECT conv_id, turn, trim(regexp_replace(answer, '<\|[^|>]+\|>', ' ', 'g')) AS t FROM answers),
+w AS (SELECT *, list_filter(list_transform(regexp_extract_all(t, '[A-Za-z]+'), lambda x: lower(x)), lambda x: x NOT IN ('assistant', 'user', 'system')) AS words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_full_match(x, '(?i)[\s*"''.!?\-:()]*(yes|no)[\s*"''.!?\-:()]*')) AS bare FROM b),
+parsed AS (SELECT conv_id, turn, upper(coalesce(
+  list_extract(regexp_extract_all(t, '(?i)(?:final answer|conclusion)\s*(?:is\s+)?[:=]?\s*["'']?(yes|no)\b', 1), -1),
+  list_extract(regexp_extract_all(t, '(?i)(?:(?:^|\n)\s*|[.:]\s+)answer\s*[:=]?\s*["'']?(yes|no)\b', 1), -1),
+  CASE WHEN words[1] IN ('yes', 'no') THEN words[1] END,
+  CASE WHEN len(bare) > 0 THEN regexp_extract(bare[len(bare)], '(?i)(yes|no)', 1) END,
+  list_extract(list_filter(words, lambda x: x IN ('yes', 'no')), -1))) AS answer FROM w)"""
+
+
+@query(f"WITH {_ANSWERS_SQL}, {_TIERS_SQL} SELECT conv_id, turn, answer FROM parsed")
 def str5_yes_no_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("conv_id", "turn", texts.yes_no(F.col("answer")).alias("answer"))
 
@@ -72,10 +82,19 @@ def str6_check_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("conv_id", "turn", F.contains(F.lower("answer"), expected).alias("correct"))
 
 
-@query("SELECT doc_id, sha256('Source: ' || source || chr(10) || 'Language: ' || lang || chr(10) || 'Text: ' || text || chr(10) || 'Answer YES or NO.') AS prompt_hash FROM documents")
+#: which column stands for each field of the templates
+_FIELDS = {"premise": "text", "hypothesis": "source", "question": "source", "answer": "lang", "knowledge": "text", "candidate": "lang", "dialogue_history": "source", "document": "text"}
+
+
+def _filled_sql(name: str, template: str) -> str:
+    parts = "||".join(f"'{x}'" if i % 2 == 0 else _FIELDS[x] for i, x in enumerate(re.split(r"\{(\w+)\}", template))).replace("\n", "' || chr(10) || '")
+    return f"SELECT doc_id, '{name}' AS template, sha256({parts}) AS prompt_hash FROM documents"
+
+
+@query(" UNION ALL ".join(_filled_sql(n, t) for n, t in texts.TEMPLATES.items()))
 def str7_prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompt = F.format_string("Source: %s\nLanguage: %s\nText: %s\nAnswer YES or NO.", "source", "lang", "text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prompt, 256).alias("prompt_hash"))
+    filled = [F.struct(F.lit(n).alias("template"), F.sha2(texts.prompt(t, **{k: F.col(c) for k, c in _FIELDS.items()}), 256).alias("prompt_hash")) for n, t in texts.TEMPLATES.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(*filled)))
 
 
 @query(f"WITH t AS (SELECT doc_id, {_SINGLE} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(left(t, 80), ' [^ ]*$', '') END AS head FROM t")

@@ -201,7 +201,9 @@ def test_hash_ignores_white_space_of_any_kind(spark):
 
 @pytest.mark.parametrize(
     ("text", "answer"),
-    [("Yes.", "YES"), ("yesterday", None), ("no, **Answer: YES**", "YES"), ("I think\nno", "NO"), ("maybe yes or no", "NO"), ("the answer is: no. yes", "NO"), ("", None), (None, None)],
+    [("Yes.", "YES"), ("yesterday", None), ("no, **Answer: YES**", "NO"), ("I think\nno", "NO"), ("maybe yes or no", "NO"), ("the answer is: no. yes", "YES"), ("", None), (None, None),
+     ("Answer: NO. Conclusion: YES", "YES"), ("Answer: NO. So, wait. Final Answer: YES.", "YES"), ("Final Answer: YES Explanation: no", "YES"), ("ASSISTANT: YES, maybe no", "YES"), ("Analysis: yes\n**NO**\n", "NO"),
+     ("Hm. Answer: 'no'. So yes", "NO"), ("the final answer = \"no\" or yes", "NO"), ("<|end|>NO<|x|> yes", "NO"), ("Let me see: no\nYES.\nThat is it, no", "YES"), ("nobody said yesterday", None), ("system user no yes", "NO")],
 )
 def test_answers(spark, text, answer):
     assert one(spark.createDataFrame([(text,)], "t string").select(texts.yes_no(F.col("t")).alias("a"))).a == answer
@@ -302,3 +304,34 @@ def test_extension_points(spark):
     extensions.register_sql(spark)
     assert spark.sql("select yes_no_bare('No.') as a").first().a == "NO"
     del extensions.COMPOSITES["ratio"]
+
+
+def test_ranges_follow_the_values_not_their_extent(spark):
+    values = [i / 7 for i in range(400)] + [1e12, -1e12, 0.5, 0.5]
+    rows = spark.createDataFrame([("k", i, v, i % 2) for i, v in enumerate(values)], "k string, s int, score double, label int")
+    plain = {r.s: r.rank01 for r in ranks.rank01(rows, ["k"]).collect()}
+    dealt = {r.s: r.rank01 for r in ranks.rank01(rows, ["k"], buckets=8).collect()}
+    assert plain == dealt and len(plain) == 404
+    order = sorted(values)
+    assert abs(plain[0] - (order.index(values[0]) + 0.5) / 404) < 1e-12 and plain[402] == plain[403]
+    assert one(auroc.ranked_area(rows, ["k"], buckets=8)).auc == one(auroc.ranked_area(rows, ["k"])).auc
+
+
+def test_hash_places_are_gapless_and_in_order(spark):
+    import hashlib
+
+    from assayer.operators import ordering
+
+    rows = spark.createDataFrame([("ab"[i % 3 == 0], i) for i in range(3000)], "k string, s int")
+    got = ordering.hash_places(rows, ["k"], F.md5(F.col("s").cast("string")), "s", "place").collect()
+    for k in "ab":
+        mine = sorted((hashlib.md5(str(r.s).encode()).hexdigest(), r.place) for r in got if r.k == k)
+        assert [p for _, p in mine] == list(range(len(mine)))
+
+
+def test_prompts_need_all_fields(spark):
+    filled = texts.prompt(texts.TEMPLATES["proposed_answer"], question=F.lit("Why?"), answer=F.lit("So."))
+    text = one(spark.range(1).select(filled.alias("p"))).p
+    assert text.endswith("Question: Why?\nProposed answer: So.\nAnswer:") and text.startswith("Instruction: Read the question")
+    with pytest.raises(KeyError):
+        texts.prompt(texts.TEMPLATES["proposed_answer"], question=F.lit("Why?"))
