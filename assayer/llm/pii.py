@@ -9,7 +9,7 @@ documents prove little. At least `SUPPORT` different texts must hold both, and g
 identify nobody. Terms are runs of letters and digits outside entities. A term whose share reaches `GENERALISE` is generalised and
 one that reaches `REMOVE` is removed, at all its places in every text that holds the entity.
 
-Entities are searched once for a text. Only words of texts with entities are candidates; a term can reach `GENERALISE` only if
+Entities are searched once for a text. Only words that texts hold beside entities are candidates; a term can reach `GENERALISE` only if
 enough of its documents hold an entity at all, which leaves few terms to be paired with entities, so the pairs do not grow with the
 square of a text. Counts are pre-aggregated before each shuffle.
 
@@ -35,7 +35,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD, BETWEEN = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]++"
+BETWEEN = r"[^\p{L}\p{N}]++"
+#: stands for an entity where the words around it are told; a letter, so that no word begins or ends inside an entity
+_MARK = "\uA015"
 #: different texts that must hold a term and an entity together; shares of the entity's information
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: share of the documents from which on a group of entities identifies nobody
@@ -104,8 +106,9 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
     entities = entities.where((F.substring("entity", 2, 1) == ":") | (F.col("n_e") <= COMMON * total))
     entities = stored(entities.select("entity", "n_e"), "protected")
     holds = stored(holds.join(entities, "entity"), "holds")
-    own = texts.join(holds.select("key").distinct(), "key", "left_semi").select("key", "copies", F.explode(_terms(F.col("text"))).alias("term"))
-    own = stored(own, "own")
+    bare = replaced(F.col("text"), _bare("base"), [_MARK] * len(KINDS))
+    own = texts.join(holds.select("key").distinct(), "key", "left_semi").select("key", "copies", F.explode(_terms(bare)).alias("term"))
+    own = stored(own.where(~F.contains("term", F.lit(_MARK))), "own")
     likely = stored(own.groupBy("term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("term", "c"), "likely")
     counts = _corpus_counts(docs, likely).join(likely, "term")
     # no entity has fewer documents than `support`, and no pair more than the term has with all of them
@@ -118,10 +121,12 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
     chosen = pairs.join(entities, "entity").join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise)
     chosen = stored(chosen.select("term", "entity", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "chosen")
     wanted = rows.join(chosen, "term").join(holds.select("key", "entity"), ["key", "entity"], "left_semi").groupBy("key", "term").agg(F.max("kind").alias("kind"))
-    wanted = stored(wanted, "wanted")
-    words = texts.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "base", F.explode(matches(F.col("text"), 0, WORD)).alias("w"))
+    wanted = stored(wanted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "wanted")
+    # only the wanted words of a text are located
+    word = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(F.map_keys("kinds")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    words = texts.join(wanted, "key").select("key", "base", "kinds", F.explode(matches(F.col("text"), 0, word)).alias("w"))
     free = ~F.exists("base", lambda y: (F.col("w.start") < y["end"]) & (y["start"] < F.col("w.end")))
-    spans = words.where(free).select("key", F.lower("w.value").alias("term"), "w.start", "w.end").join(wanted, ["key", "term"])
+    spans = words.where(free).select("key", "w.start", "w.end", F.element_at("kinds", F.lower("w.value")).alias("kind")).where("kind is not null")
     out = stored(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")), "terms")
     forget(texts, entities, holds, own, likely, counts, rows, chosen, wanted)
     return out
@@ -148,9 +153,9 @@ def detected(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     )
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """`text` with each span (kind, start, end) replaced by its label; of overlapping spans the first one's label stands for all."""
-    labels = F.array(*(F.lit(x) for x in LABELS))
+def replaced(text: Column, spans: Column, labels: list[str] = LABELS) -> Column:
+    """`text` with each span (kind, start, end) replaced by its kind's label; of overlapping spans the first one's label stands for all."""
+    labels = F.array(*(F.lit(x) for x in labels))
     order = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
     def step(acc: Column, x: Column) -> Column:

@@ -125,7 +125,7 @@ res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most, 0) AS most_repositories FROM d LEFT JOIN res USING (doc_id)"""
 
 
-#: entities like the spans of the scan above; terms from the words of all texts that hold an entity
+#: entities like the spans of the scan above; terms from the words beside them in all texts that hold an entity
 _OP4 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS key FROM documents),
 patterns AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) p(kind, name, re)),
 parts AS (SELECT doc_id, key, t, kind, name, unnest(string_split_regex(t, re)) AS gap, unnest(regexp_extract_all(t, re)) AS value, unnest(range(1, len(string_split_regex(t, re)) + 1)) AS i FROM d, patterns),
@@ -138,14 +138,15 @@ protected AS (SELECT DISTINCT key, unnest([kind || ':' || lower(value), kind ||
 copies AS (SELECT key, count(*) AS copies, any_value(t) AS t FROM d WHERE key IN (SELECT key FROM base) GROUP BY key),
 total AS (SELECT count(text) AS n FROM documents),
 n_e AS (SELECT entity, sum(copies) AS n_e FROM protected JOIN copies USING (key) GROUP BY entity HAVING count(*) >= 3 AND sum(copies) < (SELECT n FROM total) AND (substr(entity, 2, 1) = ':' OR sum(copies) <= 0.01 * (SELECT n FROM total))),
-held AS (SELECT DISTINCT key, copies, unnest(regexp_extract_all(lower(t), '[\pL\pN]+')) AS term FROM copies),
+words AS (SELECT key, copies, unnest(string_split_regex(t, '[\pL\pN]+')) AS gap, unnest(regexp_extract_all(t, '[\pL\pN]+')) AS value, unnest(range(1, len(string_split_regex(t, '[\pL\pN]+')) + 1)) AS i FROM copies),
+located AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM words WINDOW w AS (PARTITION BY key ORDER BY i)),
+free AS (SELECT key, copies, lower(value) AS term, CAST(p AS BIGINT) AS a, CAST(p + length(value) AS BIGINT) AS e FROM located l WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM base b WHERE b.key = l.key AND p < b.e AND b.a < p + length(value))),
+held AS (SELECT DISTINCT key, copies, term FROM free),
 pairs AS (SELECT term, entity, sum(copies) AS c FROM held JOIN protected USING (key) JOIN n_e USING (entity) GROUP BY ALL HAVING count(*) >= 3),
 n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS term FROM (SELECT row_number() OVER () AS r, text FROM documents)) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
 share AS (SELECT term, entity, log2(n * 1.0 * c / ((n_t + 1) * n_e)) / log2(n * 1.0 / n_e) AS share FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total),
 wanted AS (SELECT key, term, max(CASE WHEN share >= 0.95 THEN 5 ELSE 4 END) AS kind FROM share JOIN protected USING (entity) JOIN held USING (key, term) WHERE share >= 0.8 GROUP BY ALL),
-words AS (SELECT key, unnest(string_split_regex(t, '[\pL\pN]+')) AS gap, unnest(regexp_extract_all(t, '[\pL\pN]+')) AS value, unnest(range(1, len(string_split_regex(t, '[\pL\pN]+')) + 1)) AS i FROM copies WHERE key IN (SELECT key FROM wanted)),
-located AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(value)) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM words WINDOW w AS (PARTITION BY key ORDER BY i)),
-terms AS (SELECT l.key, CAST(p AS BIGINT) AS a, CAST(p + length(value) AS BIGINT) AS e, kind FROM located l JOIN wanted w ON w.key = l.key AND w.term = lower(l.value) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.key = l.key AND p < b.e AND b.a < p + length(value))),
+terms AS (SELECT key, a, e, kind FROM free JOIN wanted USING (key, term)),
 every AS (SELECT doc_id, kind, name, a, e FROM base UNION ALL SELECT doc_id, kind, CASE kind WHEN 4 THEN 'generalise' ELSE 'remove' END, a, e FROM terms JOIN d USING (key)),
 res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind > 3) AS n_terms,
   string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) FILTER (kind < 4) AS base, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans FROM every GROUP BY doc_id)

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, kind: int, pattern: str) -> Column:
-    """Leftmost matches that do not overlap, as an array of (kind, start, end, value). Matches must not be empty.
+def matches(text: Column, kind: int, pattern: str | Column) -> Column:
+    """Leftmost matches that do not overlap, as an array of (kind, start, end, value). Matches must not be empty, and few: the array
+    is copied for each.
 
     `pattern` must hold no capturing group; possessive quantifiers keep long runs from overflowing the matcher's stack.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
@@ -30,7 +32,7 @@ def matches(text: Column, kind: int, pattern: str) -> Column:
     )
     none = F.array().cast(SPAN)
     walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(none)
+    return F.when(F.rlike(text, pattern), walked).otherwise(none)
 
 
 def listed(spans: Column, names: list[str]) -> Column:
