@@ -26,7 +26,7 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, str],
     path = scratch.folder(df.sparkSession, "bounds")
     bounds.write.parquet(path)
     bounds = df.sparkSession.read.schema(bounds.schema).parquet(path)
-    dealt = df.join(bounds, keys).withColumn("_k", F.size(F.filter("_q", lambda x: x < F.col(order)))).drop("_q")
+    dealt = df.join(bounds, keys).withColumn("_k", F.coalesce(F.size(F.filter("_q", lambda x: x < F.col(order))), F.lit(0))).drop("_q")
     sums = dealt.groupBy(*keys, "_k").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in values.items()))
     earlier = W.partitionBy(*keys).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*keys, "_k", *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in values))

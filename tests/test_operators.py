@@ -315,6 +315,9 @@ def test_ranges_follow_the_values_not_their_extent(spark):
     order = sorted(values)
     assert abs(plain[0] - (order.index(values[0]) + 0.5) / 404) < 1e-12 and plain[402] == plain[403]
     assert one(auroc.ranked_area(rows, ["k"], buckets=8)).auc == one(auroc.ranked_area(rows, ["k"])).auc
+    none = rows.withColumn("k", F.lit("none")).withColumn("score", F.lit(None).cast("double"))
+    got = {r.k: r.n_evaluated for r in auroc.sign_locked(rows.union(none), ["k"], buckets=8).collect()}
+    assert got == {"k": 404, "none": 0}
 
 
 def test_hash_places_are_gapless_and_in_order(spark):
