@@ -15,33 +15,54 @@ from assayer.functions.numbers import draw, finite
 from assayer.operators.auroc import LEAST, running
 from assayer.operators.ordering import hash_places
 
+#: replicates whose multiplicities travel in one row
+BLOCK = 16
+
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
     """Each row n times, with `rep` from 0."""
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
-    """`samples` (keys, unit, ...) for each replicate with `w`, how often its unit was drawn, 0 if it was not.
+def packed_multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
+    """`samples` (keys, unit, ...) for each block of `BLOCK` replicates with `_w`, how often its unit was drawn in each of them.
 
     Units are drawn whole: rows that share one have the same multiplicity. With unique units this is the plain bootstrap. With
     `buckets` above 1, numeric units are numbered in that many ranges a key, so that a key may hold any share of the rows.
+    Draws are counted before they are shuffled, and units take a row for each block, not for each replicate.
     """
     units = samples.select(*keys, unit, F.lit(1).alias("_one")).distinct()
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_units"))
     numbered = running(units, keys, unit, {"_pos": "_one"}, buckets).join(sizes, keys).drop("_one")
-    drawn = replicates(numbered, n)
     tag = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
-    picks = drawn.select(*keys, "rep", draw(F.col("_units"), F.lit(seed), F.col("rep"), tag, F.col("_pos")).alias("_pos"))
-    counts = picks.groupBy(*keys, "rep", "_pos").agg(F.count(F.lit(1)).alias("_w"))
-    weighted = drawn.join(counts, [*keys, "rep", "_pos"], "left").select(*keys, "rep", unit, F.coalesce("_w", F.lit(0)).cast("long").alias("w"))
-    return weighted.join(samples, [*keys, unit])
+    pick = draw(F.col("_units"), F.lit(seed), F.col("rep"), tag, F.col("_pos"))
+    picks = replicates(numbered, n).select(*keys, F.floor(F.col("rep") / BLOCK).cast("int").alias("_block"), (F.col("rep") % BLOCK).alias("_at"), pick.alias("_pos"))
+    counts = picks.groupBy(*keys, "_block", "_pos").agg(*(F.sum((F.col("_at") == j).cast("int")).cast("int").alias(f"_w{j}") for j in range(BLOCK)))
+    blocks = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK))))
+    drawn = F.slice(F.array(*(F.coalesce(f"_w{j}", F.lit(0)) for j in range(BLOCK))), F.lit(1), F.least(F.lit(BLOCK), n - BLOCK * F.col("_block")))
+    return blocks.join(counts, [*keys, "_block", "_pos"], "left").select(*keys, unit, "_block", drawn.alias("_w")).join(samples, [*keys, unit])
+
 
+def unpacked(packed: DataFrame) -> DataFrame:
+    """A row for each replicate with `rep` and `w` instead of a row for each block."""
+    each = packed.select(*(c for c in packed.columns if c != "_w"), F.posexplode("_w").alias("_at", "w"))
+    return each.withColumn("rep", BLOCK * F.col("_block") + F.col("_at")).withColumn("w", F.col("w").cast("long")).drop("_at")
 
-def bag_areas(scores: DataFrame, weights: DataFrame, keys: list[str], sample: str, cells: list[str]) -> DataFrame:
-    """For each key, replicate and cell: area in the bag (by multiplicity) and out of it, with the counts behind them."""
-    rows = scores.withColumn("score", finite(F.col("score"))).where("score is not null and label is not null").join(weights.select(*keys, sample, "rep", "w"), [*keys, sample])
-    group = [*keys, "rep", *cells]
+
+def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
+    """`samples` for each replicate `rep` with `w`, how often its unit was drawn, 0 if it was not."""
+    return unpacked(packed_multiplicities(samples, keys, unit, n, seed, buckets)).drop("_block")
+
+
+def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str]) -> DataFrame:
+    """For each key, replicate and cell: area in the bag (by multiplicity) and out of it, with the counts behind them.
+
+    `packed` comes from `packed_multiplicities`. Scores are shuffled once for each block; the rows of the replicates are made behind
+    that shuffle, in tasks by key, cell and block, and move no more.
+    """
+    held = scores.withColumn("score", finite(F.col("score"))).where("score is not null and label is not null")
+    rows = unpacked(held.join(packed.select(*keys, sample, "_block", "_w"), [*keys, sample]).repartition(*keys, *cells, "_block"))
+    group = [*keys, "_block", "rep", *cells]
     in1, in0 = (F.sum(F.when(F.col("label") == k, F.col("w")).otherwise(0)) for k in (1, 0))
     out1, out0 = (F.sum(F.when((F.col("label") == k) & (F.col("w") == 0), 1).otherwise(0)) for k in (1, 0))
     values = rows.groupBy(*group, "score").agg(in1.alias("i1"), in0.alias("i0"), out1.alias("o1"), out0.alias("o0"))
@@ -52,7 +73,7 @@ def bag_areas(scores: DataFrame, weights: DataFrame, keys: list[str], sample: st
         F.sum(F.col("o1") * (2 * F.col("co") + F.col("o0"))).alias("_wo"),
     )
     area = lambda w, a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(w) / (2.0 * F.col(a) * F.col(b)))
-    return sums.select(*group, area("_wi", "i1", "i0").alias("in_bag"), area("_wo", "o1", "o0").alias("out_of_bag"), (F.col("i1") + F.col("i0")).alias("n_in"), (F.col("o1") + F.col("o0")).alias("n_out"))
+    return sums.select(*keys, "rep", *cells, area("_wi", "i1", "i0").alias("in_bag"), area("_wo", "o1", "o0").alias("out_of_bag"), (F.col("i1") + F.col("i0")).alias("n_in"), (F.col("o1") + F.col("o0")).alias("n_out"))
 
 
 def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, unit: str, n: int, seed: int, least: int = LEAST, buckets: int = 1) -> DataFrame:
@@ -61,9 +82,10 @@ def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sam
     `scores` has cell and cell_idx; of equal distances from one half the lower cell_idx wins. A replicate whose unpicked samples
     are fewer than `least` or of one class is skipped; a winner counts even where its own unpicked scores do not suffice.
     """
-    weights = multiplicities(samples, keys, unit, n, seed, buckets)
-    usable = weights.where("w = 0").groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("label").alias("_classes")).where((F.col("_n") >= least) & (F.col("_classes") == 2)).select(*keys, "rep")
-    areas = bag_areas(scores, weights, keys, sample, ["cell", "cell_idx"]).join(usable, [*keys, "rep"], "left_semi")
+    packed = packed_multiplicities(samples, keys, unit, n, seed, buckets)
+    left = unpacked(packed).where("w = 0").groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    usable = left.where((F.col("_n") >= least) & (F.col("_lo") < F.col("_hi"))).select(*keys, "rep")
+    areas = bag_areas(scores, packed, keys, sample, ["cell", "cell_idx"]).join(usable, [*keys, "rep"], "left_semi")
     distance = F.when(F.col("n_in") >= least, F.abs(F.col("in_bag") - 0.5))
     won = areas.where(distance.isNotNull()).groupBy(*keys, "rep").agg(F.max_by(F.struct("cell", "cell_idx", "in_bag", "out_of_bag", "n_out"), F.struct(distance.alias("d"), (-F.col("cell_idx")).alias("o"))).alias("b"))
     sign = F.when(F.col("b.in_bag") >= 0.5, 1).otherwise(-1)
@@ -86,7 +108,7 @@ def selection_summary(winners: DataFrame, keys: list[str], bar: float = 0.5) ->
 
 def weighted_areas(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, seed: int) -> DataFrame:
     """The in-bag area of each replicate and cell, all cells on the same draws."""
-    return bag_areas(scores, multiplicities(samples, keys, sample, n, seed), keys, sample, cells)
+    return bag_areas(scores, packed_multiplicities(samples, keys, sample, n, seed), keys, sample, cells)
 
 
 def weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
