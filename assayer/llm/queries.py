@@ -100,15 +100,22 @@ parts AS (SELECT a AS doc_id, min(b) AS part FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(part, doc_id) AS component_id, coalesce(part, doc_id) = doc_id AS kept FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)"""
 
 
-#: every window of 400 bytes; those that occur twice, merged into runs, and what lies between the runs
-_OP8 = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+#: every window of 400 bytes; those that occur twice, merged into runs, and what lies between the runs; then every window of 50
+#: words that two documents hold, merged alike
+_OP8 = f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 windows AS (SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
 twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
 covered AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER w + 400 THEN 1 ELSE 0 END AS new FROM windows JOIN twice USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
 runs AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS e FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM covered) GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
-kept AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(b), max(e) + 1, any_value(octet_length(b)))) AS rest FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, hex(b)))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+kept AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(b), max(e) + 1, any_value(octet_length(b)))) AS rest FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+words AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+passages AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+shared AS (SELECT h FROM passages GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+held AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 THEN 1 ELSE 0 END AS new FROM passages JOIN shared USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+islands AS (SELECT doc_id, max(i) + 50 - min(i) AS n FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM held) GROUP BY doc_id, run),
+parts AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS passage_words, count(*) AS n_passages FROM islands GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, hex(b)))) AS kept_sha256, coalesce(passage_words, 0) AS passage_words, coalesce(n_passages, 0) AS n_passages FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN parts USING (doc_id)"""
 
 _HEAD = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
 #: matches and what lies between them, whose lengths sum up to places; then owners and repositories of each value
