@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, html_text, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
+from assayer.llm import decontaminate, html_text, importance, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, n=1, buckets=10_000, least_words=20, seed=2024)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_optimal_length_packing,
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bucket_pointer_dedup,
         op9_superminhash_near_dup,
         op10_levenshtein_toxicity,
+        op11_importance_resampling,
     )
     return {f.__name__: f for f in every}
 
@@ -160,6 +166,32 @@ res AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (k
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms FROM d LEFT JOIN res USING (doc_id)"""
 
 
+#: CRC-32 by its table of 256 remainders, made by eight steps of one bit, and one step a byte
+_CRC = """steps(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+remainders AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    at = f"CAST('0x' || substr(hex(encode({text})), 2 * j + 1, 2) AS BIGINT)"
+    return f"xor(list_reduce(list_transform(range(0, octet_length(encode({text}))), lambda j: {at}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_OP11 = f"""WITH RECURSIVE {_CRC},
+docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+target AS (SELECT unnest({_ALNUM}) AS word FROM benchmark),
+held AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM docs) GROUP BY ALL),
+cells AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT word FROM held UNION SELECT word FROM target), remainders),
+raw AS (SELECT bucket, sum(c) AS s FROM held JOIN cells USING (word) GROUP BY bucket),
+aim AS (SELECT bucket, count(*) AS t FROM target JOIN cells USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce((SELECT sum(s) FROM raw), 0)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM aim), 0)::DOUBLE AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM raw FULL JOIN aim USING (bucket), totals),
+sums AS (SELECT doc_id, CAST(sum(c * gain) AS BIGINT) AS g, CAST(sum(c) AS BIGINT) AS n FROM held JOIN cells USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+weighed AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight FROM docs LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS part FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * part // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested against brute force."""
-    return {"op3_ownership_secret_scan": _OP3, "op4_information_theoretic_pii": _OP4, "op7_suffix_decontamination": _OP7, "op8_bucket_pointer_dedup": _OP8, "op9_superminhash_near_dup": _OP9}
+    return {"op3_ownership_secret_scan": _OP3, "op4_information_theoretic_pii": _OP4, "op7_suffix_decontamination": _OP7, "op8_bucket_pointer_dedup": _OP8, "op9_superminhash_near_dup": _OP9, "op11_importance_resampling": _OP11}
