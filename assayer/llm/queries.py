@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, html_text, importance, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
+from assayer.llm import clustered, decontaminate, html_text, importance, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_multidimensional_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clustered.document_dimensions(_table(spark, sf_dir, "documents"))
+    return clustered.laid_out(rows, "doc_id", ["source", "lang", "length", "date"], fixed=2, bits=3, file_rows=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_optimal_length_packing,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_superminhash_near_dup,
         op10_levenshtein_toxicity,
         op11_importance_resampling,
+        op13_multidimensional_layout,
     )
     return {f.__name__: f for f in every}
 
@@ -192,6 +198,22 @@ ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r,
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * part // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
 
 
+_DIMENSIONS = ("source", "lang", "length", "date")
+_Z = " + ".join(f"((c_{d} >> {b}) & 1) * {1 << (4 * b + i)}" for b in range(3) for i, d in enumerate(_DIMENSIONS))
+_OP13 = f"""WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, source, lang, coalesce(octet_length(encode(text)), -1) AS length, {_crc("CAST(doc_id AS VARCHAR)")} % 365 AS date FROM documents, remainders),
+coordinates AS (SELECT doc_id, {", ".join(f"8 * (rank() OVER (ORDER BY {x} NULLS FIRST) - 1) // count(*) OVER () AS c_{x}" for x in _DIMENSIONS)} FROM d),
+cells AS (SELECT *, CAST({_Z} AS BIGINT) AS z FROM coordinates),
+placed AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position, (row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1) // 2000 AS file FROM cells),
+files AS (SELECT file, {", ".join(f"min(c_{x}) AS low_{x}, max(c_{x}) AS high_{x}" for x in _DIMENSIONS)} FROM placed GROUP BY file),
+held AS (SELECT DISTINCT file, z, c_source, c_lang, c_length, c_date FROM placed),
+asked AS (SELECT DISTINCT z, c_source, c_lang, c_length, c_date FROM held),
+touched AS (SELECT z, count(*) AS files_touched FROM asked JOIN files ON c_source BETWEEN low_source AND high_source AND c_lang BETWEEN low_lang AND high_lang
+  AND low_length <= c_length + 1 AND high_length >= c_length - 1 AND low_date <= c_date + 1 AND high_date >= c_date - 1 GROUP BY z),
+matching AS (SELECT a.z, count(DISTINCT file) AS files_matching FROM asked a JOIN held h ON h.c_source = a.c_source AND h.c_lang = a.c_lang AND abs(h.c_length - a.c_length) <= 1 AND abs(h.c_date - a.c_date) <= 1 GROUP BY a.z)
+SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', {", ".join(f"low_{x}, high_{x}" for x in _DIMENSIONS)}) AS file_bounds FROM placed JOIN files USING (file) JOIN touched USING (z) JOIN matching USING (z)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested against brute force."""
-    return {"op3_ownership_secret_scan": _OP3, "op4_information_theoretic_pii": _OP4, "op7_suffix_decontamination": _OP7, "op8_bucket_pointer_dedup": _OP8, "op9_superminhash_near_dup": _OP9, "op11_importance_resampling": _OP11}
+    return {"op3_ownership_secret_scan": _OP3, "op4_information_theoretic_pii": _OP4, "op7_suffix_decontamination": _OP7, "op8_bucket_pointer_dedup": _OP8, "op9_superminhash_near_dup": _OP9, "op11_importance_resampling": _OP11, "op13_multidimensional_layout": _OP13}
