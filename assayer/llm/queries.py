@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import clustered, decontaminate, html_text, importance, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, toxicity
+from assayer.llm import clustered, decontaminate, html_text, importance, near_dup, packing, pii, quality, secrets, sharding, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op13_multidimensional_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clustered.document_dimensions(_table(spark, sf_dir, "documents"))
     return clustered.laid_out(rows, "doc_id", ["source", "lang", "length", "date"], fixed=2, bits=3, file_rows=2000)
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_superminhash_near_dup,
         op10_levenshtein_toxicity,
         op11_importance_resampling,
+        op12_token_files,
         op13_multidimensional_layout,
     )
     return {f.__name__: f for f in every}
