@@ -34,6 +34,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -54,7 +55,7 @@ HEAD_BYTES, FOOT_BYTES = struct.calcsize(HEAD), struct.calcsize(FOOT)
 #: text bytes a file, about; documents whose ids train the dictionary, with the ids taken of each; the dictionary's bytes
 FILE_BYTES = 64 << 20
 TRAIN_ROWS, TRAIN_IDS, DICTIONARY_BYTES = 1500, 512, 64 << 10
-#: pieces that a worker keeps, and the longest one
+#: pieces in the younger of the two maps that a worker keeps, and the longest piece
 KEPT, KEPT_BYTES = 1 << 19, 64
 MANIFEST = "name string, file int, documents long, ids long, first_id long, last_id long"
 _PIECE = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[^a-z\x80-\xff]|\Z)|\S+")
@@ -70,6 +71,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         self._special = [t.content.encode().lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
 
     def _pieces(self, text: bytes) -> list[bytes]:
@@ -78,15 +80,19 @@ class Encoder:
         return _RAW_PIECE.findall(text) if any(s in low for s in self._special) else _PIECE.findall(low)
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
+        if len(self._ids) > KEPT:  # the older half goes; what is still in use comes back from it
+            self._older, self._ids = self._ids, {}
+        known, older = self._ids, self._older
         pieces = [self._pieces(t) for t in texts]
-        known = self._ids
-        if len(known) > KEPT:
-            known.clear()
-        new = [p for p in {p for ps in pieces for p in ps} if p not in known]
+        found = [list(map(known.get, ps)) for ps in pieces]
+        missing = {p for ps, ids in zip(pieces, found, strict=True) if None in ids for p, x in zip(ps, ids, strict=True) if x is None}
+        for p in missing & older.keys():
+            known[p] = older[p]
+        new = [p for p in missing if p not in known]
         if new:
             made = self._tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, made, strict=True))
-        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, made, strict=True))
+        out = [b"".join(map(known.__getitem__, ps) if None in ids else ids) for ps, ids in zip(pieces, found, strict=True)]
         for p in new:
             if len(p) > KEPT_BYTES:
                 del known[p]
