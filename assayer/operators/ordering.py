@@ -18,3 +18,22 @@ def hash_places(df: DataFrame, keys: list[str], order: Column, tie: str, into: s
     starts = sizes.select(*keys, "_cell", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell")) - F.col("_n")).alias("_start"))
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_cell").orderBy("_h", tie)) - 1)
     return ranked.join(starts, [*keys, "_cell"]).withColumn(into, F.col("_start") + F.col("_rank")).drop("_h", "_cell", "_rank", "_start")
+
+
+def value_ranges(df: DataFrame, keys: list[str], value: str, tie: str, largest: int, rows: int, into: str) -> DataFrame:
+    """`df` with the number of the range that its value falls in, from 0 within each key: about `rows` rows a range where a key has
+    more than that; `largest` is the number of rows of the largest key. Equal values share a range.
+
+    The bounds are quantiles of the rows whose hash is least, the same in every run and after lost tasks, unlike sketches that
+    depend on the order of merging. A key too small for a sample is one range.
+    """
+    if largest <= rows:
+        return df.withColumn(into, F.lit(0))
+    n = -(-largest // rows)
+    share = min(1.0, 64 * n / largest)  # about 64 sampled values a range
+    chosen = F.pmod(F.xxhash64(value, tie), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    sample = df.where(chosen).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    at = lambda i: F.element_at("_v", (F.floor(i * F.size("_v") / F.lit(n)) + 1).cast("int"))
+    bounds = sample.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at).alias("_q"))
+    placed = df.join(bounds, keys, "left").withColumn(into, F.coalesce(F.size(F.filter("_q", lambda q: q <= F.col(value))), F.lit(0)))
+    return placed.withColumn(into, F.greatest(F.col(into), F.lit(0))).drop("_q")

@@ -1,7 +1,7 @@
 """Bootstraps, permutations and folds as set operations.
 
 A resample is a table of multiplicities: draws are counted by (replicate, unit) and joined to the samples, of which the unpicked
-keep multiplicity 0 and are out of the bag. Draws come from MD5 of `seed:replicate:key:slot`, the same in any engine and on any
+keep multiplicity 0 and are out of the bag. All replicates of a sample travel in one vector (`functions.vectors`). Draws come from MD5 of `seed:replicate:key:slot`, the same in any engine and on any
 executor, so a recomputed task draws the same.
 """
 
@@ -10,13 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from assayer.functions import vectors
 from assayer.functions.numbers import draw, finite
 from assayer.operators.auroc import LEAST, running
-from assayer.operators.ordering import hash_places
+from assayer.operators.ordering import hash_places, value_ranges
 
-#: replicates whose multiplicities travel in one row
-BLOCK = 16
+#: rows of one key and cell that a task takes at most as one range, but for ties
+RANGE_ROWS = 1 << 15
+
+#: replicates whose multiplicities travel in one long, a byte each: a unit that is drawn 256 times in one replicate would be needed
+#: to overflow one, and a draw has one in expectation
+BLOCK = 8
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -25,52 +31,73 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
 
 
 def packed_multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
-    """`samples` (keys, unit, ...) for each block of `BLOCK` replicates with `_w`, how often its unit was drawn in each of them.
+    """`samples` (keys, unit, ...) with `_draws`, how often the row's unit was drawn in each of `n` replicates: pairs of a block of
+    replicates and their multiplicities, a byte each; a block that never drew the unit is left out.
 
     Units are drawn whole: rows that share one have the same multiplicity. With unique units this is the plain bootstrap. With
     `buckets` above 1, numeric units are numbered in that many ranges a key, so that a key may hold any share of the rows.
-    Draws are counted before they are shuffled, and units take a row for each block, not for each replicate.
+    Draws are counted before they are shuffled, and a unit takes one row, whatever the number of replicates.
     """
     units = samples.select(*keys, unit, F.lit(1).alias("_one")).distinct()
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_units"))
     numbered = running(units, keys, unit, {"_pos": "_one"}, buckets).join(sizes, keys).drop("_one")
     tag = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
     pick = draw(F.col("_units"), F.lit(seed), F.col("rep"), tag, F.col("_pos"))
-    picks = replicates(numbered, n).select(*keys, F.floor(F.col("rep") / BLOCK).cast("int").alias("_block"), (F.col("rep") % BLOCK).alias("_at"), pick.alias("_pos"))
-    counts = picks.groupBy(*keys, "_block", "_pos").agg(*(F.sum((F.col("_at") == j).cast("int")).cast("int").alias(f"_w{j}") for j in range(BLOCK)))
-    blocks = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK))))
-    drawn = F.slice(F.array(*(F.coalesce(f"_w{j}", F.lit(0)) for j in range(BLOCK))), F.lit(1), F.least(F.lit(BLOCK), n - BLOCK * F.col("_block")))
-    return blocks.join(counts, [*keys, "_block", "_pos"], "left").select(*keys, unit, "_block", drawn.alias("_w")).join(samples, [*keys, unit])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("rep") % BLOCK) * 8)
+    # a unit is a short row that makes n draws: dealt by number of tasks, not by size
+    spread = numbered.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_pos")
+    picks = replicates(spread, n).select(*keys, F.expr(f"rep div {BLOCK}").cast("int").alias("_block"), one.alias("_one"), pick.alias("_pos"))
+    counts = picks.groupBy(*keys, "_pos", "_block").agg(F.sum("_one").alias("_w"))
+    drawn = counts.groupBy(*keys, "_pos").agg(F.collect_list(F.struct("_block", "_w")).alias("_draws"))
+    return numbered.join(drawn, [*keys, "_pos"], "left").select(*keys, unit, "_draws").join(samples, [*keys, unit])
+
 
+def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
+    """`samples` for each replicate `rep` with `w`, how often its unit was drawn, 0 if it was not. A row for each sample and
+    replicate: statistics of resamples are better taken from `packed_multiplicities`."""
+    each = replicates(packed_multiplicities(samples, keys, unit, n, seed, buckets), n)
+    block = F.element_at(F.map_from_entries("_draws"), F.expr(f"rep div {BLOCK}").cast("int"))
+    w = F.call_function("shiftrightunsigned", block, (F.col("rep") % BLOCK) * 8).bitwiseAND(F.lit(255))
+    return each.withColumn("w", F.coalesce(w, F.lit(0)).cast("long")).drop("_draws")
 
-def unpacked(packed: DataFrame) -> DataFrame:
-    """A row for each replicate with `rep` and `w` instead of a row for each block."""
-    each = packed.select(*(c for c in packed.columns if c != "_w"), F.posexplode("_w").alias("_at", "w"))
-    return each.withColumn("rep", BLOCK * F.col("_block") + F.col("_at")).withColumn("w", F.col("w").cast("long")).drop("_at")
 
+def replicate_sums(packed: DataFrame, keys: list[str], values: dict[str, Column], n: int, out_of_bag: bool = False) -> DataFrame:
+    """For each key and replicate: the sum of each value times the row's multiplicity, or over the rows that were not drawn.
 
-def multiplicities(samples: DataFrame, keys: list[str], unit: str, n: int, seed: int, buckets: int = 1) -> DataFrame:
-    """`samples` for each replicate `rep` with `w`, how often its unit was drawn, 0 if it was not."""
-    return unpacked(packed_multiplicities(samples, keys, unit, n, seed, buckets)).drop("_block")
+    `packed` comes from `packed_multiplicities`. A task adds up its own rows as vectors over replicates, so that the shuffle carries
+    rows for keys and replicates, not for samples. Null values count as 0."""
+    held = packed.select(*keys, F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values.values())).alias("_values"), "_draws")
+    names = list(values)
+    schema = T.StructType([*(held.schema[k] for k in keys), *(T.StructField(v, T.ArrayType(T.DoubleType())) for v in names)])
+    parts = held.mapInArrow(vectors.partial_sums(keys, names, n, out_of_bag), schema)
+    each = parts.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("rep", "_v"))
+    return each.groupBy(*keys, "rep").agg(*(F.sum(f"_v.{v}").alias(v) for v in names))
 
 
-def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str]) -> DataFrame:
+def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """For each key, replicate and cell: area in the bag (by multiplicity) and out of it, with the counts behind them.
 
-    `packed` comes from `packed_multiplicities`. Scores are shuffled once for each block; the rows of the replicates are made behind
-    that shuffle, in tasks by key, cell and block, and move no more.
+    `packed` comes from `packed_multiplicities`. Scores are shuffled once, each with one vector over replicates; rows of a task that
+    agree in key, cell, score and label are added up before. A key and cell with more than `range_rows` rows is cut into ranges of
+    scores, whose pairs of labels are counted apart and across: no row stands for a sample, a cell and a replicate.
     """
+    group = [*keys, *cells]
     held = scores.withColumn("score", finite(F.col("score"))).where("score is not null and label is not null")
-    rows = unpacked(held.join(packed.select(*keys, sample, "_block", "_w"), [*keys, sample]).repartition(*keys, *cells, "_block"))
-    group = [*keys, "_block", "rep", *cells]
-    in1, in0 = (F.sum(F.when(F.col("label") == k, F.col("w")).otherwise(0)) for k in (1, 0))
-    out1, out0 = (F.sum(F.when((F.col("label") == k) & (F.col("w") == 0), 1).otherwise(0)) for k in (1, 0))
-    values = rows.groupBy(*group, "score").agg(in1.alias("i1"), in0.alias("i0"), out1.alias("o1"), out0.alias("o0"))
-    below = running(values, group, "score", {"ci": "i0", "co": "o0"})
-    sums = below.groupBy(*group).agg(
+    largest = held.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    ranged = value_ranges(held, group, "score", sample, largest, range_rows, "_range")
+    rows = ranged.join(packed.select(*keys, sample, "_draws"), [*keys, sample]).select(*group, "_range", "score", F.col("label").cast("int").alias("label"), "_draws")
+    by = [*group, "_range"]
+    fields = [rows.schema[c] for c in by]
+    vector = T.StructType([*fields, rows.schema["score"], rows.schema["label"], T.StructField("bag", T.BinaryType()), T.StructField("rest", T.BinaryType())])
+    added = rows.mapInArrow(vectors.added_alike(by, n), vector)
+    longs = T.ArrayType(T.LongType())
+    parts = added.groupBy(*by).applyInArrow(vectors.pairs_won(by, n), T.StructType([*fields, *(T.StructField(v, longs) for v in vectors.PARTS)]))
+    each = parts.select(*by, F.posexplode(F.arrays_zip(*vectors.PARTS)).alias("rep", "_v")).select(*by, "rep", "_v.*")
+    below = running(each, [*group, "rep"], "_range", {"ci": "i0", "co": "o0"})
+    sums = below.groupBy(*group, "rep").agg(
         *(F.sum(c).alias(c) for c in ("i1", "i0", "o1", "o0")),
-        F.sum(F.col("i1") * (2 * F.col("ci") + F.col("i0"))).alias("_wi"),
-        F.sum(F.col("o1") * (2 * F.col("co") + F.col("o0"))).alias("_wo"),
+        F.sum(F.col("iw") + 2 * F.col("i1") * F.col("ci")).alias("_wi"),
+        F.sum(F.col("ow") + 2 * F.col("o1") * F.col("co")).alias("_wo"),
     )
     area = lambda w, a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(w) / (2.0 * F.col(a) * F.col(b)))
     return sums.select(*keys, "rep", *cells, area("_wi", "i1", "i0").alias("in_bag"), area("_wo", "o1", "o0").alias("out_of_bag"), (F.col("i1") + F.col("i0")).alias("n_in"), (F.col("o1") + F.col("o0")).alias("n_out"))
@@ -83,9 +110,10 @@ def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sam
     are fewer than `least` or of one class is skipped; a winner counts even where its own unpicked scores do not suffice.
     """
     packed = packed_multiplicities(samples, keys, unit, n, seed, buckets)
-    left = unpacked(packed).where("w = 0").groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-    usable = left.where((F.col("_n") >= least) & (F.col("_lo") < F.col("_hi"))).select(*keys, "rep")
-    areas = bag_areas(scores, packed, keys, sample, ["cell", "cell_idx"]).join(usable, [*keys, "rep"], "left_semi")
+    label = F.col("label")
+    left = replicate_sums(packed, keys, {"_n": F.lit(1), "_n1": (label == 1).cast("int"), "_n0": (label == 0).cast("int")}, n, out_of_bag=True)
+    usable = left.where((F.col("_n") >= least) & (F.col("_n1") > 0) & (F.col("_n0") > 0)).select(*keys, "rep")
+    areas = bag_areas(scores, packed, keys, sample, ["cell", "cell_idx"], n).join(usable, [*keys, "rep"], "left_semi")
     distance = F.when(F.col("n_in") >= least, F.abs(F.col("in_bag") - 0.5))
     won = areas.where(distance.isNotNull()).groupBy(*keys, "rep").agg(F.max_by(F.struct("cell", "cell_idx", "in_bag", "out_of_bag", "n_out"), F.struct(distance.alias("d"), (-F.col("cell_idx")).alias("o"))).alias("b"))
     sign = F.when(F.col("b.in_bag") >= 0.5, 1).otherwise(-1)
@@ -108,15 +136,17 @@ def selection_summary(winners: DataFrame, keys: list[str], bar: float = 0.5) ->
 
 def weighted_areas(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, seed: int) -> DataFrame:
     """The in-bag area of each replicate and cell, all cells on the same draws."""
-    return bag_areas(scores, packed_multiplicities(samples, keys, sample, n, seed), keys, sample, cells)
+    return bag_areas(scores, packed_multiplicities(samples, keys, sample, n, seed), keys, sample, cells, n)
 
 
-def weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson's correlation from weighted moments, for each key (which holds the replicate); null without spread."""
-    w, a, b = F.col("w").cast("double"), F.col(x), F.col(y)
-    m = rows.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * b * b).alias("syy"), F.sum(w * a * b).alias("sxy"))
+def weighted_correlation(packed: DataFrame, keys: list[str], x: str, y: str, n: int) -> DataFrame:
+    """Pearson's correlation of each key and replicate from weighted moments; null without spread. `packed` comes from
+    `packed_multiplicities` and has both columns; rows without one of them do not count."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    one, a, b = (F.when(both, v.cast("double")) for v in (F.lit(1), F.col(x), F.col(y)))
+    m = replicate_sums(packed, keys, {"s": one, "sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b}, n)
     vx, vy = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("s") * F.col("syy") - F.col("sy") * F.col("sy")
-    return m.select(*keys, F.when((vx > 0) & (vy > 0), (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)).alias("r"))
+    return m.select(*keys, "rep", F.when((vx > 0) & (vy > 0), (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)).alias("r"))
 
 
 def permuted(samples: DataFrame, keys: list[str], sample: str, value: str, seed: Column, into: str = "permuted") -> DataFrame:

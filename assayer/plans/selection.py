@@ -128,8 +128,8 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bst8_correlation_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _wide(spark, sf_dir)
-    weights = resampling.multiplicities(wide.select("slug", "task", "sample_idx"), DEPLOYMENT, "sample_idx", REPS, SEED)
-    r = resampling.weighted_correlation(wide.join(weights, [*DEPLOYMENT, "sample_idx"]), [*DEPLOYMENT, "rep"], "x", "y")
+    packed = resampling.packed_multiplicities(wide.select("slug", "task", "sample_idx", "x", "y"), DEPLOYMENT, "sample_idx", REPS, SEED)
+    r = resampling.weighted_correlation(packed, DEPLOYMENT, "x", "y", REPS)
     return r.groupBy(*DEPLOYMENT).agg(*(rounded(F.percentile("r", F.lit(p)), 6).alias(n) for p, n in ((0.025, "lo"), (0.975, "hi"))))
 
 
