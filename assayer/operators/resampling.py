@@ -74,18 +74,26 @@ def replicate_sums(packed: DataFrame, keys: list[str], values: dict[str, Column]
     return each.groupBy(*keys, "rep").agg(*(F.sum(f"_v.{v}").alias(v) for v in names))
 
 
-def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, range_rows: int = RANGE_ROWS, labels: list[str] | None = None) -> DataFrame:
     """For each key, replicate and cell: area in the bag (by multiplicity) and out of it, with the counts behind them.
 
     `packed` comes from `packed_multiplicities`. Scores are shuffled once, each with one vector over replicates; rows of a task that
     agree in key, cell, score and label are added up before. A key and cell with more than `range_rows` rows is cut into ranges of
     scores, whose pairs of labels are counted apart and across: no row stands for a sample, a cell and a replicate.
+
+    With `labels`, columns of `packed` that tell alternative labels of the same samples apart, `packed` has the label, and the areas
+    are taken for each of them, on the same draws.
     """
+    own, alternatives = [*keys, *cells], labels or []
+    held = scores.withColumn("score", finite(F.col("score"))).where("score is not null")
+    held = held.drop("label") if labels else held.where("label is not null")
+    largest = held.groupBy(*own).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    ranged = value_ranges(held, own, "score", sample, largest, range_rows, "_range")
+    taken = packed.select(*keys, sample, *alternatives, *(["label"] if labels else []), "_draws")
+    keys = [*keys, *alternatives]
     group = [*keys, *cells]
-    held = scores.withColumn("score", finite(F.col("score"))).where("score is not null and label is not null")
-    largest = held.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    ranged = value_ranges(held, group, "score", sample, largest, range_rows, "_range")
-    rows = ranged.join(packed.select(*keys, sample, "_draws"), [*keys, sample]).select(*group, "_range", "score", F.col("label").cast("int").alias("label"), "_draws")
+    rows = ranged.join(taken, [c for c in taken.columns if c in ranged.columns]).where("label is not null")
+    rows = rows.select(*group, "_range", "score", F.col("label").cast("int").alias("label"), "_draws")
     by = [*group, "_range"]
     fields = [rows.schema[c] for c in by]
     vector = T.StructType([*fields, rows.schema["score"], rows.schema["label"], T.StructField("bag", T.BinaryType()), T.StructField("rest", T.BinaryType())])
@@ -109,11 +117,17 @@ def nested_selection(scores: DataFrame, samples: DataFrame, keys: list[str], sam
     `scores` has cell and cell_idx; of equal distances from one half the lower cell_idx wins. A replicate whose unpicked samples
     are fewer than `least` or of one class is skipped; a winner counts even where its own unpicked scores do not suffice.
     """
-    packed = packed_multiplicities(samples, keys, unit, n, seed, buckets)
+    return selected(scores, packed_multiplicities(samples, keys, unit, n, seed, buckets), keys, sample, n, least)
+
+
+def selected(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, n: int, least: int = LEAST, labels: list[str] | None = None) -> DataFrame:
+    """`nested_selection` on given draws; `labels` as in `bag_areas`."""
+    areas = bag_areas(scores, packed, keys, sample, ["cell", "cell_idx"], n, labels=labels)
+    keys = [*keys, *(labels or [])]
     label = F.col("label")
     left = replicate_sums(packed, keys, {"_n": F.lit(1), "_n1": (label == 1).cast("int"), "_n0": (label == 0).cast("int")}, n, out_of_bag=True)
     usable = left.where((F.col("_n") >= least) & (F.col("_n1") > 0) & (F.col("_n0") > 0)).select(*keys, "rep")
-    areas = bag_areas(scores, packed, keys, sample, ["cell", "cell_idx"], n).join(usable, [*keys, "rep"], "left_semi")
+    areas = areas.join(usable, [*keys, "rep"], "left_semi")
     distance = F.when(F.col("n_in") >= least, F.abs(F.col("in_bag") - 0.5))
     won = areas.where(distance.isNotNull()).groupBy(*keys, "rep").agg(F.max_by(F.struct("cell", "cell_idx", "in_bag", "out_of_bag", "n_out"), F.struct(distance.alias("d"), (-F.col("cell_idx")).alias("o"))).alias("b"))
     sign = F.when(F.col("b.in_bag") >= 0.5, 1).otherwise(-1)
@@ -157,6 +171,42 @@ def permuted(samples: DataFrame, keys: list[str], sample: str, value: str, seed:
     return taking.join(values.drop(sample), [*keys, "_to"]).drop("_to")
 
 
+def exchanged(samples: DataFrame, keys: list[str], sample: str, stem: str, perms: int, seed: int) -> DataFrame:
+    """`samples` for each of `perms` permutations, with `perm`, the permuted `label` and `unit`, what was exchanged.
+
+    The data choose: where stems repeat within a key, labels are swapped within stems, which must be exact {0, 1} pairs or the query
+    fails; elsewhere they are permuted over all rows of the key. A null stem stands for its row alone."""
+    one = F.coalesce(F.concat(F.lit("s"), F.col(stem).cast("string")), F.concat(F.lit("r"), F.col(sample).cast("string")))
+    held = samples.withColumn("_stem", one)
+    by = held.groupBy(*keys, "_stem").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_ones"), F.count_distinct("label").alias("_kinds"))
+    kind = by.groupBy(*keys).agg(F.max("_n").alias("_most"), F.max(F.when((F.col("_n") != 2) | (F.col("_kinds") != 2), F.col("_stem"))).alias("_broken"))
+    paired = kind.where("_most > 1").withColumn("_ok", F.when(F.col("_broken").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("labels can be swapped within exact pairs of labels only, and this stem is none: "), F.col("_broken")))))
+    each = lambda df: df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
+    at = F.lit(seed) + F.col("perm")
+    # the condition is read, so that it cannot be optimised away
+    pairs = each(held.join(paired.where("_ok").select(*keys), keys, "left_semi"))
+    swap = swapped(pairs, [*keys], "_stem", at).drop("label").withColumnRenamed("swapped", "label").withColumn("unit", F.lit("stem"))
+    rows = each(held.join(kind.where("_most = 1").select(*keys), keys, "left_semi"))
+    moved = permuted(rows, [*keys, "perm"], sample, "label", at).drop("label").withColumnRenamed("permuted", "label").withColumn("unit", F.lit("row"))
+    return swap.unionByName(moved).drop("_stem")
+
+
+def shuffled_control(scores: DataFrame, samples: DataFrame, keys: list[str], sample: str, stem: str, n: int, seed: int, perms: int = 3, unit: str | None = None, bar: float = 0.5, tolerated: int = 1) -> DataFrame:
+    """The whole nested selection on `perms` permutations of the labels, all on the same draws.
+
+    (keys, perm, unit, winner, n_used, oob_median, ci_lo, ci_hi, excludes, n_excluding, passes): a permutation excludes the null where
+    its lower bound is above `bar`, which one in forty does by chance, so a key fails only where more than `tolerated` do. Draws are
+    of `unit` (the sample itself by default). Draws are made once; each permutation's labels travel beside them."""
+    drawn = packed_multiplicities(samples, keys, unit or sample, n, seed)
+    turned = exchanged(samples.select(*keys, sample, "label", F.col(stem).alias("_s")), keys, sample, "_s", perms, seed + 90210)
+    labels = turned.select(*keys, sample, "perm", "unit", "label")
+    packed = drawn.drop("label").join(labels, [*keys, sample])
+    won = selected(scores, packed, keys, sample, n, labels=["perm", "unit"])
+    out = selection_summary(won, [*keys, "perm", "unit"], bar).withColumnRenamed("deployable", "excludes")
+    over = F.sum(F.col("excludes").cast("int")).over(W.partitionBy(*keys))
+    return out.withColumn("n_excluding", over).withColumn("passes", F.col("n_excluding") <= tolerated)
+
+
 def folds(samples: DataFrame, keys: list[str], sample: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
     """Repeated stratified folds: `fold` by hash order within each label, modulo `n_folds` = min(max(2, n_splits), rarest class)."""
     by = samples.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.least(F.lit(max(2, n_splits)), F.min("_n")).alias("n_folds"))

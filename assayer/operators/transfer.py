@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assayer.functions import special
 from assayer.operators.auroc import running
 
 
@@ -37,21 +38,60 @@ def selected_without(pooled: DataFrame, own: DataFrame, keys: list[str], holdout
     return joined.select(*keys, holdout, "cell", sign.alias("sign"), "pool_auc", F.when(sign == 1, F.col("auc")).otherwise(1 - F.col("auc")).alias("holdout_auc"))
 
 
-def random_effects(studies: DataFrame, keys: list[str]) -> DataFrame:
-    """DerSimonian-Laird pooling of (effect, se): tau2, pooled effect, its standard error, heterogeneity; one study stands alone."""
-    w = 1.0 / (F.col("se") * F.col("se"))
-    y = F.col("effect")
-    first = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("_w"), F.sum(w * w).alias("_ww"), F.sum(w * y).alias("_wy"), F.sum(w * y * y).alias("_wyy"))
+def random_effects(studies: DataFrame, keys: list[str], small: int = 10) -> DataFrame:
+    """DerSimonian-Laird pooling of (effect, se) with an interval and a one-sided p of an effect at or below 0.
+
+    Below `small` studies the interval is the modified Knapp-Hartung one: Student's t, and a scale that is never below 1, so that it
+    is not narrower than the plain one; otherwise it is the normal one. One study stands alone, without interval. Studies without a
+    finite effect and a positive standard error do not count; a key that has only such studies keeps its row, with k = 0.
+    """
+    ok = (F.abs(F.col("effect")) < float("inf")) & (F.col("se") > 0) & (F.col("se") < float("inf"))
+    held = studies.withColumn("_y", F.when(ok, F.col("effect").cast("double"))).withColumn("_s2", F.when(ok, F.col("se") * F.col("se")))
+    w, y = 1.0 / F.col("_s2"), F.col("_y")
+    first = held.groupBy(*keys).agg(F.count("_y").alias("k"), F.sum(w).alias("_w"), F.sum(w * w).alias("_ww"), F.sum(w * y).alias("_wy"), F.sum(w * y * y).alias("_wyy"))
     q = F.col("_wyy") - F.col("_wy") * F.col("_wy") / F.col("_w")
     c = F.col("_w") - F.col("_ww") / F.col("_w")
-    tau = first.select(*keys, "k", q.alias("q"), F.when(F.col("k") > 1, F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / c)).otherwise(0.0).alias("tau2"))
-    v = 1.0 / (F.col("se") * F.col("se") + F.col("tau2"))
-    second = studies.join(tau, keys).groupBy(*keys, "k", "q", "tau2").agg(F.sum(v).alias("_v"), F.sum(v * y).alias("_vy"), F.sum(v * y * y).alias("_vyy"))
-    mean = F.col("_vy") / F.col("_v")
-    spread = F.col("_vyy") - F.col("_vy") * F.col("_vy") / F.col("_v")
-    # modified Knapp-Hartung: never narrower than the plain standard error
-    scale = F.when(F.col("k") > 1, F.greatest(F.lit(1.0), spread / (F.col("k") - 1))).otherwise(1.0)
-    return second.select(*keys, "k", "q", "tau2", mean.alias("pooled"), F.sqrt(scale / F.col("_v")).alias("se"))
+    tau = first.select(*keys, "k", q.alias("q"), F.when((F.col("k") > 1) & (c > 0), F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / c)).when(F.col("k") > 0, 0.0).alias("tau2"))
+    v = 1.0 / (F.col("_s2") + F.col("tau2"))
+    second = held.join(tau, keys).groupBy(*keys, "k", "q", "tau2").agg(F.sum(v).alias("_v"), F.sum(v * y).alias("_vy"), F.sum(v * y * y).alias("_vyy"))
+    k, mean, se = F.col("k"), F.col("pooled"), F.col("se")
+    spread = F.greatest(F.lit(0.0), F.col("_vyy") - F.col("_vy") * F.col("_vy") / F.col("_v"))
+    scaled = F.when(k > 1, F.sqrt(F.greatest(F.lit(1.0), spread / (k - 1)) / F.col("_v")))
+    out = second.select(*keys, "k", "q", "tau2", (F.col("_vy") / F.col("_v")).alias("pooled"), F.sqrt(1.0 / F.col("_v")).alias("se"), scaled.alias("se_t"))
+    few = (k > 1) & (k < small)
+    # the inverse runs once for each k, not for each key
+    quantiles = out.where(few).select("k").distinct().withColumn("_t", special.t_quantile(0.975, k - 1))
+    reach = F.when(few, F.col("_t") * F.col("se_t")).when(k > 1, 1.96 * se)
+    p = F.when(few, special.t_upper(mean / F.col("se_t"), k - 1)).when(k > 1, special.normal_upper(mean / se))
+    method = F.when(few, "knapp_hartung_t").when(k > 1, "normal").when(k == 1, "one_study").otherwise("none")
+    return out.join(quantiles, "k", "left").select(*keys, "k", "q", "tau2", "pooled", "se", "se_t", (mean - reach).alias("ci_lo"), (mean + reach).alias("ci_hi"), p.alias("p_le_zero"), method.alias("method"))
+
+
+def family_verdict(pairs: DataFrame, keys: list[str], family: str, effects: list[tuple[str, str]], bar: float, alone: str) -> DataFrame:
+    """(keys, n_positive, n_families, verdict): a pair counts where every effect reaches `bar` and its lower bound is above 0.
+
+    Two pairs of two families are eligible for a general claim; pairs of the family `alone` only are a rescue of that family."""
+    positive = F.lit(True)
+    for diff, lo in effects:
+        positive = positive & (F.col(diff) >= bar) & F.coalesce(F.col(lo) > 0, F.lit(False))
+    hit = F.coalesce(positive, F.lit(False))
+    m = pairs.groupBy(*keys).agg(F.count_if(hit).alias("n_positive"), F.count_distinct(F.when(hit, F.col(family))).alias("n_families"), F.max(F.when(hit, F.col(family))).alias("_f"))
+    general = (F.col("n_positive") >= 2) & (F.col("n_families") >= 2)
+    rescue = (F.col("n_families") == 1) & (F.col("_f") == alone)
+    return m.select(*keys, "n_positive", "n_families", F.when(general, "general").when(rescue, "one_family").otherwise("none").alias("verdict"))
+
+
+def claim(metas: list[DataFrame], verdicts: DataFrame, brittle: DataFrame, keys: list[str], bar: float) -> DataFrame:
+    """(keys, passes, claim): all pooled effects reach `bar` with intervals above 0, and no upper bound in `brittle` (keys, hi) fails."""
+    out = verdicts
+    passes = F.lit(True)
+    for i, m in enumerate(metas):
+        out = out.join(m.select(*keys, F.col("pooled").alias(f"_m{i}"), F.col("ci_lo").alias(f"_lo{i}")), keys, "left")
+        passes = passes & F.coalesce(F.col(f"_lo{i}") > 0, F.lit(False)) & F.coalesce(F.col(f"_m{i}") >= bar, F.lit(False))
+    worst = brittle.groupBy(*keys).agg(F.max("hi").alias("_hi"))
+    out = out.join(worst, keys, "left").withColumn("passes", passes & F.coalesce(F.col("_hi") < 0.75, F.lit(True)))
+    go = F.when(F.col("passes") & (F.col("verdict") == "general"), "go_general").when(F.col("passes") & (F.col("verdict") == "one_family"), "go_one_family").otherwise("no_go")
+    return out.select(*keys, "n_positive", "n_families", "verdict", "passes", go.alias("claim"))
 
 
 def holm(tests: DataFrame, keys: list[str], p: str, order: str) -> DataFrame:

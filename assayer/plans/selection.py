@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assayer.functions.numbers import rounded
-from assayer.operators import auroc, ranks, resampling, summaries, transfer
+from assayer.operators import auroc, least_squares, ranks, resampling, summaries, transfer
 from assayer.plans.areas import CELL, DEPLOYMENT, WINNERS_SQL, locked, winners
 from assayer.plans.deployments import LOCKED_SQL, SAMPLES_SQL, SCORES_SQL, area_sql, samples, scores
 from assayer.plans.registry import query
@@ -133,13 +133,33 @@ def bst8_correlation_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(*DEPLOYMENT).agg(*(rounded(F.percentile("r", F.lit(p)), 6).alias(n) for p, n in ((0.025, "lo"), (0.975, "hi"))))
 
 
+def _given_sql(a: str, b: str, *given: str) -> str:
+    """The correlation of a and b given others, from correlations r_{a}{b} of pairs in alphabetical order."""
+    if not given:
+        return "r_" + "".join(sorted((a, b)))
+    c, rest = given[-1], given[:-1]
+    ab, ac, bc = _given_sql(a, b, *rest), _given_sql(a, c, *rest), _given_sql(b, c, *rest)
+    return f"(({ab}) - ({ac}) * ({bc})) / sqrt((1 - ({ac}) * ({ac})) * (1 - ({bc}) * ({bc})))"
+
+
+_PAIRS = [(u, v) for i, u in enumerate("lxyz") for v in "lxyz"[i:]]
+_MOMENTS_SQL = ", ".join(["CAST(sum(w) AS DOUBLE) AS s", *(f"sum(w * {u}) AS s{u}" for u in "lxyz"), *(f"sum(w * {u} * {v}) AS s{u}{v}" for u, v in _PAIRS)])
+_CORRELATIONS_SQL = ", ".join(f"(s * s{u}{v} - s{u} * s{v}) / sqrt((s * s{u}{u} - s{u} * s{u}) * (s * s{v}{v} - s{v} * s{v})) AS r_{u}{v}" for u, v in _PAIRS if u != v)
+
+
 @query(
-    f"WITH {SCORES_SQL}, {_WIDE_SQL}, c AS (SELECT slug, corr(y, label) AS xy, corr(y, z) AS xz, corr(label, z) AS yz FROM wide GROUP BY slug) "
-    "SELECT slug, round(xy, 6) AS plain, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM c"
+    f"WITH {SCORES_SQL}, {_weights_sql('sample_idx')}, {_WIDE_SQL}, v AS (SELECT slug, task, sample_idx, CAST(label AS DOUBLE) AS l, x / 1e5 AS x, y / 1e3 AS y, z AS z FROM wide), "
+    f"m AS (SELECT slug, task, rep, {_MOMENTS_SQL} FROM v JOIN weights USING (slug, task, sample_idx) GROUP BY ALL), o AS (SELECT slug, task, {_MOMENTS_SQL} FROM (SELECT *, 1 AS w FROM v) GROUP BY ALL), "
+    f"c AS (SELECT slug, task, rep, {_CORRELATIONS_SQL} FROM m), oc AS (SELECT slug, task, s, {_CORRELATIONS_SQL} FROM o), i AS (SELECT slug, task, count(r) AS n_used, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM (SELECT slug, task, {_given_sql('y', 'l', 'x', 'z')} AS r FROM c) GROUP BY ALL) "
+    f"SELECT slug, task, CAST(s AS BIGINT) AS n, round(r_ly, 6) AS plain, round({_given_sql('y', 'l', 'z')}, 6) AS given_one, round({_given_sql('y', 'l', 'x', 'z')}, 6) AS given_two, n_used, round(lo, 6) AS lo, round(hi, 6) AS hi FROM oc JOIN i USING (slug, task)"
 )
 def bst9_partial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal and the label, without, with one and with two controls; the last with an interval over resamples."""
     wide = _wide(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
-    return transfer.partial_correlation(wide, ["slug"], "y", "label", "z").select("slug", *(rounded(F.col(c), 6).alias(c) for c in ("plain", "partial")))
+    some = [least_squares.partial_association(wide, DEPLOYMENT, "y", "label", c).select(*DEPLOYMENT, F.col("partial").alias(n)) for c, n in (([], "plain"), (["z"], "given_one"))]
+    both = least_squares.partial_interval(wide, DEPLOYMENT, "sample_idx", "y", "label", ["x", "z"], REPS, SEED).withColumnRenamed("partial", "given_two")
+    out = both.join(some[0], DEPLOYMENT).join(some[1], DEPLOYMENT)
+    return out.select(*DEPLOYMENT, "n", "n_used", *(rounded(F.col(c), 6).alias(c) for c in ("plain", "given_one", "given_two", "lo", "hi")))
 
 
 def _permuted_sql(seed: str) -> str:
@@ -147,15 +167,50 @@ def _permuted_sql(seed: str) -> str:
 perm AS (SELECT a.slug, a.task, a.sample_idx, b.label FROM f a JOIN f b ON a.slug = b.slug AND a.task = b.task AND a.t = b.o)"""
 
 
+#: deployments of two kinds: rows without stems, and pairs of which each order makes two
+_TWO_KINDS_SQL = (
+    SCORES_SQL.replace("samples AS (", "orders_samples AS (", 1).replace("scores AS (", "orders_scores AS (", 1).replace("FROM samples", "FROM orders_samples")
+    + """, samples AS (SELECT slug, 'rows' AS task, sample_idx * 2 AS sample_idx, NULL AS stem, label FROM orders_samples WHERE task = 'alpha'
+  UNION ALL SELECT slug, 'pairs', sample_idx * 2 + k, sample_idx, k FROM orders_samples, range(2) t(k) WHERE task = 'beta'),
+scores AS (SELECT slug, 'rows' AS task, sample_idx * 2 AS sample_idx, cell_idx, cell, score FROM orders_scores WHERE task = 'alpha'
+  UNION ALL SELECT slug, 'pairs', sample_idx * 2 + k, cell_idx, cell, score + k * (sample_idx % 97) FROM orders_scores, range(2) t(k) WHERE task = 'beta')"""
+)
+_PERMUTED_SQL = f"""perms AS (SELECT k AS perm, CAST({SEED + 90210} + k AS VARCHAR) AS seed FROM range(3) t(k)),
+f AS (SELECT slug, task, perm, sample_idx, row_number() OVER (PARTITION BY slug, task, perm ORDER BY md5(concat_ws(':', seed, sample_idx)), sample_idx) AS t, row_number() OVER (PARTITION BY slug, task, perm ORDER BY md5(concat_ws(':', 'values', sample_idx)), sample_idx) AS o, label FROM samples, perms WHERE task = 'rows'),
+turned AS (SELECT a.slug, a.task, a.perm, a.sample_idx, 'row' AS unit, b.label FROM f a JOIN f b ON a.slug = b.slug AND a.task = b.task AND a.perm = b.perm AND a.t = b.o
+  UNION ALL SELECT slug, task, perm, sample_idx, 'stem', CASE WHEN {_draw_sql('2', 'seed', 'slug', 'task', "'s' || stem")} = 1 THEN 1 - label ELSE label END FROM samples, perms WHERE task = 'pairs')"""
+#: the nested selection of each permutation: as above, with the permuted labels
+_PERM_NESTED_SQL = """drawn AS (SELECT t.slug, t.task, t.perm, t.unit, w.rep, t.sample_idx, t.label, w.w FROM turned t JOIN weights w ON w.slug = t.slug AND w.task = t.task AND w.sample_idx = t.sample_idx),
+vals AS (SELECT slug, task, perm, unit, rep, cell_idx, cell, score, sum(w * d.label) AS i1, sum(w * (1 - d.label)) AS i0, sum(CASE WHEN w = 0 THEN d.label ELSE 0 END) AS o1, sum(CASE WHEN w = 0 THEN 1 - d.label ELSE 0 END) AS o0
+  FROM scores s JOIN drawn d USING (slug, task, sample_idx) WHERE score IS NOT NULL GROUP BY ALL),
+cum AS (SELECT *, sum(i0) OVER v - i0 AS ci, sum(o0) OVER v - o0 AS co FROM vals WINDOW v AS (PARTITION BY slug, task, perm, unit, rep, cell ORDER BY score)),
+bags AS (SELECT slug, task, perm, unit, rep, cell_idx, cell, sum(i1 + i0) AS n_in, sum(o1 + o0) AS n_out,
+  CASE WHEN sum(i1) > 0 AND sum(i0) > 0 THEN CAST(sum(i1 * (2 * ci + i0)) AS DOUBLE) / (2.0 * CAST(sum(i1) AS DOUBLE) * CAST(sum(i0) AS DOUBLE)) END AS in_bag,
+  CASE WHEN sum(o1) > 0 AND sum(o0) > 0 THEN CAST(sum(o1 * (2 * co + o0)) AS DOUBLE) / (2.0 * CAST(sum(o1) AS DOUBLE) * CAST(sum(o0) AS DOUBLE)) END AS oob FROM cum GROUP BY ALL),
+usable AS (SELECT slug, task, perm, rep FROM drawn WHERE w = 0 GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT label) = 2),
+won AS (SELECT slug, task, perm, unit, rep, cell, cell_idx, CASE WHEN n_out >= 4 THEN CASE WHEN in_bag >= 0.5 THEN oob ELSE 1 - oob END END AS oob_auroc
+  FROM bags JOIN usable USING (slug, task, perm, rep) WHERE n_in >= 4 AND in_bag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug, task, perm, rep ORDER BY abs(in_bag - 0.5) DESC, cell_idx) = 1),
+c AS (SELECT slug, task, perm, unit, cell, cell_idx, count(*) AS n FROM won GROUP BY ALL),
+m AS (SELECT slug, task, perm, unit, cell AS winner FROM c QUALIFY row_number() OVER (PARTITION BY slug, task, perm ORDER BY n DESC, cell_idx) = 1),
+q AS (SELECT slug, task, perm, count(oob_auroc) AS n_used, quantile_cont(oob_auroc, 0.025) AS lo, quantile_cont(oob_auroc, 0.5) AS med, quantile_cont(oob_auroc, 0.975) AS hi FROM won GROUP BY ALL)"""
+
+
 @query(
-    f"WITH {SCORES_SQL}, {_permuted_sql(str(SEED + 90210))}, shuffled AS (SELECT s.slug, s.task, s.cell, s.score, p.label FROM scores s JOIN perm p USING (slug, task, sample_idx)) "
-    f"SELECT slug, task, cell, round(greatest(auc, 1 - auc), 9) AS auroc, n1 FROM {area_sql('shuffled', 'slug, task, cell')}"
+    f"WITH {_TWO_KINDS_SQL}, {_weights_sql('sample_idx')}, {_PERMUTED_SQL}, {_PERM_NESTED_SQL}, x AS (SELECT *, CAST(sum(CASE WHEN lo > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY slug, task) AS BIGINT) AS n_excluding FROM m JOIN q USING (slug, task, perm)) "
+    "SELECT slug, task, perm, unit, winner, n_used, round(med, 9) AS oob_median, round(lo, 9) AS ci_lo, round(hi, 9) AS ci_hi, coalesce(lo > 0.5, FALSE) AS excludes, n_excluding, n_excluding <= 1 AS passes FROM x"
 )
 def prm1_shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = samples(spark, sf_dir).select("slug", "task", "sample_idx", "label")
-    turned = resampling.permuted(own, DEPLOYMENT, "sample_idx", "label", F.lit(SEED + 90210)).select("slug", "task", "sample_idx", F.col("permuted").alias("label"))
-    area = auroc.ranked_area(scores(spark, sf_dir).drop("label").join(turned, [*DEPLOYMENT, "sample_idx"]), ["slug", "task", "cell"])
-    return area.select("slug", "task", "cell", rounded(F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("auroc"), "n1")
+    """The selection on shuffled labels: three permutations, each with its interval; rows or pairs are exchanged as the data have it."""
+    held = scores(spark, sf_dir).where("task in ('alpha', 'beta')")
+    copy = F.explode(F.when(F.col("task") == "beta", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")
+    pair = F.col("task") == "beta"
+    each = held.select("*", copy).select(
+        "slug", F.when(pair, "pairs").otherwise("rows").alias("task"), (F.col("sample_idx") * 2 + F.col("k")).alias("sample_idx"), F.when(pair, F.col("sample_idx")).alias("stem"),
+        F.when(pair, F.col("k")).otherwise(F.col("label")).alias("label"), "cell_idx", "cell", (F.col("score") + F.when(pair, F.col("k") * (F.col("sample_idx") % 97)).otherwise(0)).alias("score"),
+    )
+    own = each.where("cell_idx = 0").select("slug", "task", "sample_idx", "stem", "label")
+    out = resampling.shuffled_control(each.drop("label", "stem"), own, DEPLOYMENT, "sample_idx", "stem", REPS, SEED)
+    return out.select("slug", "task", F.col("perm").cast("long").alias("perm"), "unit", "winner", "n_used", *(rounded(F.col(c)).alias(c) for c in ("oob_median", "ci_lo", "ci_hi")), "excludes", "n_excluding", "passes")
 
 
 @query(
@@ -342,15 +397,43 @@ def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*DEPLOYMENT, (F.col("m1") - F.col("m0")).alias("effect"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0")).alias("se"))
 
 
+#: quantiles of Student's t at 0.975 by degrees of freedom (fixed values)
+T_975 = {1: 12.7062047364, 2: 4.30265272991, 3: 3.18244630528, 4: 2.7764451052, 5: 2.57058183661, 6: 2.44691184879, 7: 2.36462425101, 8: 2.30600413503, 9: 2.26215716274}
+#: upper tails by finite sums (whole degrees of freedom) and by the series of the normal distribution
+_T_UPPER_SQL = """0.5 - sign(t) * 0.5 * CASE WHEN df % 2 = 1 THEN 2 / pi() * (atan(abs(t) / sqrt(df)) + abs(t) / sqrt(df + t * t) * coalesce(list_sum(list_transform(range(1, (df - 1) // 2 + 1), lambda j: pow(sqrt(df / (df + t * t)), 2 * j - 1) * coalesce(list_product(list_transform(range(1, j), lambda i: 2.0 * i / (2 * i + 1))), 1))), 0))
+  ELSE abs(t) / sqrt(df + t * t) * list_sum(list_transform(range(0, df // 2), lambda j: pow(df / (df + t * t), j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2.0 * i - 1) / (2 * i))), 1))) END"""
+_NORMAL_UPPER_SQL = "0.5 - sign(zz) * exp(-zz * zz / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda j: abs(zz) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: zz * zz / (2 * i + 1))), 1)))"
+
+
+def _meta_sql(source: str, keys: str, into: str) -> str:
+    """`into` with k, q, tau2, pooled, se, se_t, ci_lo, ci_hi, p_le_zero and method of `source` (keys, effect, se)."""
+    t = into
+    return f"""{t}_a AS (SELECT {keys}, count(*) AS k, sum(1 / (se * se)) AS w, sum(1 / (se * se) / (se * se)) AS ww, sum(effect / (se * se)) AS wy, sum(effect * effect / (se * se)) AS wyy FROM {source} GROUP BY ALL),
+{t}_t AS (SELECT {keys}, k, wyy - wy * wy / w AS q, CASE WHEN k > 1 THEN greatest(0, (wyy - wy * wy / w - (k - 1)) / (w - ww / w)) ELSE 0 END AS tau2 FROM {t}_a),
+{t}_b AS (SELECT {keys}, k, q, tau2, sum(1 / (se * se + tau2)) AS v, sum(effect / (se * se + tau2)) AS vy, sum(effect * effect / (se * se + tau2)) AS vyy FROM {source} JOIN {t}_t USING ({keys}) GROUP BY ALL),
+{t}_c AS (SELECT {keys}, k, q, tau2, vy / v AS pooled, sqrt(1 / v) AS se, CASE WHEN k > 1 THEN sqrt(greatest(1.0, (vyy - vy * vy / v) / (k - 1)) / v) END AS se_t, CAST(k - 1 AS BIGINT) AS df FROM {t}_b),
+{t}_d AS (SELECT *, pooled / se_t AS t, pooled / se AS zz FROM {t}_c LEFT JOIN (VALUES {', '.join(f'({d}, {x})' for d, x in T_975.items())}) quantiles(df, t975) USING (df)),
+{t} AS (SELECT {keys}, k, q, tau2, pooled, se, se_t, CASE WHEN k BETWEEN 2 AND 9 THEN pooled - t975 * se_t WHEN k > 1 THEN pooled - 1.96 * se END AS ci_lo, CASE WHEN k BETWEEN 2 AND 9 THEN pooled + t975 * se_t WHEN k > 1 THEN pooled + 1.96 * se END AS ci_hi,
+  CASE WHEN k BETWEEN 2 AND 9 THEN {_T_UPPER_SQL} WHEN k > 1 THEN {_NORMAL_UPPER_SQL} END AS p_le_zero, CASE WHEN k BETWEEN 2 AND 9 THEN 'knapp_hartung_t' WHEN k > 1 THEN 'normal' ELSE 'one_study' END AS method FROM {t}_d)"""
+
+
+_PANELS_SQL = "panels AS (SELECT task, panel, slug, effect / 10 AS effect, se FROM studies JOIN (VALUES ('all', 10), ('nine', 9), ('five', 5), ('two', 2), ('one', 1)) p(panel, most) ON CAST(substr(slug, 2) AS INTEGER) < most)"
+
+
+def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies of all models and of the first few, with effects near 0."""
+    sizes = F.filter(F.array(*(F.struct(F.lit(p).alias("panel"), F.lit(n).alias("most")) for p, n in (("all", 10), ("nine", 9), ("five", 5), ("two", 2), ("one", 1)))), lambda x: x["most"] > F.substring("slug", 2, 9).cast("int"))
+    return _studies(spark, sf_dir).select("task", "slug", (F.col("effect") / 10).alias("effect"), "se", F.explode(sizes).alias("p")).select("task", "p.panel", "slug", "effect", "se")
+
+
 @query(
-    f"WITH {SAMPLES_SQL}, {_STUDIES_SQL}, a AS (SELECT task, count(*) AS k, sum(1 / (se * se)) AS w, sum(1 / (se * se) / (se * se)) AS ww, sum(effect / (se * se)) AS wy, sum(effect * effect / (se * se)) AS wyy FROM studies GROUP BY task), "
-    "t AS (SELECT task, k, wyy - wy * wy / w AS q, greatest(0, (wyy - wy * wy / w - (k - 1)) / (w - ww / w)) AS tau2 FROM a), "
-    "b AS (SELECT task, k, q, tau2, sum(1 / (se * se + tau2)) AS v, sum(effect / (se * se + tau2)) AS vy, sum(effect * effect / (se * se + tau2)) AS vyy FROM studies JOIN t USING (task) GROUP BY ALL) "
-    "SELECT task, k, round(q, 6) AS q, round(tau2, 6) AS tau2, round(vy / v, 6) AS pooled, round(sqrt(greatest(1.0, (vyy - vy * vy / v) / (k - 1)) / v), 6) AS se FROM b"
+    f"WITH {SAMPLES_SQL}, {_STUDIES_SQL}, {_PANELS_SQL}, {_meta_sql('panels', 'task, panel', 'meta')} "
+    "SELECT task, panel, k, method, round(q, 6) AS q, round(tau2, 6) AS tau2, round(pooled, 6) AS pooled, round(se, 6) AS se, round(se_t, 6) AS se_t, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(p_le_zero, 6) AS p_le_zero FROM meta"
 )
 def met1_random_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = transfer.random_effects(_studies(spark, sf_dir), ["task"])
-    return out.select("task", "k", *(rounded(F.col(c), 6).alias(c) for c in ("q", "tau2", "pooled", "se")))
+    """Pooled effects of panels of one to ten studies: alone, by Student's t, and by the normal rule."""
+    out = transfer.random_effects(_panels(spark, sf_dir), ["task", "panel"])
+    return out.select("task", "panel", "k", "method", *(rounded(F.col(c), 6).alias(c) for c in ("q", "tau2", "pooled", "se", "se_t", "ci_lo", "ci_hi", "p_le_zero")))
 
 
 @query(
@@ -384,6 +467,40 @@ def met4_weighted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.weighted_slope(x, ["task"], "y", "x", "w").select("task", rounded(F.col("slope"), 6).alias("slope"), rounded(F.col("se"), 6).alias("se"))
 
 
+@query(
+    f"WITH {SAMPLES_SQL}, {_STUDIES_SQL}, x AS (SELECT task, CAST(substr(slug, 2) AS INTEGER) % 2 AS g, effect AS y, CAST(substr(slug, 2) AS DOUBLE) AS x, 1 / (se * se) AS w FROM studies), "
+    "m AS (SELECT task, g, count(*) AS n, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM x GROUP BY ALL), "
+    "b AS (SELECT task, g, n, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS slope, (sxx * sy - sx * sxy) / (s * sxx - sx * sx) AS base, s / (s * sxx - sx * sx) AS vs, sxx / (s * sxx - sx * sx) AS vb FROM m), "
+    "c AS (SELECT a.task, a.n + b.n AS n, a.base AS b0, a.slope AS b1, b.base - a.base AS b2, b.slope - a.slope AS b3, a.vb AS v0, a.vs AS v1, a.vb + b.vb AS v2, a.vs + b.vs AS v3 FROM b a JOIN b b ON a.task = b.task AND a.g = 0 AND b.g = 1) "
+    "SELECT task, n, term, round(beta, 6) AS beta, round(sqrt(v), 6) AS se FROM (SELECT task, n, 'intercept' AS term, b0 AS beta, v0 AS v FROM c UNION ALL SELECT task, n, 'x', b1, v1 FROM c UNION ALL SELECT task, n, 'g', b2, v2 FROM c UNION ALL SELECT task, n, 'xg', b3, v3 FROM c)"
+)
+def met4_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects on a predictor, a group and their interaction; for a group of two the terms are those of two lines."""
+    number = F.substring("slug", 2, 9).cast("int")
+    rows = _studies(spark, sf_dir).select("task", F.col("effect").alias("y"), number.cast("double").alias("x"), (number % 2).cast("double").alias("g"), (1 / (F.col("se") * F.col("se"))).alias("w"))
+    out = least_squares.weighted_regression(rows.withColumn("xg", F.col("x") * F.col("g")), ["task"], "y", ["x", "g", "xg"], "w")
+    return out.select("task", "n", "term", rounded(F.col("beta"), 6).alias("beta"), rounded(F.col("se"), 6).alias("se"))
+
+
+_CLAIMS_SQL = "pairs AS (SELECT task, slug, 'f' || (CAST(substr(slug, 2) AS INTEGER) % 3) AS family, abs(effect) AS a, abs(effect) - 1.96 * se AS a_lo, abs(effect) * 0.8 AS b, abs(effect) * 0.8 - 1.96 * se AS b_lo, se, abs(effect) / 2 + se AS hi FROM studies WHERE task <> 'gamma' OR slug IN ('m0', 'm3', 'm6'))"
+
+
+@query(
+    f"WITH {SAMPLES_SQL}, {_STUDIES_SQL}, {_CLAIMS_SQL}, ea AS (SELECT task, a AS effect, se FROM pairs), eb AS (SELECT task, b AS effect, se FROM pairs), {_meta_sql('ea', 'task', 'ma')}, {_meta_sql('eb', 'task', 'mb')}, "
+    "v AS (SELECT task, count(*) FILTER (hit) AS n_positive, count(DISTINCT CASE WHEN hit THEN family END) AS n_families, max(CASE WHEN hit THEN family END) AS f, max(hi) AS hi FROM (SELECT *, a >= 0.02 AND a_lo > 0 AND b >= 0.02 AND b_lo > 0 AS hit FROM pairs) GROUP BY task), "
+    "w AS (SELECT v.*, CASE WHEN n_positive >= 2 AND n_families >= 2 THEN 'general' WHEN n_families = 1 AND f = 'f0' THEN 'one_family' ELSE 'none' END AS verdict, coalesce(ma.ci_lo > 0, FALSE) AND coalesce(ma.pooled >= 0.02, FALSE) AND coalesce(mb.ci_lo > 0, FALSE) AND coalesce(mb.pooled >= 0.02, FALSE) AND hi < 0.75 AS passes FROM v JOIN ma USING (task) JOIN mb USING (task)) "
+    "SELECT task, n_positive, n_families, verdict, passes, CASE WHEN passes AND verdict = 'general' THEN 'go_general' WHEN passes AND verdict = 'one_family' THEN 'go_one_family' ELSE 'no_go' END AS claim FROM w"
+)
+def met4_family_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether effects hold over families of models, over two bases, and what may be claimed."""
+    size, se = F.abs(F.col("effect")), F.col("se")
+    held = _studies(spark, sf_dir).where("task <> 'gamma' or slug in ('m0', 'm3', 'm6')")
+    pairs = held.select("task", F.concat(F.lit("f"), (F.substring("slug", 2, 9).cast("int") % 3).cast("string")).alias("family"), size.alias("a"), (size - 1.96 * se).alias("a_lo"), (size * 0.8).alias("b"), (size * 0.8 - 1.96 * se).alias("b_lo"), "se", (size / 2 + se).alias("hi"))
+    metas = [transfer.random_effects(pairs.select("task", F.col(c).alias("effect"), "se"), ["task"]) for c in ("a", "b")]
+    verdicts = transfer.family_verdict(pairs, ["task"], "family", [("a", "a_lo"), ("b", "b_lo")], 0.02, "f0")
+    return transfer.claim(metas, verdicts, pairs, ["task"], 0.02)
+
+
 @query(
     f"WITH {SCORES_SQL}, {_WIDE_SQL}, m AS (SELECT slug, task, regr_slope(y, z) AS b1, regr_intercept(y, z) AS b0 FROM wide GROUP BY ALL) SELECT slug, task, sample_idx, round(y - (b0 + b1 * z), 6) AS residual FROM wide JOIN m USING (slug, task)"
 )
