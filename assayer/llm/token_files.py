@@ -55,13 +55,32 @@ HEAD_BYTES, FOOT_BYTES = struct.calcsize(HEAD), struct.calcsize(FOOT)
 #: text bytes a file, about; documents whose ids train the dictionary, with the ids taken of each; the dictionary's bytes
 FILE_BYTES = 64 << 20
 TRAIN_ROWS, TRAIN_IDS, DICTIONARY_BYTES = 1500, 512, 64 << 10
-#: pieces in the younger of the two maps that a worker keeps, and the longest piece
-KEPT, KEPT_BYTES = 1 << 19, 64
+#: words and pieces in the younger of the two maps that a worker keeps, the longest piece, the longest word of several pieces
+KEPT, KEPT_BYTES, SHORT_BYTES = 1 << 19, 64, 8
 MANIFEST = "name string, file int, documents long, ids long, first_id long, last_id long"
 _PIECE = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[^a-z\x80-\xff]|\Z)|\S+")
 _LETTERS = re.compile(rb"[a-z]+")
 
 
+class _Pieces(dict):
+    """Ids of words and pieces, made when they are first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], older: dict[bytes, bytes]) -> None:
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            pieces = _PIECE.findall(word)
+            several = len(pieces) > 1
+            ids = b"".join(map(self.__getitem__, pieces)) if several else self.encode(word)
+            # long words of several pieces would crowd out the pieces
+            if len(word) > (SHORT_BYTES if several else KEPT_BYTES):
+                return ids
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids (little-endian u32) by a tokenizer's file, one piece at a time."""
 
@@ -70,58 +89,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = t = Tokenizer.from_file(path)
-        self._ids: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+        self._model = t.model
         self._special = [x.content.encode().lower() for x in t.get_added_tokens_decoder().values()]
         # where letters pass the tokenizer's preparation unchanged, its model alone encodes them in half the time
         letters = "abcdefghijklmnopqrstuvwxyz"
         self._plain = all([m.id for m in t.model.tokenize(x)] == t.encode(x, add_special_tokens=False).ids for x in (letters, letters[::-1], *letters))
+        self._ids = _Pieces(self._new, {})
 
-    def _new(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(piece, ids) of pieces that no map has."""
-        out: dict[bytes, bytes] = {}
-        if self._plain:
-            tokenize = self._tokenizer.model.tokenize
-            out = {p: array("I", [x.id for x in tokenize(p.decode())]).tobytes() for p in pieces if _LETTERS.fullmatch(p)}
-        rest = [p for p in pieces if p not in out]
-        made = self._tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
-        return [*out.items(), *((p, array("I", e.ids).tobytes()) for p, e in zip(rest, made, strict=True))]
-
-    def _words(self, text: bytes) -> tuple[list[bytes], bool]:
-        """(words of a text, whether they must stay whole): special tokens are found before anything is lower-cased, so a text that
-        may seem to hold one keeps its case and its words."""
-        low = text.lower()
-        special = any(x in low for x in self._special)
-        return (text if special else low).split(), special
+    def _new(self, piece: bytes) -> bytes:
+        if self._plain and _LETTERS.fullmatch(piece):
+            return array("I", [x.id for x in self._model.tokenize(piece.decode())]).tobytes()
+        return array("I", self._tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         if len(self._ids) > KEPT:  # the older half goes; what is still in use comes back from it
-            self._older, self._ids = self._ids, {}
-        known, older = self._ids, self._older
-        split = list(map(self._words, texts))
-        found = [list(map(known.get, words)) for words, _ in split]
-        # a word of several pieces is put together anew each time: kept words would crowd out the pieces
-        parts: dict[bytes, list[bytes]] = {}
-        for (words, special), ids in zip(split, found, strict=True):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                if words[at] not in parts:
-                    parts[words[at]] = [words[at]] if special else _PIECE.findall(words[at])
-        missing = {p for ps in parts.values() for p in ps if p not in known}
-        for p in missing & older.keys():
-            known[p] = older[p]
-        known.update(self._new([p for p in missing if p not in known]))
-        whole = {w: b"".join(map(known.__getitem__, ps)) for w, ps in parts.items()}
-        for (words, _), ids in zip(split, found, strict=True):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                ids[at] = whole[words[at]]
-        for p in missing:
-            if len(p) > KEPT_BYTES:
-                del known[p]
-        return list(map(b"".join, found))
+            self._ids = _Pieces(self._new, dict(self._ids))
+        out = []
+        for text in texts:
+            low = text.lower()
+            # special tokens are found before anything is lower-cased, so a text that may seem to hold one goes as it is
+            if any(x in low for x in self._special):
+                out.append(array("I", self._tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(self._ids.__getitem__, low.split())))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
