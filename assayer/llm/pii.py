@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._store import forget, stored
-from assayer.llm.spans import count_of, listed, matches
+from assayer.llm.spans import count_of, listed, matches, outside, replaced
 
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
@@ -124,9 +124,8 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
     wanted = stored(wanted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "wanted")
     # only the wanted words of a text are located
     word = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(F.map_keys("kinds")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    words = texts.join(wanted, "key").select("key", "base", "kinds", F.explode(matches(F.col("text"), 0, word)).alias("w"))
-    free = ~F.exists("base", lambda y: (F.col("w.start") < y["end"]) & (y["start"] < F.col("w.end")))
-    spans = words.where(free).select("key", "w.start", "w.end", F.element_at("kinds", F.lower("w.value")).alias("kind")).where("kind is not null")
+    words = texts.join(wanted, "key").select("key", "kinds", F.explode(outside(matches(F.col("text"), 0, word), F.col("base"))).alias("w"))
+    spans = words.select("key", "w.start", "w.end", F.element_at("kinds", F.lower("w.value")).alias("kind")).where("kind is not null")
     out = stored(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")), "terms")
     forget(texts, entities, holds, own, likely, counts, rows, chosen, wanted)
     return out
@@ -153,18 +152,6 @@ def detected(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     )
 
 
-def replaced(text: Column, spans: Column, labels: list[str] = LABELS) -> Column:
-    """`text` with each span (kind, start, end) replaced by its kind's label; of overlapping spans the first one's label stands for all."""
-    labels = F.array(*(F.lit(x) for x in labels))
-    order = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        added = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(labels, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], added).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
 def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """`docs`, all columns, with entities and disclosing terms of `text` replaced, and n_chars, where it has it, set to match."""
     columns = docs.columns
@@ -176,7 +163,7 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     terms = disclosing(docs, found, support, generalise, remove).toDF("__assayer_key", "__assayer_terms")
     none = F.array().cast(_BARE)
     dirty = dirty.join(terms, "__assayer_key", "left")
-    dirty = dirty.withColumn("text", replaced(F.col("text"), F.concat(_bare("__assayer_base"), F.coalesce("__assayer_terms", none))))
+    dirty = dirty.withColumn("text", replaced(F.col("text"), F.concat(_bare("__assayer_base"), F.coalesce("__assayer_terms", none)), LABELS))
     if "n_chars" in columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return marked.where("not __assayer_some").select(*columns).union(dirty.select(*columns))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._store import stored
-from assayer.llm.spans import count_of, listed, matches
+from assayer.llm.spans import count_of, listed, matches, outside
 
 KINDS = ["assign", "access", "hex", "owned"]
 # The base patterns, and the head of an assignment, whose rest is the value
@@ -49,8 +49,7 @@ def scanned(docs: DataFrame, repository: Column, owner: Column, example_owners:
         base_spans(text).alias("base"),
         matches(text, 3, MIXED).alias("more"),
     )
-    outside = F.filter("more", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    found = found.withColumn("more", outside)
+    found = found.withColumn("more", outside(F.col("more"), F.col("base")))
     rows = stored(found.withColumn("key", F.monotonically_increasing_id()), "candidates")
     secret = F.when(F.col("c.kind") == 0, F.regexp_replace("c.value", "^" + ASSIGN_HEAD, "")).otherwise(F.col("c.value"))
     each = rows.where(F.size("base") + F.size("more") > 0).select("key", "repository", "owner", F.explode(F.concat("base", "more")).alias("c"))
