@@ -44,11 +44,23 @@ MISSPELLED = 0.5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if ALNUM[c] else 32 for c in range(256))
 _QUOTES = ('"', "“", "”", "„", "«", "»")
-_QUOTE_BYTES = tuple(q.encode().decode("latin-1") for q in _QUOTES)
+
+
+def _latin(letters: str) -> str:
+    """UTF-8 bytes as characters, in which texts are searched; words are compared by letters."""
+    return letters.encode().decode("latin-1")
+
+
+def _folded(text: bytes) -> str:
+    """The bytes of a text between two spaces: A to Z in lower case, a space for each byte that is in no word."""
+    for q in _QUOTES[1:]:
+        if (raw := q.encode()) in text:
+            text = text.replace(raw, b" " * len(raw))
+    return f" {text.translate(_FOLD).decode('latin-1')} "
 
 
 def edits(term: str) -> int:
-    """Edits that a misspelling of the term may have."""
+    """Edits, in letters, that a misspelling of the term may have."""
     return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
@@ -118,14 +130,14 @@ class Finder:
             else:  # edits elsewhere leave the first piece at the word's beginning and the last at its end
                 pieces |= {f" {t[: cuts[1]]}", f"{t[cuts[-2]:]} ", *(t[cuts[i] : cuts[i + 1]] for i in range(1, n - 1))}
         self.pieces = ahocorasick.Automaton()
-        for p in pieces:
+        for p in map(_latin, pieces):
             self.pieces.add_word(p, len(p))
         if pieces:
             self.pieces.make_automaton()
         self.any = bool(pieces)
 
-    def words(self, folded: str) -> list[tuple[int, str]]:
-        """Words that hold a piece: (start, word). `folded` begins and ends with a space."""
+    def words(self, folded: str) -> list[tuple[int, int, str]]:
+        """Words that hold a piece: (start and end in bytes, word). `folded` are bytes between two spaces."""
         out, last = [], -1
         if self.any:
             for end, n in self.pieces.iter(folded):
@@ -134,11 +146,12 @@ class Finder:
                     continue
                 a, b = folded.rfind(" ", 0, inner + 1) + 1, folded.find(" ", inner)
                 if a < b:
-                    out.append((a, folded[a:b]))
+                    out.append((a, b, folded[a:b].encode("latin-1").decode("utf-8", "replace")))
                 last = b
         return out
 
     def near(self, word: str) -> tuple[int, str] | None:
+        """The nearest term of a word of letters."""
         if word not in self.known:
             if len(self.known) > 1_000_000:
                 self.known.clear()
@@ -148,15 +161,14 @@ class Finder:
     def counts(self, text: bytes) -> tuple[int, int, int]:
         """Plain exact hits, plain misspelled hits, quoted hits of a whole text."""
         exact = wrong = quoted = 0
-        folded, raw = f" {text.translate(_FOLD).decode('latin-1')} ", None
-        for at, word in self.words(folded):
+        for a, b, word in self.words(_folded(text)):
             hit = self.near(word)
             if hit is None or hit[0] and word in self.model.clean:
                 continue
-            if raw is None:
-                raw = f" {text.decode('latin-1')} "
-            before, after = raw[max(0, at - CONTEXT) : at], raw[at + len(word) : at + len(word) + CONTEXT]
-            if any(q in before for q in _QUOTE_BYTES) and any(q in after for q in _QUOTE_BYTES):
+            # places in `text` are one less; a letter has at most four bytes
+            before = text[max(0, a - 1 - 4 * CONTEXT) : a - 1].decode("utf-8", "ignore")[-CONTEXT:]
+            after = text[b - 1 : b - 1 + 4 * CONTEXT].decode("utf-8", "ignore")[:CONTEXT]
+            if any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES):
                 quoted += 1
             elif hit[0]:
                 wrong += 1
@@ -169,10 +181,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _latin(words: list[str]) -> list[str]:
-    return [w.encode().decode("latin-1") for w in words]
-
-
 def _pair_hashes(words: Column, seed: int) -> Column:
     return F.transform(words, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.lit(seed)))
 
@@ -188,9 +196,9 @@ def _lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     n1, n0 = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
         return [], []
-    # the same folding as Finder's: A-Z in lower case, letters and digits and all beyond ASCII
+    # words as in `_folded`
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    each = texts.select("toxic", F.split(F.translate("text", upper, lower), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+").alias("w"))
+    each = texts.select("toxic", F.split(F.translate("text", upper, lower), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F" + "".join(_QUOTES[1:]) + "]+").alias("w"))
     # near copies would make all their words look toxic: one text stands for those with the same least hash of word pairs
     for seed in (1, 2):
         each = each.groupBy("toxic", F.array_min(_pair_hashes(F.col("w"), seed)).alias("least")).agg(F.min_by("w", F.xxhash64("w")).alias("w")).select("toxic", "w")
@@ -212,7 +220,7 @@ def _lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
         # a stem must cover clearly more texts than the single word that it is the beginning of
         elif not any(bare.startswith(s) for s in stems) and by_term[term] > 1.2 * max([0, *(n for t, n in by_term.items() if not t.endswith("*") and t.startswith(bare))]):
             stems.append(bare)
-    return _latin(sorted(chosen)), _latin(stems)
+    return sorted(chosen), stems
 
 
 def _features(exact: float, wrong: float, quoted: float) -> list[float]:
@@ -267,12 +275,12 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
         finder, found = Finder(model), set()
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                found |= {w for _, w in finder.words(f" {text.translate(_FOLD).decode('latin-1')} ") if (finder.near(w) or (0,))[0]}
-        yield pa.record_batch([pa.array([w.encode("latin-1") for w in sorted(found)], pa.binary())], names=["word"])
+                found |= {w for _, _, w in finder.words(_folded(text)) if (finder.near(w) or (0,))[0]}
+        yield pa.record_batch([pa.array(sorted(found), pa.string())], names=["word"])
 
     if model.terms:
-        clean = train.where("toxic = 0").select("text").mapInArrow(variants, "word binary").distinct().collect()
-        model.clean = frozenset(bytes(r[0]).decode("latin-1") for r in clean)
+        clean = train.where("toxic = 0").select("text").mapInArrow(variants, "word string").distinct().collect()
+        model.clean = frozenset(r[0] for r in clean)
     cells = _counted(train, model).groupBy("n_exact", "n_misspelled", "n_quoted", "toxic").count().collect()
     forget(train)
     if len({c["toxic"] for c in cells}) == 2:
