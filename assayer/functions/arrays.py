@@ -93,6 +93,13 @@ def top_k(x: Column, k: int) -> Column:
     return F.transform(F.slice(order, 1, k), lambda s: s["i"])
 
 
+def fisher_top(p: Column, d: Column, k: int, floor: float = 1e-10) -> Column:
+    """`fisher_full` over the k largest of p (of equal ones the earlier), made to sum to 1."""
+    places = lambda x, at: F.transform(at, lambda i: F.get(x, i))
+    share = lambda q: let(total(q) + floor, lambda s: F.transform(q, lambda v: v / s))
+    return let(top_k(p, k), lambda at: let(share(places(p, at)), lambda q: let(places(d, at), lambda z: fisher_full(q, z, floor))))
+
+
 def js_radius(rows: Column) -> Column:
     """The mean divergence of distributions (rows of equal length) from their mean, in nats: a Jensen-Shannon radius."""
     n = F.size(rows)

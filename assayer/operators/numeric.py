@@ -141,25 +141,3 @@ def rowwise(df: DataFrame, inputs: list[str], function: Callable[..., object], i
             yield rows.assign(**{into: pd.Series(values, index=rows.index, dtype=object)})
 
     return df.mapInPandas(run, schema)
-
-
-def fisher_spectrum(p: np.ndarray) -> list[float]:
-    """Eigenvalues, largest first, of diag(p) - p p': what bounds a centred Fisher matrix over a vocabulary."""
-    return np.linalg.eigvalsh(np.diag(p) - np.outer(p, p))[::-1].clip(0).tolist()
-
-
-def _centred(p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return np.sqrt(p)[:, None] * (weights[: len(p)] - p @ weights[: len(p)])
-
-
-def dual_spectrum(p: np.ndarray, weights: np.ndarray) -> list[float]:
-    """Eigenvalues, largest first, of W' (diag(p) - p p') W by its dual, which is as small as the support of p."""
-    c = _centred(p, weights)
-    return np.linalg.eigvalsh(c @ c.T)[::-1].clip(0).tolist()
-
-
-def null_ratio(p: np.ndarray, direction: np.ndarray, weights: np.ndarray, rank: int) -> float | None:
-    """The share of a direction's energy outside the `rank` leading directions of the centred Fisher matrix."""
-    _, _, right = np.linalg.svd(_centred(p, weights), full_matrices=False)
-    total, inside = float(direction @ direction), right[:rank] @ direction
-    return None if total == 0 else max(0.0, 1 - float(inside @ inside) / total)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from assayer.functions import arrays, extensions, texts
 from assayer.functions.numbers import rounded
-from assayer.operators import auroc, numeric, resampling
+from assayer.operators import auroc, numeric, resampling, spectra
 from assayer.plans.areas import DEPLOYMENT
 from assayer.plans.deployments import CELLS, SCORES_SQL, area_sql, samples, scores
 from assayer.plans.registry import query
@@ -89,30 +89,54 @@ def cv4_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", "e", arrays.softmax(F.slice("e", 1, 16)).alias("p"))
+    return vectors(spark, sf_dir).select("vec_id", "e", arrays.softmax("e").alias("p"))
 
 
-#: a fixed matrix of 16 directions in 64 dimensions
-_W = np.cos(np.outer(np.arange(1, 17), np.arange(1, 65)) * 0.37)
+#: a fixed matrix of 64 rows, one for each place of p, in 64 dimensions
+_W = np.cos(np.outer(np.arange(1, 65), np.arange(1, 65)) * 0.37) / np.sqrt(np.arange(1, 65))
+_RANKS = [1, 4, 16]
 
 
 @query()
 def arr7_fisher_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = numeric.rowwise(_probabilities(spark, sf_dir).select("vec_id", "p"), ["p"], numeric.fisher_spectrum, "s", numeric.DOUBLES)
-    return s.select("vec_id", F.get("s", F.lit(0)).alias("largest"), arrays.total(F.col("s")).alias("trace"))
+    """Eigenvalues over the whole vocabulary, with the values of p that the largest lies between."""
+    s = numeric.rowwise(_probabilities(spark, sf_dir).select("vec_id", "p"), ["p"], lambda p: spectra.fisher_spectrum(p).tolist(), "s", numeric.DOUBLES)
+    top = F.sort_array("p", asc=False)
+    return s.select("vec_id", F.get("s", F.lit(0)).alias("largest"), F.get(top, F.lit(1)).alias("below"), F.get(top, F.lit(0)).alias("above"), arrays.total(F.col("s")).alias("trace"), arrays.effective_rank(F.col("s")).alias("effective_rank"))
 
 
 @query()
 def arr8_spectrum_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = numeric.rowwise(_probabilities(spark, sf_dir).select("vec_id", "p"), ["p"], lambda p: numeric.dual_spectrum(p, _W), "s", numeric.DOUBLES)
-    c = F.col("s")
-    return s.select("vec_id", arrays.effective_rank(c).alias("effective_rank"), arrays.entropy(c).alias("entropy"), arrays.participation(c).alias("participation"), (-arrays.tail_log_volume(c, 1)).alias("neg_log_volume"))
+    """Statistics of the centred spectrum, and how far a reflection of the hidden space moves them (not at all)."""
+    held = numeric.rowwise(_probabilities(spark, sf_dir).select("vec_id", "p"), ["p"], lambda p: spectra.centred_spectrum(p, _W).tolist(), "s", numeric.DOUBLES)
+    turned = spectra.reflected(_W, 7)
+    held = numeric.rowwise(held, ["p"], lambda p: spectra.centred_spectrum(p, turned).tolist(), "t", numeric.DOUBLES)
+    stats = {"effective_rank": arrays.effective_rank, "entropy": arrays.entropy, "participation": arrays.participation, "neg_log_volume": lambda c: -arrays.tail_log_volume(c, 1)}
+    moved = F.greatest(*(F.abs(f(F.col("s")) - f(F.col("t"))) for n, f in stats.items() if n != "neg_log_volume"))
+    return held.select("vec_id", *(f(F.col("s")).alias(n) for n, f in stats.items()), (moved < 1e-8).alias("invariant"))
+
+
+@query()
+def arr12_low_rank_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Fisher length of a vector by 16 leading directions, beside that by all."""
+    held = numeric.rowwise(_probabilities(spark, sf_dir), ["p", "e"], lambda p, e: spectra.low_rank_distance(p, e, _W, 16), "low_rank", T.DoubleType())
+    held = numeric.rowwise(held, ["e"], lambda e: (_W @ e).tolist(), "z", numeric.DOUBLES)
+    return held.select("vec_id", "low_rank", arrays.fisher_full(F.col("p"), F.col("z")).alias("full_distance"))
 
 
 @query()
 def arr13_null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = numeric.rowwise(_probabilities(spark, sf_dir), ["p", "e"], lambda p, e: numeric.null_ratio(p, e, _W, 1), "null_ratio", T.DoubleType())
-    return held.select("vec_id", "null_ratio")
+    """What the leading directions leave of a vector, by the bare, the weighted and the centred projection, at several ranks."""
+    basis = spectra.leading(_W, max(_RANKS))
+
+    def every(p: np.ndarray, e: np.ndarray) -> list[float]:
+        kinds = spectra.static_ratios(e, _W, _RANKS, basis), spectra.fisher_ratios(p, e, _W, _RANKS), spectra.centred_ratios(p, e, _W, _RANKS)
+        return [spectra.discharged(p, e, _W), *(x for null, energy in kinds for pair in zip(null, energy, strict=True) for x in pair)]
+
+    held = numeric.rowwise(_probabilities(spark, sf_dir), ["p", "e"], every, "v", numeric.DOUBLES)
+    at = [(k, r, 1 + 2 * (len(_RANKS) * i + j)) for i, k in enumerate(("raw", "fisher", "centred")) for j, r in enumerate(_RANKS)]
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rank"), F.get("v", F.lit(i)).alias("null_ratio"), F.get("v", F.lit(i + 1)).alias("energy")) for k, r, i in at))
+    return held.select("vec_id", F.get("v", F.lit(0)).alias("discharged"), F.inline(rows))
 
 
 @query(f"WITH {SCORES_SQL}, {_WIDE} SELECT slug, sample_idx, 'additive(signal, coarse)' AS cell, signal + coarse AS score FROM wide UNION ALL SELECT slug, sample_idx, 'gated(signal, coarse)', signal * coarse FROM wide UNION ALL SELECT slug, sample_idx, 'price', price FROM wide")

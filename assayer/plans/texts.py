@@ -276,12 +276,14 @@ def arr11_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_P_SQL}, {_PAIRS_SQL}, d AS (SELECT vec_id, p, list_transform(range(1, 65), lambda i: y[i] - x[i]) AS d FROM pairs), f AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: p[i] * d[i] * d[i])) AS g, list_dot_product(p, d) AS m FROM d) SELECT vec_id, round(g, 9) AS diagonal, round(sqrt(greatest(g - m * m, 1e-10)), 9) AS full_distance FROM f"
+    f"WITH {_P_SQL}, {_PAIRS_SQL}, d AS (SELECT vec_id, p, list_transform(range(1, 65), lambda i: y[i] - x[i]) AS d FROM pairs), f AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: p[i] * d[i] * d[i])) AS g, list_dot_product(p, d) AS m FROM d), "
+    "t AS (SELECT vec_id, sum(q) + 1e-10 AS s, sum(q * z * z) AS g16, sum(q * z) AS m16 FROM (SELECT vec_id, p[i] AS q, d[i] AS z, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS r FROM d, range(1, 65) x(i)) WHERE r <= 16 GROUP BY vec_id) "
+    "SELECT vec_id, round(g, 9) AS diagonal, round(sqrt(greatest(g - m * m, 1e-10)), 9) AS full_distance, round(sqrt(greatest(g16 / s - (m16 / s) * (m16 / s), 1e-10)), 9) AS top_distance FROM f JOIN t USING (vec_id)"
 )
 def arr12_fisher_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.zip_with("y", "x", lambda a, b: a - b)
     held = _pairs(spark, sf_dir).select("vec_id", "p", d.alias("d"))
-    return held.select("vec_id", rounded(arrays.fisher_diagonal(F.col("p"), F.col("d"))).alias("diagonal"), rounded(arrays.fisher_full(F.col("p"), F.col("d"))).alias("full_distance"))
+    return held.select("vec_id", rounded(arrays.fisher_diagonal(F.col("p"), F.col("d"))).alias("diagonal"), rounded(arrays.fisher_full(F.col("p"), F.col("d"))).alias("full_distance"), rounded(arrays.fisher_top(F.col("p"), F.col("d"), 16)).alias("top_distance"))
 
 
 @query(
