@@ -130,6 +130,16 @@ def out_of_fold(rows: DataFrame, keys: list[str], sample: str, features: list[st
     return scale(each.where("fold = held")).join(beta, by).select(*keys, sample, "label", (1.0 / (1.0 + F.exp(-z))).alias("score"))
 
 
+def each_model(rows: DataFrame, models: dict[str, list[str]], features: list[str]) -> DataFrame:
+    """`rows` for each of several models, with `model`; a feature that a model does not use is 0 there.
+
+    A feature that is 0 everywhere gets the weight 0, so `logistic` and `out_of_fold` with `model` among their keys fit all models at
+    once: one scan a round sums for all of them, and folds and standard deviations are shared. Rows are copied in the task that
+    reads them and combined before the shuffle."""
+    kept = F.array(*(F.struct(F.lit(m).alias("model"), *((F.col(f) if f in used else F.lit(0)).cast("double").alias(f) for f in features)) for m, used in models.items()))
+    return rows.select(*(c for c in rows.columns if c not in features), F.inline(kept))
+
+
 def rowwise(df: DataFrame, inputs: list[str], function: Callable[..., object], into: str, kind: T.DataType) -> DataFrame:
     """Adds `function` of arrays of each row, in Arrow batches. A plain column then: it cannot end up inside a lambda of a
     higher-order function, where Python cannot run."""

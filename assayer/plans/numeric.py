@@ -80,12 +80,22 @@ def cv2_out_of_fold_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oof_area(spark, sf_dir, ["price", "signal"])
 
 
+_BASES, _STATISTICS = (["price"], ["coarse"]), ("signal", "inverse")
+
+
 @query()
 def cv4_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a second feature adds to the first one's area, on shared folds."""
-    base = _oof_area(spark, sf_dir, ["price"]).select(*DEPLOYMENT, F.col("auc").alias("base"))
-    more = _oof_area(spark, sf_dir, ["price", "signal"]).select(*DEPLOYMENT, F.col("auc").alias("with_stat"))
-    return base.join(more, DEPLOYMENT).withColumn("increment", F.col("with_stat") - F.col("base"))
+    """What each statistic adds to the area of each base, on shared folds; all models are fitted together."""
+    features = [*dict.fromkeys(f for b in _BASES for f in b), *_STATISTICS]
+    models = {"+".join(b): b for b in _BASES} | {"+".join([*b, s]): [*b, s] for b in _BASES for s in _STATISTICS}
+    held = wide(spark, sf_dir).join(_folds(spark, sf_dir), [*DEPLOYMENT, "sample_idx"]).withColumn("label", F.col("label").cast("double"))
+    oof = numeric.out_of_fold(numeric.each_model(held, models, features), [*DEPLOYMENT, "model", "rep"], "sample_idx", features)
+    mean = oof.groupBy(*DEPLOYMENT, "model", "sample_idx").agg(F.avg("score").alias("score"), F.first("label").cast("int").alias("label"))
+    area = auroc.ranked_area(mean, [*DEPLOYMENT, "model"]).select(*DEPLOYMENT, "model", "auc")
+    pairs = F.array(*(F.struct(F.lit("+".join(b)).alias("base"), F.lit(s).alias("statistic"), F.lit("+".join([*b, s])).alias("both")) for b in _BASES for s in _STATISTICS))
+    more = area.select(*DEPLOYMENT, F.col("model").alias("both"), F.col("auc").alias("with_stat"))
+    out = area.withColumnRenamed("model", "base").withColumnRenamed("auc", "base_auc").join(area.select(*DEPLOYMENT).distinct().select("*", F.inline(pairs)), [*DEPLOYMENT, "base"]).join(more, [*DEPLOYMENT, "both"])
+    return out.select(*DEPLOYMENT, "base", "statistic", "base_auc", "with_stat", (F.col("with_stat") - F.col("base_auc")).alias("increment"))
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:

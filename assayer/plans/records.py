@@ -10,7 +10,7 @@ from assayer.plans.areas import winners
 from assayer.plans.deployments import SCORES_SQL, area_sql, scores
 from assayer.plans.registry import query, table
 from assayer.plans.selection import SEED
-from assayer.sources import files, scratch
+from assayer.sources import archives, files, scratch
 
 #: each part as a pair: its own price and one that a donor would have
 _PAIRS_SQL = """pairs AS (SELECT p_brand AS slug, p_partkey AS stem, 0 AS label, p_retailprice AS score FROM part UNION ALL SELECT p_brand, p_partkey, 1, p_retailprice + p_size FROM part)"""
@@ -81,6 +81,22 @@ def snk1_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"WITH {SCORES_SQL} SELECT slug, task, cell, CASE WHEN slug = 'm9' THEN 'no profile' WHEN task = 'beta' THEN 'partial' ELSE 'complete' END AS status, count(*) AS n, count(score) AS scored, round(sum(score), 3) AS total, CAST(sum(label) AS BIGINT) AS positive, count(DISTINCT stem) AS stems FROM scores GROUP BY ALL"
+)
+def src5_array_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices written as array archives, read back by a data source, with the status of their profiles."""
+    each = scores(spark, sf_dir).groupBy("slug", "task", "sample_idx", F.col("stem").cast("string").alias("stem"), "label")
+    wide = each.agg(F.array_sort(F.collect_list(F.struct("cell_idx", "cell", "score"))).alias("c")).withColumn("panel", F.col("c.cell")).withColumn("scores", F.col("c.score")).drop("c")
+    path = scratch.folder(spark, "archives")
+    archives.write(wide, path)
+    held = archives.read(spark, path)
+    done = F.when(F.col("task") == "beta", "partial").otherwise("complete")
+    profiles = held.select("slug", "task").distinct().where("slug <> 'm9'").withColumn("status", done)
+    out = archives.with_profiles(archives.long(held), profiles).groupBy("slug", "task", "cell", "status")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"), F.round(F.sum("score"), 3).alias("total"), F.sum("label").alias("positive"), F.count_distinct("stem").alias("stems"))
+
+
 @query()
 def orc1_resumed_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work left after a partial run: an anti-join on what is done, then both parts together."""

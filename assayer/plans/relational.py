@@ -239,6 +239,37 @@ def gate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dataset", "n", rounded(F.col("share")).alias("share"), "n_repeated", "n_overlap", F.array_join("hard_failures", ",").alias("failures"), "pass")
 
 
+_RULES = gate.Rules(balance=0.06, cap=None, paired=True, questions=True, splits=("en", "de", "fr"), allocation={("en", 0): 9, ("en", 1): 9}, cue="Answer:", models=("a", "b"), tokens=880)
+
+
+@query(
+    r"""WITH r AS (SELECT doc_id, source AS dataset, 'Question: ' || left(text, 12) || ' Proposed answer: ' || doc_id || CASE WHEN doc_id % 40 = 3 THEN '' ELSE ' Answer:' END AS prompt, CAST(doc_id % 2 AS INTEGER) AS label, CASE WHEN source <> 'src5' THEN doc_id // 2 END AS stem,
+  CASE WHEN doc_id % 33 <> 5 THEN 'q' || doc_id // 2 END AS question, lang AS split, n_chars % 900 AS a, CASE WHEN source <> 'src4' THEN n_chars % 700 END AS b, CASE WHEN doc_id % 51 = 0 THEN NULL WHEN doc_id % 27 = 0 THEN 0 ELSE n_chars % 900 END AS m FROM documents),
+known AS (SELECT DISTINCT question FROM r WHERE dataset = 'src1' AND doc_id % 4 = 0),
+rows AS (SELECT dataset, count(*) AS n, avg(CAST(label AS DOUBLE)) AS share, count(*) FILTER (stem IS NULL) AS n_stemless, count(*) FILTER (question IS NULL) AS n_unasked, count(*) FILTER (split NOT IN ('en', 'de', 'fr')) AS n_foreign, count(*) FILTER (split = 'en' AND label = 0) AS p0, count(*) FILTER (split = 'en' AND label = 1) AS p1,
+  count(*) FILTER (doc_id % 40 = 3) AS n_uncued, count(*) FILTER (m IS NULL) AS n_unmeasured, count(*) FILTER (m > 880) AS n_long, count(*) FILTER (b IS NULL OR m IS NULL OR greatest(a, b) <> m) AS n_unproven FROM r GROUP BY dataset),
+stems AS (SELECT dataset, count(*) FILTER (c <> 2 OR l <> 2) AS n_unpaired FROM (SELECT dataset, stem, count(*) AS c, count(DISTINCT label) AS l FROM r WHERE stem IS NOT NULL GROUP BY ALL) GROUP BY dataset),
+ids AS (SELECT dataset, count(*) FILTER (question IN (SELECT question FROM known)) AS n_question_overlap FROM (SELECT DISTINCT dataset, question FROM r WHERE question IS NOT NULL) GROUP BY dataset),
+asked AS (SELECT dataset, count(*) FILTER (c <> 2) AS n_odd FROM (SELECT dataset, trim(regexp_replace(split_part(split_part(prompt, 'Question:', 2), 'Proposed answer:', 1), '^[ ]+|[ ]+$', '', 'g')) AS q, count(*) AS c FROM r GROUP BY ALL) GROUP BY dataset)
+SELECT dataset, n, round(share, 9) AS share, coalesce(n_question_overlap, 0) AS n_question_overlap, n_uncued, n_unproven, concat_ws(',', CASE WHEN abs(share - 0.5) > 0.06 + 1e-9 THEN 'balance' END, CASE WHEN n_unasked > 0 THEN 'question_schema' END, CASE WHEN n_question_overlap > 0 THEN 'question_overlap' END, CASE WHEN n_stemless > 0 THEN 'stemless' END,
+  CASE WHEN n_stemless = 0 AND n_unpaired > 0 THEN 'pairs' END, CASE WHEN n_foreign > 0 THEN 'split' END, CASE WHEN n <> 18 OR p0 <> 9 OR p1 <> 9 THEN 'allocation' END, CASE WHEN n_uncued > 0 THEN 'cue' END, CASE WHEN n_unmeasured > 0 THEN 'token_schema' END, CASE WHEN n_long > 0 THEN 'token_cap' END, CASE WHEN n_unproven > 0 THEN 'token_map' END) AS failures,
+  CASE WHEN n_odd > 0 THEN 'odd_questions' ELSE '' END AS warnings FROM rows LEFT JOIN stems USING (dataset) LEFT JOIN ids USING (dataset) LEFT JOIN asked USING (dataset)"""
+)
+def gate_full_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the gate, over prompts with questions, splits, cues and token counts."""
+    k, n = F.col("doc_id"), F.col("n_chars").cast("int")
+    two = F.when(F.col("source") != "src4", F.create_map(F.lit("a"), n % 900, F.lit("b"), n % 700)).otherwise(F.create_map(F.lit("a"), n % 900))
+    cue = F.when(k % 40 == 3, "").otherwise(" Answer:")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("dataset"), F.concat(F.lit("Question: "), F.left("text", F.lit(12)), F.lit(" Proposed answer: "), k.cast("string"), cue).alias("prompt"), (k % 2).cast("int").alias("label"),
+        F.when(F.col("source") != "src5", F.expr("doc_id div 2")).alias("stem_id"), F.when(k % 33 != 5, F.concat(F.lit("q"), F.expr("doc_id div 2").cast("string"))).alias("question_id"), F.col("lang").alias("split"), two.alias("token_counts"),
+        F.when(k % 51 != 0, F.when(k % 27 == 0, 0).otherwise(n % 900)).alias("max_tokens"),
+    )
+    known = rows.where("dataset = 'src1' and doc_id % 4 = 0").select(F.lit(None).cast("string").alias("hash"), "question_id")
+    out = gate.admitted(rows, ["dataset"], _RULES, known)
+    return out.select("dataset", "n", rounded(F.col("share")).alias("share"), "n_question_overlap", "n_uncued", "n_unproven", F.array_join("hard_failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+
+
 _FILES = """declared AS (SELECT 'f' || p_partkey || CASE WHEN p_partkey % 31 = 0 THEN '/../x' ELSE '.json' END AS path, CASE WHEN p_partkey % 29 = 0 THEN 'bad' ELSE sha256(p_name || p_partkey) END AS sha256 FROM part),
 present AS (SELECT 'f' || p_partkey || '.json' AS path, sha256(p_name || (p_partkey + CASE WHEN p_partkey % 23 = 0 THEN 1 ELSE 0 END)) AS sha256 FROM part WHERE p_partkey % 19 <> 0 UNION ALL SELECT 'more.json', sha256('x')),
 report AS (SELECT path, CASE WHEN d.sha256 IS NULL THEN 'undeclared' WHEN contains(path, '/../') THEN 'unsafe' WHEN length(d.sha256) <> 64 THEN 'malformed' WHEN p.sha256 IS NULL THEN 'missing' WHEN p.sha256 <> d.sha256 THEN 'mismatch' ELSE 'ok' END AS status FROM declared d FULL JOIN present p USING (path))"""
@@ -362,6 +393,22 @@ def src1_json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("_corrupt_record is null").select("doc_id", F.sha2("prompt", 256).alias("hash"), "label", "stem_id")
 
 
+@query("SELECT doc_id, doc_id % 50 = 7 AS bad, TRUE AS in_place FROM documents")
+def src1_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their numbers in files that several tasks read; one in fifty does not parse. Files are in order of doc_id, so a line's
+    number is its place in that order."""
+    from assayer.sources import scratch
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("prompt"))
+    line = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "prompt"'))).otherwise(F.to_json(F.struct("doc_id", "prompt")))
+    path = scratch.folder(spark, "lines")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    lines = files.numbered_json_lines(spark, path, "doc_id bigint, prompt string")
+    found = lines.select(F.coalesce("doc_id", F.regexp_extract("value", r"(\d+)", 1).cast("bigint")).alias("doc_id"), F.col("_corrupt_record").isNotNull().alias("bad"), "file", "line")
+    place = F.row_number().over(W.partitionBy("file").orderBy("doc_id"))
+    return found.select("doc_id", "bad", (F.col("line") == place).alias("in_place"))
+
+
 @query("WITH r AS (SELECT source, doc_id, sha256((doc_id % 2) || chr(9) || text || chr(10)) AS h FROM documents) SELECT source, sha256(string_agg(h, '' ORDER BY doc_id)) AS digest FROM r GROUP BY source")
 def src2_source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("prompt"), (F.col("doc_id") % 2).alias("label"))

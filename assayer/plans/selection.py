@@ -398,7 +398,7 @@ def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: quantiles of Student's t at 0.975 by degrees of freedom (fixed values)
-T_975 = {1: 12.7062047364, 2: 4.30265272991, 3: 3.18244630528, 4: 2.7764451052, 5: 2.57058183661, 6: 2.44691184879, 7: 2.36462425101, 8: 2.30600413503, 9: 2.26215716274}
+T_975 = {1: 12.706204736175, 2: 4.302652729749, 3: 3.182446305284, 4: 2.776445105198, 5: 2.570581835636, 6: 2.446911851145, 7: 2.364624251593, 8: 2.306004135204, 9: 2.262157162798}
 #: upper tails by finite sums (whole degrees of freedom) and by the series of the normal distribution
 _T_UPPER_SQL = """0.5 - sign(t) * 0.5 * CASE WHEN df % 2 = 1 THEN 2 / pi() * (atan(abs(t) / sqrt(df)) + abs(t) / sqrt(df + t * t) * coalesce(list_sum(list_transform(range(1, (df - 1) // 2 + 1), lambda j: pow(sqrt(df / (df + t * t)), 2 * j - 1) * coalesce(list_product(list_transform(range(1, j), lambda i: 2.0 * i / (2 * i + 1))), 1))), 0))
   ELSE abs(t) / sqrt(df + t * t) * list_sum(list_transform(range(0, df // 2), lambda j: pow(df / (df + t * t), j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2.0 * i - 1) / (2 * i))), 1))) END"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PROMPT_ROWS = "prompt string, text string, label int, stem_id string, meta map<string,string>"
@@ -15,6 +16,31 @@ def json_lines(spark: SparkSession, path: str, schema: str = PROMPT_ROWS) -> Dat
     return parsed.select("j.*", "file", "value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of every line, blank ones too; `line` counts from 1 in each file.
+
+    A file may be split over tasks. A task's rows carry increasing numbers, a block of a file is read by one task and in order, so a
+    line's place in its block is its number less the block's least; the blocks' counts, summed up in order of their starts, give the
+    rest. The only rows that are shuffled are one for each block; the lines stay where they are read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("_block")) - F.col("_n")
+    starts = blocks.select("file", "_block", (before - F.col("_first") + 1).alias("_move"))
+    return lines.join(starts, ["file", "_block"]).select("file", (F.col("_id") + F.col("_move")).alias("line"), "value")
+
+
+def numbered_json_lines(spark: SparkSession, path: str, schema: str = PROMPT_ROWS) -> DataFrame:
+    """As `json_lines`, with the number of each line in its file."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("j", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.select("j.*", "file", "line", "value")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str = PROMPT_ROWS) -> DataFrame:
+    """(file, line, value) of the lines that do not parse."""
+    return numbered_json_lines(spark, path, schema).where("_corrupt_record is not null").select("file", "line", "value")
+
+
 def strict_json_lines(spark: SparkSession, path: str, schema: str = PROMPT_ROWS) -> DataFrame:
     """As `json_lines`, but a bad line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
