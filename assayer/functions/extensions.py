@@ -31,6 +31,44 @@ def _gated(a: Column, b: Column) -> Column:
     return a * b
 
 
+PROMPTS: dict[str, Builder] = {}
+
+
+def prompt_strategy(name: str) -> Callable[[Builder], Builder]:
+    """Registers a builder of what a model is given from a text."""
+
+    def add(f: Builder) -> Builder:
+        PROMPTS[name] = f
+        return f
+
+    return add
+
+
+@prompt_strategy("raw")
+def _raw(text: Column) -> Column:
+    return text
+
+
+@prompt_strategy("chat")
+def _chat(text: Column) -> Column:
+    return F.concat(F.lit("<|im_start|>user\n"), text, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
+@prompt_strategy("instruct")
+def _instruct(text: Column) -> Column:
+    return F.concat(F.lit("[INST] "), text, F.lit(" [/INST]"))
+
+
+def prompted(text: Column, model: Column, strategies: dict[str, str], default: str = "raw") -> Column:
+    """`text` as the row's model wants it: by the strategy that `strategies` names for the model, else by the default."""
+    if missing := {default, *strategies.values()} - PROMPTS.keys():
+        raise KeyError(f"no prompt strategy {sorted(missing)}; there are {sorted(PROMPTS)}")
+    out = PROMPTS[default](text)
+    for name in dict.fromkeys(strategies.values()):
+        out = F.when(model.isin(*(m for m, s in strategies.items() if s == name)), PROMPTS[name](text)).otherwise(out)
+    return out
+
+
 def built(label: str, df: DataFrame) -> Column:
     """The column that a label names: a plain column, or `name(column, column)` of a registered composite."""
     if "(" not in label:

@@ -22,8 +22,14 @@ def normal_hash(text: Column) -> Column:
 
 
 def commitment(text: Column) -> Column:
-    """An answer's normal form: leading white space off, lower case, trailing punctuation and white space off."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text, f"^{SPACE}", "")), r"[\p{P}\s]+$", "")
+    """An answer's normal form: leading white space off, case folded, trailing punctuation (Unicode's, and all of ASCII's signs) and
+    white space off."""
+    return F.regexp_replace(folded(F.regexp_replace(text, f"^{SPACE}", "")), r"[\p{P}$+<=>^`|~\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+$", "")
+
+
+def folded(text: Column) -> Column:
+    """Case folding: letters that differ in case only become equal, also where a capital has another length or two small forms."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
 
 
 def is_canonical(answer: Column) -> Column:

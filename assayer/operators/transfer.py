@@ -132,6 +132,18 @@ def warnings(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))
 
 
+def deployability(coverage: Column) -> Column:
+    """Advice about a calibration, from columns n, share, auroc, ci_lo, ci_hi, oob_median and stability, missing ones giving none.
+
+    `coverage` is an array of (cell, n): cells that were scored for less than four fifths of the samples are named. Fixed values:
+    20 samples; shares of 0.3 to 0.7; areas of 0.65, and 0.6 out of the bag; intervals of 0.3; a gap of 0.15; a stability of 0.7."""
+    c = F.col
+    before = warnings((c("n") < 20, "small_n"), ((c("share") < 0.3) | (c("share") > 0.7), "imbalance"), (c("auroc") < 0.65, "low_auroc"), (c("ci_hi") - c("ci_lo") > 0.3, "wide_interval"))
+    sparse = F.transform(F.filter(coverage, lambda x: x["n"] < 0.8 * c("n")), lambda x: F.concat(F.lit("coverage:"), x["cell"]))
+    after = warnings((c("oob_median") < 0.6, "low_out_of_bag"), (c("auroc") - c("oob_median") > 0.15, "optimistic"), (c("stability") < 0.7, "unstable"))
+    return F.concat(before, F.coalesce(sparse, F.array().cast("array<string>")), after)
+
+
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """One-sided p of a 2 x 2 table [[a, b], [c, d]]: the chance of `a` or more with its margins, as hypergeometric terms."""
     log = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))

@@ -12,7 +12,7 @@ from assayer.functions.numbers import rounded
 from assayer.operators import auroc, numeric, resampling, spectra
 from assayer.plans.areas import DEPLOYMENT
 from assayer.plans.deployments import CELLS, SCORES_SQL, area_sql, samples, scores
-from assayer.plans.registry import query
+from assayer.plans.registry import query, table
 from assayer.plans.relational import _WIDE, wide
 from assayer.plans.selection import REPS, SEED, _folds
 from assayer.plans.texts import _ANSWERS_SQL, answers, vectors
@@ -160,6 +160,14 @@ def udf1_custom_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("conv_id", "turn", texts.yes_no(F.col("answer"), {"first": r"(?i)^\s*(yes|no)\b"}, special="(?!)").alias("answer"))
 
 
+@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) WHEN 2 THEN '[INST] ' || text || ' [/INST]' WHEN 3 THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE text END AS prompt FROM conversations")
+def udf1_prompt_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as each model wants them."""
+    model = F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string"))
+    prompt = extensions.prompted(F.col("text"), model, {"m1": "chat", "m2": "instruct", "m3": "chat"})
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
+
+
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, CASE WHEN abs(value - 20) <= 2 THEN 'ABSTAIN' WHEN value > 20 THEN 'BLOCK' ELSE 'ALLOW' END AS decision FROM events) SELECT hour, event_type, decision, count(*) AS n FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL")
 def ext_stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: hourly decisions of a stream, the hours that the watermark has closed."""

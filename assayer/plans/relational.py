@@ -449,12 +449,14 @@ def src6_tolerant_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark).select("cell_idx", files.panel_cells(text).alias("c")).select("cell_idx", "c.step", "c.family", "c.detail")
 
 
-@query("SELECT * FROM nation")
+@query("SELECT o_orderkey AS k, o_custkey AS customer, o_orderstatus AS status FROM orders")
 def src7_guarded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Parquet file behind a check of its content."""
-    path = f"{sf_dir}/nation.parquet"
-    want = files.file_hashes(spark, path, "*.parquet").orderBy("path").limit(1).first()["sha256"]
-    return files.guarded_parquet(spark, path, want)
+    """A table behind a manifest of its files' hashes, taken when they were written."""
+    from assayer.sources import scratch
+
+    path = scratch.folder(spark, "guarded")
+    files.write_guarded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status")), path)
+    return files.guarded(spark, path)
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation")

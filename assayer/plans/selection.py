@@ -508,14 +508,30 @@ def ols1_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.residualised(_wide(spark, sf_dir), DEPLOYMENT, "y", "z").select("slug", "task", "sample_idx", rounded(F.col("residual"), 6).alias("residual"))
 
 
+_ENDPOINT_SQL = _SUMMARY_SQL.split("SELECT slug, task, winner, round(stability")[0].rstrip() + ", endpoint AS (SELECT slug, task, stability, med FROM m JOIN q USING (slug, task))"
+
+
 @query(
-    f"WITH {WINNERS_SQL}, s AS (SELECT slug, task, count(*) AS n, avg(label) AS share FROM samples GROUP BY ALL) SELECT slug, task, concat_ws(',', CASE WHEN n < 100 THEN 'small_n' END, CASE WHEN share < 0.35 OR share > 0.65 THEN 'imbalance' END, CASE WHEN auroc < 0.6 THEN 'low_auroc' END) AS warnings FROM s LEFT JOIN winners USING (slug, task)"
+    f"WITH {WINNERS_SQL}, {_weights_sql('sample_idx')}, {_BAGS_SQL}, {_NESTED_SQL}, {_ENDPOINT_SQL}, s AS (SELECT slug, task, count(*) AS n, avg(label) AS share FROM samples GROUP BY ALL), "
+    "i AS (SELECT b.slug, b.task, quantile_cont(CASE WHEN w.sign = 1 THEN in_bag ELSE 1 - in_bag END, 0.025) AS lo, quantile_cont(CASE WHEN w.sign = 1 THEN in_bag ELSE 1 - in_bag END, 0.975) AS hi FROM bags b JOIN winners w ON w.slug = b.slug AND w.task = b.task AND w.cell = b.cell GROUP BY ALL), "
+    "v AS (SELECT slug, task, string_agg(CASE WHEN held < 0.8 * n THEN 'coverage:' || cell END, ',' ORDER BY cell_idx) AS sparse FROM (SELECT slug, task, cell, cell_idx, count(score) AS held, count(*) AS n FROM scores GROUP BY ALL) GROUP BY ALL) "
+    "SELECT slug, task, concat_ws(',', CASE WHEN n < 20 THEN 'small_n' END, CASE WHEN share < 0.3 OR share > 0.7 THEN 'imbalance' END, CASE WHEN auroc < 0.65 THEN 'low_auroc' END, CASE WHEN hi - lo > 0.3 THEN 'wide_interval' END, sparse, CASE WHEN med < 0.6 THEN 'low_out_of_bag' END, CASE WHEN auroc - med > 0.15 THEN 'optimistic' END, CASE WHEN stability < 0.7 THEN 'unstable' END) AS warnings "
+    "FROM s LEFT JOIN winners USING (slug, task) LEFT JOIN i USING (slug, task) LEFT JOIN v USING (slug, task) LEFT JOIN endpoint USING (slug, task)"
 )
 def wrn1_deployability_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).groupBy(*DEPLOYMENT).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).join(winners(spark, sf_dir), DEPLOYMENT, "left")
-    share = F.col("share")
-    rules = ((F.col("n") < 100, "small_n"), ((share < 0.35) | (share > 0.65), "imbalance"), (F.col("auroc") < 0.6, "low_auroc"))
-    return s.select(*DEPLOYMENT, F.array_join(transfer.warnings(*rules), ",").alias("warnings"))
+    """All advice about a calibration: its size, balance, area, interval, coverage, and what holds out of the bag."""
+    held = scores(spark, sf_dir)
+    own = samples(spark, sf_dir).select("slug", "task", "sample_idx", "label")
+    packed = resampling.packed_multiplicities(own, DEPLOYMENT, "sample_idx", REPS, SEED)
+    best = winners(spark, sf_dir).select(*DEPLOYMENT, "cell", "sign", "auroc")
+    bags = resampling.bag_areas(held, packed, DEPLOYMENT, "sample_idx", ["cell"], REPS).join(best, [*DEPLOYMENT, "cell"])
+    locked_ = F.when(F.col("sign") == 1, F.col("in_bag")).otherwise(1 - F.col("in_bag"))
+    interval = bags.withColumn("a", locked_).groupBy(*DEPLOYMENT).agg(*(F.percentile("a", F.lit(p)).alias(n) for p, n in ((0.025, "ci_lo"), (0.975, "ci_hi"))))
+    endpoint = resampling.selection_summary(resampling.selected(held, packed, DEPLOYMENT, "sample_idx", REPS), DEPLOYMENT).select(*DEPLOYMENT, "oob_median", F.col("winner_stability").alias("stability"))
+    covered = held.groupBy(*DEPLOYMENT, "cell_idx", "cell").agg(F.count("score").alias("n")).groupBy(*DEPLOYMENT).agg(F.array_sort(F.collect_list(F.struct("cell_idx", "cell", "n"))).alias("coverage"))
+    sizes = own.groupBy(*DEPLOYMENT).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
+    out = sizes.join(best, DEPLOYMENT, "left").join(interval, DEPLOYMENT, "left").join(covered, DEPLOYMENT, "left").join(endpoint, DEPLOYMENT, "left")
+    return out.select(*DEPLOYMENT, F.array_join(transfer.deployability(F.col("coverage")), ",").alias("warnings"))
 
 
 @query(

@@ -38,7 +38,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", answer.otherwise(made[-1]).alias("answer"))
 
 
-_COMMIT = r"regexp_replace(lower(regexp_replace(answer, '^\s+', '')), '[\pP\s]+$', '')"
+_COMMIT = r"regexp_replace(lower(regexp_replace(answer, '^\s+', '')), '[\pP$+<=>^`|~\s]+$', '')"
 
 
 @query(rf"WITH {_ANSWERS_SQL} SELECT conv_id, turn, {_COMMIT} AS commitment FROM answers")

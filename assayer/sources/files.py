@@ -72,6 +72,23 @@ def guarded_parquet(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_guarded(df: DataFrame, path: str) -> None:
+    """`df` as Parquet below `path`/data, and the hashes of its files in `path`/manifest, taken once the files are written."""
+    df.write.parquet(f"{path}/data")
+    held = file_hashes(df.sparkSession, f"{path}/data", "*.parquet")
+    held.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "sha256").write.parquet(f"{path}/manifest")
+
+
+def guarded(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_guarded` wrote, if no file was changed, lost or added since; a ValueError that names one otherwise."""
+    have = file_hashes(spark, f"{path}/data", "*.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("sha256").alias("now"))
+    want = spark.read.schema("name string, sha256 string").parquet(f"{path}/manifest")
+    wrong = want.join(have, "name", "full").where(~F.col("sha256").eqNullSafe(F.col("now"))).orderBy("name").first()
+    if wrong:
+        raise ValueError(f"{path}: {wrong['name']} differs from the manifest")
+    return spark.read.parquet(f"{path}/data")
+
+
 def frame(spark: SparkSession, path: str) -> DataFrame:
     """A frame written as Parquet, or else as CSV with a header."""
     from pyspark.errors import AnalysisException
