@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assayer.functions.numbers import finite
-from assayer.sources import scratch
+from assayer.operators.ordering import quantile_ranges
 
 LEAST = 4
 
@@ -21,12 +21,7 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, str],
     if buckets <= 1:
         before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return df.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in values.items()))
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("_q"))
-    # approximate quantiles differ from run to run, and the sums below must see the same ranges as the rows
-    path = scratch.folder(df.sparkSession, "bounds")
-    bounds.write.parquet(path)
-    bounds = df.sparkSession.read.schema(bounds.schema).parquet(path)
-    dealt = df.join(bounds, keys).withColumn("_k", F.coalesce(F.size(F.filter("_q", lambda x: x < F.col(order))), F.lit(0))).drop("_q")
+    dealt = quantile_ranges(df, keys, order, buckets, "_k")
     sums = dealt.groupBy(*keys, "_k").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in values.items()))
     earlier = W.partitionBy(*keys).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*keys, "_k", *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in values))

@@ -20,6 +20,24 @@ def hash_places(df: DataFrame, keys: list[str], order: Column, tie: str, into: s
     return ranked.join(starts, [*keys, "_cell"]).withColumn(into, F.col("_start") + F.col("_rank")).drop("_h", "_cell", "_rank", "_start")
 
 
+def ranges_needed(df: DataFrame, keys: list[str], rows: int = 1 << 20) -> int:
+    """How many ranges of about `rows` rows the largest key takes; 1 where every key fits into one task."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    return max(1, -(-largest // rows))
+
+
+def quantile_ranges(df: DataFrame, keys: list[str], value: str, n: int, into: str) -> DataFrame:
+    """`df` with the number of the range that its value falls in, from 0; a key's values are dealt into at most `n` ranges by quantiles
+    of those whose hash is least, which are the same in every run. Equal values share a range."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    share = F.lit(64.0 * n * (1 << 30)) / F.col("_c")  # about 64 sampled values a range
+    sample = df.join(sizes, keys).where(F.pmod(F.xxhash64(value), F.lit(1 << 30)) < share).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    at = lambda i: F.element_at("_v", (F.floor(i * F.size("_v") / F.lit(n)) + 1).cast("int"))
+    bounds = sample.where(F.size("_v") > 0).select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at).alias("_q"))
+    placed = df.join(bounds, keys, "left")
+    return placed.withColumn(into, F.greatest(F.coalesce(F.size(F.filter("_q", lambda q: q <= F.col(value))), F.lit(0)), F.lit(0))).drop("_q")
+
+
 def value_ranges(df: DataFrame, keys: list[str], value: str, tie: str, largest: int, rows: int, into: str) -> DataFrame:
     """`df` with the number of the range that its value falls in, from 0 within each key: about `rows` rows a range where a key has
     more than that; `largest` is the number of rows of the largest key. Equal values share a range.

@@ -27,14 +27,14 @@ def rank01(scores: DataFrame, keys: list[str], value: str = "score", into: str =
     return every.select(*scored.columns, into).unionByName(rest).drop("_v")
 
 
-def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame) -> DataFrame:
+def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame, buckets: int = 1) -> DataFrame:
     """The mean over a fusion's components of the rank of sign * score; missing if any component is.
 
     `components` has (fusion, cell); `signs` has keys, cell and `sign`, never 0.
     """
     n = components.groupBy("fusion").agg(F.count(F.lit(1)).alias("_n"))
     turned = scores.join(components, "cell").join(signs, [*keys, "cell"]).withColumn("score", F.col("score") * F.col("sign"))
-    places = rank01(turned, [*keys, "fusion", "cell"])
+    places = rank01(turned, [*keys, "fusion", "cell"], buckets=buckets)
     mean = places.groupBy(*keys, "fusion", sample).agg(F.avg("rank01").alias("_mean"), F.count("rank01").alias("_held"), F.first("label").alias("label"))
     return mean.join(n, "fusion").select(*keys, "fusion", sample, "label", F.when(F.col("_held") == F.col("_n"), F.col("_mean")).alias("score"))
 

@@ -10,7 +10,7 @@ from assayer.functions import special
 from assayer.operators.auroc import running
 
 
-def pooled_without(ranked: DataFrame, keys: list[str], holdout: str) -> DataFrame:
+def pooled_without(ranked: DataFrame, keys: list[str], holdout: str, buckets: int = 1) -> DataFrame:
     """For each key and holdout, the area of `rank01` pooled over all other values of `holdout`.
 
     Counts per distinct rank are summed once over all models and each holdout's own counts are taken off, so samples are never
@@ -21,7 +21,7 @@ def pooled_without(ranked: DataFrame, keys: list[str], holdout: str) -> DataFram
     total = own.groupBy(*keys, "v").agg(F.sum("w1").alias("t1"), F.sum("w0").alias("t0"))
     each = total.join(own.select(*keys, holdout).distinct(), keys).join(own, [*keys, holdout, "v"], "left")
     rest = each.select(*keys, holdout, "v", *((F.col(f"t{k}") - F.coalesce(f"w{k}", F.lit(0))).alias(f"r{k}") for k in (1, 0)))
-    below = running(rest, [*keys, holdout], "v", {"c0": "r0"})
+    below = running(rest, [*keys, holdout], "v", {"c0": "r0"}, buckets)
     sums = below.groupBy(*keys, holdout).agg(F.sum("r1").alias("n1"), F.sum("r0").alias("n0"), F.sum(F.col("r1") * (2 * F.col("c0") + F.col("r0"))).alias("_w"))
     return sums.withColumn("pool_auc", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("_w") / (2.0 * F.col("n1") * F.col("n0")))).drop("_w")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from assayer.functions.numbers import rounded
 from assayer.operators import auroc, least_squares, ranks, resampling, summaries, transfer
+from assayer.operators.ordering import ranges_needed
 from assayer.plans.areas import CELL, DEPLOYMENT, WINNERS_SQL, locked, winners
 from assayer.plans.deployments import LOCKED_SQL, SAMPLES_SQL, SCORES_SQL, area_sql, samples, scores
 from assayer.plans.registry import query
@@ -301,7 +302,8 @@ _RANKED_SQL = "ranked AS (SELECT *, (rank() OVER w + (count(*) OVER (PARTITION B
 
 @query(f"WITH {SCORES_SQL} SELECT slug, task, cell, sample_idx, CASE WHEN score IS NOT NULL THEN round((rank() OVER (PARTITION BY slug, task, cell ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY slug, task, cell, score) - 1) / 2.0 - 0.5) / count(score) OVER (PARTITION BY slug, task, cell), 9) END AS rank01 FROM scores")
 def rnk1_rank01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.rank01(scores(spark, sf_dir), ["slug", "task", "cell"]).select("slug", "task", "cell", "sample_idx", rounded(F.col("rank01")).alias("rank01"))
+    held, keys = scores(spark, sf_dir), ["slug", "task", "cell"]
+    return ranks.rank01(held, keys, buckets=ranges_needed(held, keys)).select("slug", "task", "cell", "sample_idx", rounded(F.col("rank01")).alias("rank01"))
 
 
 @query(
@@ -309,7 +311,8 @@ def rnk1_rank01(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT slug, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY slug"
 )
 def rnk2_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.spearman(_wide(spark, sf_dir), ["slug"], "y", "z").select("slug", "n", rounded(F.col("spearman"), 6).alias("spearman"))
+    held = _wide(spark, sf_dir)
+    return ranks.spearman(held, ["slug"], "y", "z", ranges_needed(held, ["slug"])).select("slug", "n", rounded(F.col("spearman"), 6).alias("spearman"))
 
 
 _LOMO_SQL = (
@@ -323,9 +326,10 @@ own AS (SELECT task, slug AS holdout, cell, auc AS own FROM {area_sql('scores',
 
 def _pooled(spark: SparkSession, sf_dir: str, cells: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     held = scores(spark, sf_dir, cells)
-    ranked = ranks.rank01(held, ["slug", "task", "cell"]).withColumnRenamed("slug", "holdout")
+    n = ranges_needed(held, ["task", "cell"])
+    ranked = ranks.rank01(held, ["slug", "task", "cell"], buckets=n).withColumnRenamed("slug", "holdout")
     own = auroc.ranked_area(held.withColumnRenamed("slug", "holdout"), ["task", "holdout", "cell"])
-    return transfer.pooled_without(ranked, ["task", "cell_idx", "cell"], "holdout"), own
+    return transfer.pooled_without(ranked, ["task", "cell_idx", "cell"], "holdout", n), own
 
 
 @query(
@@ -569,7 +573,8 @@ def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = [("full", c) for c in ("price", "signal", "inverse", "sparse")] + [("geometric", c) for c in ("signal", "inverse")]
     components = spark.createDataFrame(members, "fusion string, cell string")
-    return ranks.fused(scores(spark, sf_dir), DEPLOYMENT, "sample_idx", components, _signs(spark, sf_dir))
+    held = scores(spark, sf_dir)
+    return ranks.fused(held, DEPLOYMENT, "sample_idx", components, _signs(spark, sf_dir), ranges_needed(held, [*DEPLOYMENT, "cell"]))
 
 
 @query(
