@@ -11,7 +11,8 @@ from the group's largest part with every block; no task holds a whole group, and
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one
 shingle; exact copies are one class, linked without comparison; a doc_id is one document, so rows that repeat it share its fate;
-a row without doc_id is linked with nothing and kept; an empty table gives no rows; extra columns are ignored by `groups` and kept by `without_near_duplicates`.
+a row without doc_id is linked with nothing and kept; a group's smallest doc_id stays, so ties cannot arise; very long texts are read
+whole, and a task holds the shingles of one block's texts, at least of the longest one; an empty table gives no rows; extra columns are ignored by `groups` and kept by `without_near_duplicates`.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Lengths are counted in words (runs of other than ASCII white space), or by any c
 than `max_len` is cut into whole pieces of `max_len` tokens and a rest, each of which is packed; nothing is dropped.
 
 Defined cases: a null or empty text, or one of white space alone, has no tokens and makes one sequence of length 0 in the first
-bucket; repeated rows are packed each; an empty table gives no rows; extra columns are ignored.
+bucket; repeated rows are packed each; rows that are equal in all that orders them take neighbouring places in either order; of
+boundaries with equal padding the first found stand; very long texts only count by their words; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
