@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a driver may write each result as Parquet and read it again as the
 next stage's docs. All but the last return the columns of documents. Tables that a stage needs besides come from sf_dir.
+
+Defined cases: null and empty texts pass all filters (no toxic word, linked with nothing, no benchmark window, no entity) and are
+packed as sequences without tokens; very long texts are read whole in every stage; of near duplicates the smallest doc_id stays;
+rows that repeat a doc_id share its fate among near duplicates; an empty table passes through all stages; extra columns, whatever
+their names, are kept up to packing.
 """
 
 from __future__ import annotations
