@@ -17,8 +17,8 @@ from assayer.functions.numbers import draw, finite
 from assayer.operators.auroc import LEAST, running
 from assayer.operators.ordering import hash_places, value_ranges
 
-#: rows of one key and cell that a task takes at most as one range, but for ties
-RANGE_ROWS = 1 << 15
+#: rows of one key and cell that a task takes at most as one range, but for ties, and multiplicities that they may have together
+RANGE_ROWS, RANGE_WEIGHTS = 1 << 15, 1 << 23
 
 #: replicates whose multiplicities travel in one long, a byte each: a unit that is drawn 256 times in one replicate would be needed
 #: to overflow one, and a draw has one in expectation
@@ -74,12 +74,12 @@ def replicate_sums(packed: DataFrame, keys: list[str], values: dict[str, Column]
     return each.groupBy(*keys, "rep").agg(*(F.sum(f"_v.{v}").alias(v) for v in names))
 
 
-def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, range_rows: int = RANGE_ROWS, labels: list[str] | None = None) -> DataFrame:
+def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str, cells: list[str], n: int, range_rows: int | None = None, labels: list[str] | None = None) -> DataFrame:
     """For each key, replicate and cell: area in the bag (by multiplicity) and out of it, with the counts behind them.
 
     `packed` comes from `packed_multiplicities`. Scores are shuffled once, each with one vector over replicates; rows of a task that
-    agree in key, cell, score and label are added up before. A key and cell with more than `range_rows` rows is cut into ranges of
-    scores, whose pairs of labels are counted apart and across: no row stands for a sample, a cell and a replicate.
+    agree in key, cell, score and label are added up before. A key and cell with more than `range_rows` rows (by default as many as
+    `RANGE_WEIGHTS` allow with `n` replicates) is cut into ranges of scores, whose pairs of labels are counted apart and across: no row stands for a sample, a cell and a replicate.
 
     With `labels`, columns of `packed` that tell alternative labels of the same samples apart, `packed` has the label, and the areas
     are taken for each of them, on the same draws.
@@ -88,6 +88,7 @@ def bag_areas(scores: DataFrame, packed: DataFrame, keys: list[str], sample: str
     held = scores.withColumn("score", finite(F.col("score"))).where("score is not null")
     held = held.drop("label") if labels else held.where("label is not null")
     largest = held.groupBy(*own).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    range_rows = range_rows or min(RANGE_ROWS, max(1024, RANGE_WEIGHTS // n))
     ranged = value_ranges(held, own, "score", sample, largest, range_rows, "_range")
     taken = packed.select(*keys, sample, *alternatives, *(["label"] if labels else []), "_draws")
     keys = [*keys, *alternatives]
