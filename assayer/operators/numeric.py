@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.operators import resampling
 from assayer.sources import scratch
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -62,19 +63,16 @@ def nested_bootstrap(scores: np.ndarray, labels: np.ndarray, units: np.ndarray,
 
 
 def parity_selection(wide: DataFrame, keys: list[str], cells: list[str], unit: str, order: str, n: int, seed: int) -> DataFrame:
-    """`nested_bootstrap` for each deployment in `wide` (keys, label, unit, order, cells).
-
-    A sequential random stream needs a deployment's samples in one place: some hundred rows by some dozen cells. Larger ones
-    belong to `resampling.nested_selection`, which draws by hash.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema if f.name in keys)
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        r = nested_bootstrap(rows[cells].to_numpy(dtype=float), rows["label"].to_numpy(), rows[unit].to_numpy(), n, seed)
-        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **r, "winner": None if r["winner"] is None else cells[r["winner"]]}])
-
-    return wide.groupBy(*keys).applyInPandas(one, f"{schema}, winner string, wins long, n_used long, ci_lo double, oob_median double, ci_hi double")
+    """`nested_bootstrap` for each deployment in `wide` (keys, label, unit, order, cells), of any size: only the draws follow the
+    sequential stream, key by key; samples meet them by chunks and areas come from ranges of scores."""
+    scored = F.array(*(F.struct(F.lit(c).alias("cell"), F.lit(i).alias("cell_idx"), F.col(c).cast("double").alias("score")) for i, c in enumerate(cells)))
+    own = wide.select(*dict.fromkeys([*keys, unit, order, "label"]), scored.alias("_cells"))
+    won = resampling.selected(own, resampling.streamed_multiplicities(own, keys, unit, order, n, seed), keys, order, n)
+    counts = won.groupBy(*keys, "cell", "cell_idx").agg(F.count(F.lit(1)).alias("c"))
+    modal = counts.groupBy(*keys).agg(F.max_by("cell", F.struct("c", (-F.col("cell_idx")).alias("o"))).alias("winner"), F.max("c").alias("wins"))
+    spread = won.groupBy(*keys).agg(F.count("oob_auroc").alias("n_used"), *(F.percentile("oob_auroc", F.lit(p)).alias(c) for c, p in (("ci_lo", 0.025), ("oob_median", 0.5), ("ci_hi", 0.975))))
+    out = wide.select(*keys).distinct().join(modal, keys, "left").join(spread, keys, "left")
+    return out.select(*keys, "winner", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("wins", "n_used")), "ci_lo", "oob_median", "ci_hi")
 
 
 def _solved(ridge: float) -> Callable[..., Column]:

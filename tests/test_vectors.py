@@ -63,3 +63,22 @@ def test_one_key_with_most_rows_is_cut_into_ranges(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "k string, s int, label int, score double, cell string, cell_idx int")
     assert resampling.nested_selection(none, none.select("k", "s", "label"), ["k"], "s", "s", 9, 1).collect() == []
+
+
+def test_sequential_draws_of_any_size_equal_the_bootstrap_of_one_task(spark, monkeypatch):
+    """Deployments are cut into chunks of units and ranges of scores; before, a task held each whole."""
+    monkeypatch.setattr(resampling, "_chunk", lambda n: 16)
+    monkeypatch.setattr(resampling, "RANGE_WEIGHTS", 1)
+    rng = np.random.default_rng(3)
+    held = [("k%d" % (i % 2), i, int(rng.integers(0, 30)), int(rng.random() < 0.4), float(rng.integers(0, 50)), None if i % 5 == 0 else float(rng.random())) for i in range(2600)]
+    wide = spark.createDataFrame(held, "k string, s int, stem int, label int, a double, b double").repartition(5)
+    for unit in ("s", "stem"):
+        got = {r.k: r for r in numeric.parity_selection(wide, ["k"], ["a", "b"], unit, "s", 21, 8).collect()}
+        for k in ("k0", "k1"):
+            mine = sorted((r for r in held if r[0] == k), key=lambda r: r[1])
+            want = numeric.nested_bootstrap(np.array([r[4:] for r in mine], dtype=float), np.array([r[3] for r in mine]), np.array([r[1 if unit == "s" else 2] for r in mine]), 21, 8)
+            r = got[k]
+            assert (r.winner, r.wins, r.n_used) == ("ab"[want["winner"]], want["wins"], want["n_used"])
+            assert all(abs(r[c] - want[c]) < 1e-12 for c in ("ci_lo", "oob_median", "ci_hi"))
+    (plan,) = (numeric.parity_selection(wide, ["k"], ["a", "b"], "s", "s", 21, 8)._jdf.queryExecution().executedPlan().toString(),)
+    assert "FlatMapGroupsInPandas" not in plan
