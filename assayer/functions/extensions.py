@@ -81,7 +81,7 @@ def built(label: str, df: DataFrame) -> Column:
 
 def register_sql(spark: SparkSession) -> None:
     """Makes the engine's expressions callable from SQL, as functions that Catalyst inlines."""
-    spark.sql(r"create or replace temporary function yes_no_bare(t string) returns string return case when t rlike '(?i)^\\s*(yes|no)\\b' then upper(regexp_extract(t, '(?i)^\\s*(yes|no)\\b', 1)) end")
+    spark.sql(r"create or replace temporary function yes_no_bare(t string) returns string return case when t rlike '(?i)^\\s*(yes|no)(?![0-9A-Za-z_])' then upper(regexp_extract(t, '(?i)^\\s*(yes|no)(?![0-9A-Za-z_])', 1)) end")
     spark.sql("create or replace temporary function hash_draw(n bigint, k string) returns bigint return pmod(cast(conv(substr(md5(k), 1, 8), 16, 10) as bigint), n)")
 
 

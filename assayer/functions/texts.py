@@ -51,8 +51,8 @@ def _last(text: Column, pattern: str) -> Column:
 #: "answer", which counts at the beginning of a line or after a full stop or colon; the first word counts unless it names a role; a
 #: line that is nothing but the answer outranks the last mention
 TIERS = {
-    "emphatic": r"""(?i)(?:final answer|conclusion)\s*(?:is\s+)?[:=]?\s*["']?(yes|no)\b""",
-    "prefix": r"""(?i)(?:(?:^|\n)\s*|[.:]\s+)answer\s*[:=]?\s*["']?(yes|no)\b""",
+    "emphatic": r"""(?i)(?:final answer|conclusion)\s*(?:is\s+)?[:=]?\s*["']?(yes|no)(?![0-9A-Za-z_])""",
+    "prefix": r"""(?i)(?:(?:^|\n)\s*|[.:]\s+)answer\s*[:=]?\s*["']?(yes|no)(?![0-9A-Za-z_])""",
     "first": r"(?i)^[^A-Za-z]*(?:(?:assistant|user|system)[^A-Za-z]+)*(yes|no)(?![A-Za-z])",
     "line": r"""(?im)^[ \t\r*"'.!?\-:()]*(yes|no)[ \t\r*"'.!?\-:()]*$""",
     "anywhere": r"(?i)(?<![A-Za-z])(yes|no)(?![A-Za-z])",
