@@ -27,12 +27,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from assayer.llm._store import forget, stored
 
 CELLS, PRIOR = 10_000, 1000.0
-#: trusted rows that the target is estimated from, at most; those of the least hashes of doc_id
-TRUSTED_ROWS = 20_000
 #: natural log of the ratio for each n-gram, below which a document goes; clean documents of a small corpus, many of whose n-grams
 #: no trusted document holds, come down to -0.2
 THRESHOLD = -0.25
@@ -91,12 +90,12 @@ def fold(text: Column) -> Column:
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    return rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
+    return rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def _logs(docs: DataFrame, trusted: DataFrame, cells: int, prior: float, apart: bool) -> list[float]:
     """For each cell, the log of its share of trusted n-grams over its share of all; `apart` leaves out the folds that fit nothing."""
-    own = docs.join(F.broadcast(_listed(trusted).withColumn("target", F.lit(1))), "doc_id", "left")
+    own = docs.join(_listed(trusted).withColumn("target", F.lit(1)), "doc_id", "left")
     target = F.coalesce("target", F.lit(0))
     if apart:
         target = F.when((target == 1) & ~fold(F.col("text")).isin(HELD_OUT, CALIBRATION), 1).otherwise(0)
@@ -116,7 +115,7 @@ def _calibration(docs: DataFrame, trusted: DataFrame, rejected: DataFrame) -> Da
     """(label, text) of the different labelled texts of the calibration fold."""
     labels = _listed(trusted).withColumn("label", F.lit(1)).union(_listed(rejected).withColumn("label", F.lit(0)))
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-    held = docs.join(F.broadcast(labels), "doc_id").where(fold(F.col("text")) == CALIBRATION)
+    held = docs.join(labels, "doc_id").where(fold(F.col("text")) == CALIBRATION)
     return held.groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("label", "text")
 
 
@@ -134,6 +133,34 @@ def best_threshold(scores: list[tuple[int, float]]) -> float:
     return at
 
 
+def _set_threshold(known: DataFrame) -> float | None:
+    """`best_threshold` of all rows of `known` (label, score), found where they are: counts by distinct score, running sums by ranges of
+    scores, and one row to the driver. None where a label is missing."""
+    counts = known.groupBy("score").agg(F.sum("label").alias("c1"), F.sum(1 - F.col("label")).alias("c0"))
+    below = stored(counts, "scores")
+    n1, n0, rows = below.agg(F.sum("c1"), F.sum("c0"), F.count(F.lit(1))).first()
+    if not n1 or not n0:
+        forget(below)
+        return None
+    ranges = below.repartitionByRange(max(1, -(-rows // (1 << 20))), "score").withColumn("_part", F.spark_partition_id())
+    held = stored(ranges, "ranges")
+    of = held.groupBy("_part").agg(F.sum("c1").alias("s1"), F.sum("c0").alias("s0"), F.min("score").alias("_least"))
+    # one row a range of 2^20 scores
+    order = W.orderBy("_part")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    starts = of.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("s1", "b1"), ("s0", "b0"))), F.lead("_least").over(order).alias("_after"))
+    inside = W.partitionBy("_part").orderBy("score")
+    each = held.join(starts, "_part").select("score", F.coalesce(F.lead("score").over(inside), "_after").alias("more"), (F.col("b1") + F.sum("c1").over(inside)).alias("lost"), (F.lit(n0) - F.col("b0") - F.sum("c0").over(inside)).alias("kept"))
+    cost = F.col("kept") / F.lit(float(n0)) + F.col("lost") / F.lit(float(n1))
+    best = each.where(F.col("lost") <= MOST_LOST * n1).select(cost.alias("cost"), "score", "more").where("cost < 1").orderBy("cost", "score").first()
+    low = below.agg(F.min("score")).first()[0]
+    forget(held)
+    forget(below)
+    if best is None:
+        return low
+    return math.inf if best["more"] is None else (best["score"] + best["more"]) / 2
+
+
 def _found(own: DataFrame, logs: list[float], cells: int, keys: list[str]) -> DataFrame:
     """`keys` with the base counts, the score and whether the base rules fail."""
     literal, text = F.lit(logs), F.col("text")
@@ -169,8 +196,7 @@ def ruled(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cel
             rows = None
     logs = _logs(own, trusted, cells, prior, rows is not None)
     if rows is not None:
-        known = [(r["label"], r["score"]) for r in _found(rows, logs, cells, ["label"]).where(~F.col("base_failed")).select("label", "score").collect()]
+        found = _set_threshold(_found(rows, logs, cells, ["label"]).where(~F.col("base_failed")).select("label", "score"))
         forget(rows)
-        if len({label for label, _ in known}) == 2:
-            threshold = best_threshold(known)
+        threshold = threshold if found is None else found
     return _found(own, logs, cells, ["doc_id"]).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

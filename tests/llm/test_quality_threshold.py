@@ -32,3 +32,16 @@ def test_threshold_from_labelled_rows_rejects_nearly_clean_junk(spark):
     assert fitted[0] > 0.9 and fitted[1] < 0.1, (fixed, fitted)
     few = quality.ruled(docs, trusted, rejected=rejected.limit(3))
     assert sorted(few.collect()) == sorted(quality.ruled(docs, trusted).collect())
+
+
+def test_the_threshold_of_a_table_is_that_of_its_rows(spark):
+    r = random.Random(6)
+    for case in ([(r.randrange(2), r.randrange(-60, 20) / 50) for _ in range(500)], [(int(x > 0.3), x) for x in (r.random() for _ in range(300))], [(1, -0.3), (1, -0.1), (0, 0.1), (0, 0.2)]):
+        assert quality._set_threshold(spark.createDataFrame(case, "label int, score double").repartition(4)) == quality.best_threshold(case)
+    assert quality._set_threshold(spark.createDataFrame([(1, 0.5)], "label int, score double")) is None
+
+
+def test_all_trusted_rows_count(spark):
+    # the target was estimated from 20,000 trusted rows at most
+    ids = spark.range(20_500).withColumnRenamed("id", "doc_id")
+    assert quality._listed(ids.union(ids)).count() == 20_500
