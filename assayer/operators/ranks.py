@@ -27,6 +27,20 @@ def rank01(scores: DataFrame, keys: list[str], value: str = "score", into: str =
     return every.select(*scored.columns, into).unionByName(rest).drop("_v")
 
 
+def counted(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
+    """(keys, value, `n`, `w1`, `w0`): rows of each finite value, and those of each label; rows without label count in `n` only."""
+    held = scores.withColumn(value, finite(F.col(value))).where(F.col(value).isNotNull())
+    each = (F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"w{k}") for k in (1, 0))
+    return held.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *each)
+
+
+def rank01_of_counts(counts: DataFrame, keys: list[str], value: str = "score", buckets: int = 1) -> DataFrame:
+    """`rank01` of each value of `counted`, a row for a value and none for a sample."""
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
+    below = running(counts, keys, value, {"_below": "n"}, buckets).join(sizes, keys)
+    return below.withColumn("rank01", (F.col("_below") + (F.col("n") + 1) / 2.0 - 0.5) / F.col("_size")).drop("_below", "_size")
+
+
 def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame, buckets: int = 1) -> DataFrame:
     """The mean over a fusion's components of the rank of sign * score; missing if any component is.
 

@@ -7,35 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assayer.functions import special
-from assayer.operators.auroc import running
 
 
 def pooled_without(ranked: DataFrame, keys: list[str], holdout: str, buckets: int = 1) -> DataFrame:
-    """For each key and holdout, the area of `rank01` pooled over all other values of `holdout`.
+    """For each key and holdout, the area of `rank01` pooled over all other values of `holdout`, and `auc`, that of its own rows.
 
-    Counts per distinct rank are summed once over all models and each holdout's own counts are taken off, so samples are never
-    copied for each holdout; what is multiplied by the models is the table of distinct ranks.
+    `ranked` has a row for each sample, with `label`, or for each rank, with counts `w1` and `w0` of labels. Twice the pairs that the
+    rest wins are those of all, less those with the holdout on either side, plus those inside it: sums over each holdout's own ranks,
+    so that nothing is multiplied by the holdouts. Ranks are spread evenly over 0 to 1, so `buckets` ranges of equal width share a
+    key's rows, but for ties.
     """
-    kept = ranked.where("rank01 is not null and label is not null").withColumn("v", F.round("rank01", 12))
-    own = kept.groupBy(*keys, holdout, "v").agg(F.sum("label").alias("w1"), F.sum(1 - F.col("label")).alias("w0"))
-    total = own.groupBy(*keys, "v").agg(F.sum("w1").alias("t1"), F.sum("w0").alias("t0"))
-    each = total.join(own.select(*keys, holdout).distinct(), keys).join(own, [*keys, holdout, "v"], "left")
-    rest = each.select(*keys, holdout, "v", *((F.col(f"t{k}") - F.coalesce(f"w{k}", F.lit(0))).alias(f"r{k}") for k in (1, 0)))
-    below = running(rest, [*keys, holdout], "v", {"c0": "r0"}, buckets)
-    sums = below.groupBy(*keys, holdout).agg(F.sum("r1").alias("n1"), F.sum("r0").alias("n0"), F.sum(F.col("r1") * (2 * F.col("c0") + F.col("r0"))).alias("_w"))
-    return sums.withColumn("pool_auc", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("_w") / (2.0 * F.col("n1") * F.col("n0")))).drop("_w")
-
-
-def selected_without(pooled: DataFrame, own: DataFrame, keys: list[str], holdout: str) -> DataFrame:
+    counts = ranked if "w1" in ranked.columns else ranked.where("label is not null").withColumn("w1", F.col("label")).withColumn("w0", 1 - F.col("label"))
+    part = F.least(F.floor(F.col("v") * buckets), F.lit(buckets - 1)).cast("int")
+    own = counts.where("rank01 is not null and w1 + w0 > 0").withColumn("v", F.round("rank01", 12)).groupBy(*keys, part.alias("_part"), holdout, "v").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
+    every, mine = W.partitionBy(*keys, "_part").orderBy("v"), W.partitionBy(*keys, "_part", holdout).orderBy("v")
+    upto = lambda c, w: 2 * F.sum(c).over(w) - F.sum(c).over(w.rangeBetween(W.currentRow, W.currentRow))
+    placed = own.select("*", upto("w0", every).alias("_all0"), upto("w1", every).alias("_all1"), upto("w0", mine).alias("_own0"))
+    of = [*keys, "_part", holdout]
+    sums = placed.groupBy(*of).agg(F.sum("w1").alias("_n1"), F.sum("w0").alias("_n0"), *(F.sum(F.col(a) * F.col(b)).alias(c) for a, b, c in (("w1", "_all0", "_right"), ("w0", "_all1", "_left"), ("w1", "_own0", "_in"))))
+    # a few rows for each holdout and range: what the ranges below and above add
+    order = W.partitionBy(*keys).orderBy("_part")
+    below = lambda c, w: F.sum(c).over(w) - F.sum(c).over(w.rangeBetween(W.currentRow, W.currentRow))
+    whole = W.partitionBy(*keys)
+    n1, n0 = F.col("_n1"), F.col("_n0")
+    wide = sums.select(*keys, holdout, "_n1", "_n0", "_right", "_left", "_in", below("_n0", order).alias("_b0"), below("_n1", order).alias("_b1"), below("_n0", W.partitionBy(*keys, holdout).orderBy("_part")).alias("_m0"), F.sum("_n1").over(whole).alias("_t1"), F.sum("_n0").over(whole).alias("_t0"))
+    each = wide.groupBy(*keys, holdout, "_t1", "_t0").agg(
+        F.sum("_n1").alias("_n1"), F.sum("_n0").alias("_n0"),
+        F.sum(F.col("_right") + 2 * n1 * F.col("_b0")).alias("_right"), F.sum(2 * n0 * (F.col("_t1") - F.col("_b1")) - F.col("_left")).alias("_left"), F.sum(F.col("_in") + 2 * n1 * F.col("_m0")).alias("_in"),
+    )
+    wins = F.sum("_right").over(whole) - F.col("_right") - F.col("_left") + F.col("_in")
+    area = lambda w, a, b: F.when((a > 0) & (b > 0), w / (2.0 * a * b))
+    rest = each.select(*keys, holdout, (F.col("_t1") - n1).alias("n1"), (F.col("_t0") - n0).alias("n0"), wins.alias("_wins"), area(F.col("_in"), n1, n0).alias("auc"))
+    return rest.select(*keys, holdout, "n1", "n0", area(F.col("_wins"), F.col("n1"), F.col("n0")).alias("pool_auc"), "auc")
+
+
+def selected_without(pooled: DataFrame, keys: list[str], holdout: str) -> DataFrame:
     """For each key and holdout: the cell that wins in the pool, its sign, and the holdout's own area under that sign.
 
-    `pooled` and `own` have keys, holdout, cell, cell_idx and pool_auc or auc.
+    `pooled` has keys, holdout, cell, cell_idx, pool_auc and auc.
     """
-    best = F.max_by(F.struct("cell", "cell_idx", "pool_auc"), F.struct(F.abs(F.col("pool_auc") - 0.5).alias("d"), (-F.col("cell_idx")).alias("o"))).alias("b")
+    best = F.max_by(F.struct("cell", "cell_idx", "pool_auc", "auc"), F.struct(F.abs(F.col("pool_auc") - 0.5).alias("d"), (-F.col("cell_idx")).alias("o"))).alias("b")
     won = pooled.where("pool_auc is not null").groupBy(*keys, holdout).agg(best).select(*keys, holdout, "b.*")
-    joined = won.join(own.select(*keys, holdout, "cell", "auc"), [*keys, holdout, "cell"], "left")
     sign = F.when(F.col("pool_auc") >= 0.5, 1).otherwise(-1)
-    return joined.select(*keys, holdout, "cell", sign.alias("sign"), "pool_auc", F.when(sign == 1, F.col("auc")).otherwise(1 - F.col("auc")).alias("holdout_auc"))
+    return won.select(*keys, holdout, "cell", sign.alias("sign"), "pool_auc", F.when(sign == 1, F.col("auc")).otherwise(1 - F.col("auc")).alias("holdout_auc"))
 
 
 def random_effects(studies: DataFrame, keys: list[str], small: int = 10) -> DataFrame:

@@ -31,3 +31,16 @@ def test_results_do_not_depend_on_ranges(spark, skewed):
     assert same(lambda n: sorted((r.k, r.s, round(r.score, 12)) for r in ranks.fused(cells, ["k"], "s", fusion, signs, n).collect()))
     ranked = ranks.rank01(cells.withColumn("m", F.pmod("s", F.lit(3))), ["k", "m", "cell"])
     assert same(lambda n: sorted(map(tuple, transfer.pooled_without(ranked, ["k", "cell"], "m", n).collect())))
+
+
+def test_leaving_out_reads_counts_and_multiplies_nothing_by_models(spark, skewed):
+    cells = skewed.withColumn("m", F.pmod("s", F.lit(7))).withColumn("cell", F.lit("a"))
+    keys = ["k", "m", "cell"]
+    by_sample = transfer.pooled_without(ranks.rank01(cells, keys), ["k", "cell"], "m")
+    counts = ranks.counted(cells, keys).cache()
+    for n in (1, 13):
+        by_rank = transfer.pooled_without(ranks.rank01_of_counts(counts, keys, buckets=n), ["k", "cell"], "m", n)
+        assert sorted(map(tuple, by_rank.collect())) == sorted(map(tuple, by_sample.collect()))
+        assert "Join" not in transfer.pooled_without(counts.withColumn("rank01", F.col("score") / 9973), ["k", "cell"], "m", n)._jdf.queryExecution().optimizedPlan().toString()
+    own = {(r.k, r.m): r.auc for r in auroc.ranked_area(cells, ["k", "m"]).collect()}
+    assert {(r.k, r.m): r.auc for r in by_sample.collect()} == own
