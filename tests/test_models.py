@@ -117,3 +117,10 @@ def test_the_control_needs_exact_pairs_and_keeps_them(spark):
     broken = rows.unionByName(spark.createDataFrame([("k", 50, 3, 1)], rows.schema))
     with pytest.raises(Exception, match="exact pairs"):
         resampling.exchanged(broken, ["k"], "s", "stem", 3, 5).collect()
+
+
+def test_samples_of_a_partial_correlation_are_put_together_by_one_shuffle(spark, data):
+    from assayer.plans import selection
+
+    plan = selection._wide(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
