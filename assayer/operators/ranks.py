@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from assayer.functions.numbers import finite
 from assayer.operators.auroc import running
+from assayer.operators.ordering import ranges_needed
+from assayer.sources import scratch
+
+#: scores that a task joins to their ranks, about
+_TASK_ROWS = 1 << 20
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, into: str, buckets: int = 1) -> DataFrame:
@@ -35,22 +40,38 @@ def counted(scores: DataFrame, keys: list[str], value: str = "score") -> DataFra
 
 
 def rank01_of_counts(counts: DataFrame, keys: list[str], value: str = "score", buckets: int = 1) -> DataFrame:
-    """`rank01` of each value of `counted`, a row for a value and none for a sample."""
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    below = running(counts, keys, value, {"_below": "n"}, buckets).join(sizes, keys)
-    return below.withColumn("rank01", (F.col("_below") + (F.col("n") + 1) / 2.0 - 0.5) / F.col("_size")).drop("_below", "_size")
+    """`rank01` of each value of `counted`, with the average `rank` and the key's `size`; a row for a value and none for a sample."""
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
+    below = running(counts, keys, value, {"_below": "n"}, buckets).join(sizes, keys).withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2.0)
+    return below.withColumn("rank01", (F.col("rank") - 0.5) / F.col("size")).drop("_below")
 
 
-def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame, buckets: int = 1) -> DataFrame:
+def fused(scores: DataFrame, keys: list[str], sample: str, components: DataFrame, signs: DataFrame, buckets: int | None = None) -> DataFrame:
     """The mean over a fusion's components of the rank of sign * score; missing if any component is.
 
-    `components` has (fusion, cell); `signs` has keys, cell and `sign`, never 0.
+    `components` has (fusion, cell); `signs` has keys, cell and `sign`, never 0. Ranks come from counts by distinct value, which are written
+    once. A task joins and adds up about `_TASK_ROWS` scores, a number of rows and not of compressed bytes, and scores are copied for
+    fusions only where a sample's ranks have met.
     """
+    spark, group = scores.sparkSession, [*keys, "cell"]
+    used = scores.join(F.broadcast(components.select("cell").distinct()), "cell", "left_semi")
+    path = scratch.folder(spark, "counts")
+    counted(used, group).write.parquet(path)
+    counts = spark.read.parquet(path)
+    ranked = rank01_of_counts(counts, group, buckets=ranges_needed(counts, group) if buckets is None else buckets)
+    # a negative sign turns the order round
+    turned = (F.when(F.col("sign") > 0, F.col("rank")).otherwise(F.col("size") + 1 - F.col("rank")) - 0.5) / F.col("size")
+    places = ranked.join(signs, group).select(*group, "score", F.lit(0).alias("_spread"), turned.alias("_r"))
+    parts = max(ranges_needed(used, [], _TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # missing scores meet nothing, so they go anywhere
+    held = used.select(*group, sample, "label", finite(F.col("score")).alias("score"))
+    held = held.withColumn("_spread", F.when(F.col("score").isNull(), F.pmod(F.xxhash64(sample), F.lit(parts)).cast("int")).otherwise(0))
+    each = held.repartition(parts, *group, "score", "_spread").join(places, [*group, "score", "_spread"], "left")
+    signed = each.select(*group, sample, "label", "_r").join(F.broadcast(signs.select(*group)), group, "left_semi")
     n = components.groupBy("fusion").agg(F.count(F.lit(1)).alias("_n"))
-    turned = scores.join(components, "cell").join(signs, [*keys, "cell"]).withColumn("score", F.col("score") * F.col("sign"))
-    places = rank01(turned, [*keys, "fusion", "cell"], buckets=buckets)
-    mean = places.groupBy(*keys, "fusion", sample).agg(F.avg("rank01").alias("_mean"), F.count("rank01").alias("_held"), F.first("label").alias("label"))
-    return mean.join(n, "fusion").select(*keys, "fusion", sample, "label", F.when(F.col("_held") == F.col("_n"), F.col("_mean")).alias("score"))
+    copied = signed.repartition(parts, *keys, sample).join(F.broadcast(components), "cell")
+    mean = copied.groupBy(*keys, "fusion", sample).agg(F.avg("_r").alias("_mean"), F.count("_r").alias("_held"), F.first("label").alias("label"))
+    return mean.join(F.broadcast(n), "fusion").select(*keys, "fusion", sample, "label", F.when(F.col("_held") == F.col("_n"), F.col("_mean")).alias("score"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, buckets: int = 1) -> DataFrame:

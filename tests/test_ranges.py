@@ -44,3 +44,18 @@ def test_leaving_out_reads_counts_and_multiplies_nothing_by_models(spark, skewed
         assert "Join" not in transfer.pooled_without(counts.withColumn("rank01", F.col("score") / 9973), ["k", "cell"], "m", n)._jdf.queryExecution().optimizedPlan().toString()
     own = {(r.k, r.m): r.auc for r in auroc.ranked_area(cells, ["k", "m"]).collect()}
     assert {(r.k, r.m): r.auc for r in by_sample.collect()} == own
+
+
+def test_fusion_deals_scores_by_number_of_rows(spark, skewed, monkeypatch):
+    cells = skewed.selectExpr("k", "s", "label", "inline(array(struct('a' as cell, score as score), struct('b' as cell, if(s % 3 = 0, null, other) as score)))")
+    fusions = spark.createDataFrame([("f", "a"), ("f", "b"), ("g", "a")], "fusion string, cell string")
+    signs = cells.select("k", "cell").distinct().withColumn("sign", F.expr("if(cell = 'a', -1, 1)"))
+    plain = {(r.k, r.fusion, r.s): r.score for r in ranks.fused(cells, ["k"], "s", fusions, signs).collect()}
+    monkeypatch.setattr(ranks, "_TASK_ROWS", 2000)
+    dealt = ranks.fused(cells, ["k"], "s", fusions, signs)
+    assert {(r.k, r.fusion, r.s): r.score for r in dealt.collect()} == pytest.approx(plain)
+    # 60,000 scores: thirty tasks, whatever their bytes
+    assert dealt.rdd.getNumPartitions() == 30 and len(plain) == 60_000
+    want = ranks.rank01(cells.where("cell = 'a'").withColumn("score", -F.col("score")), ["k"]).collect()
+    assert {(r.k, r.s): r.rank01 for r in want} == pytest.approx({(k, s): x for (k, f, s), x in plain.items() if f == "g"})
+    assert all((x is None) == (s % 3 == 0) for (_, f, s), x in plain.items() if f == "f")
