@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from assayer.functions import texts
 from assayer.functions.numbers import finite, rounded
 from assayer.operators import auroc, gate, joins, policy, provenance
+from assayer.operators.ordering import ranges_needed
 from assayer.plans.areas import DEPLOYMENT, THRESHOLD_SQL, WINNERS_SQL, statuses, winners
 from assayer.plans.deployments import CELLS, SAMPLES_SQL, SCORES_SQL, area_sql, samples, scores
 from assayer.plans.registry import query, table
@@ -393,6 +394,10 @@ def src1_json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("_corrupt_record is null").select("doc_id", F.sha2("prompt", 256).alias("hash"), "label", "stem_id")
 
 
+#: documents in a file of lines, about: more documents make more files, not longer ones
+_FILE_ROWS = 1 << 15
+
+
 @query("SELECT doc_id, doc_id % 50 = 7 AS bad, TRUE AS in_place FROM documents")
 def src1_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their numbers in files that several tasks read; one in fifty does not parse. Files are in order of doc_id, so a line's
@@ -402,7 +407,8 @@ def src1_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("prompt"))
     line = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "prompt"'))).otherwise(F.to_json(F.struct("doc_id", "prompt")))
     path = scratch.folder(spark, "lines")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    n = max(4, ranges_needed(docs, [], _FILE_ROWS))
+    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
     lines = files.numbered_json_lines(spark, path, "doc_id bigint, prompt string")
     found = lines.select(F.coalesce("doc_id", F.regexp_extract("value", r"(\d+)", 1).cast("bigint")).alias("doc_id"), F.col("_corrupt_record").isNotNull().alias("bad"), "file", "line")
     place = F.row_number().over(W.partitionBy("file").orderBy("doc_id"))

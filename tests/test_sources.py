@@ -125,3 +125,15 @@ def test_rules_over_rows_are_observed_on_the_way_to_a_sink(spark, tmp_path):
         rows, watch = gate.observed(spark.createDataFrame(case, ROW), RULES, f"g{i}")
         rows.write.parquet(str(tmp_path / str(i)))
         assert gate.observed_failures(rows, watch, RULES) == [w for w in want if w not in alone], i
+
+
+def test_more_documents_make_more_files_of_lines(spark, data, monkeypatch):
+    from assayer.plans import QUERIES, relational
+
+    monkeypatch.setattr(relational, "_FILE_ROWS", 20)
+    lines = {}
+    monkeypatch.setattr(files, "numbered_json_lines", lambda *a, f=files.numbered_json_lines: lines.setdefault("all", f(*a)))
+    out = QUERIES["src1_numbered_lines"](spark, data)
+    assert out.where("not in_place").count() == 0 and out.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    sizes = [r["count"] for r in lines["all"].groupBy("file").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 60
