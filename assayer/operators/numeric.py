@@ -14,6 +14,8 @@ from assayer.operators import resampling
 from assayer.sources import scratch
 
 DOUBLES = T.ArrayType(T.DoubleType())
+#: rows whose results are held as Python objects at once
+_ROWS_AT_ONCE = 256
 
 
 def weighted_areas(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -139,13 +141,15 @@ def each_model(rows: DataFrame, models: dict[str, list[str]], features: list[str
 
 
 def rowwise(df: DataFrame, inputs: list[str], function: Callable[..., object], into: str, kind: T.DataType) -> DataFrame:
-    """Adds `function` of arrays of each row, in Arrow batches. A plain column then: it cannot end up inside a lambda of a
+    """Adds `function` of arrays of each row, in Arrow batches, some rows of a batch at a time. A plain column then: it cannot end up inside a lambda of a
     higher-order function, where Python cannot run."""
     schema = T.StructType([*df.schema.fields, T.StructField(into, kind)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            values = [function(*(np.asarray(v, dtype=float) for v in x)) for x in zip(*(rows[c] for c in inputs), strict=True)]
-            yield rows.assign(**{into: pd.Series(values, index=rows.index, dtype=object)})
+        for batch in batches:
+            for a in range(0, len(batch), _ROWS_AT_ONCE):
+                rows = batch.iloc[a : a + _ROWS_AT_ONCE]
+                values = [function(*(np.asarray(v, dtype=float) for v in x)) for x in zip(*(rows[c] for c in inputs), strict=True)]
+                yield rows.assign(**{into: pd.Series(values, index=rows.index, dtype=object)})
 
     return df.mapInPandas(run, schema)

@@ -86,3 +86,26 @@ def test_queries_use_all_dimensions(spark, data):
         e = np.array(rows[r.vec_id].embedding, dtype=float)
         if r.kind == "fisher":
             assert abs(r.null_ratio - spectra.fisher_ratios(softmax(e), e, numeric._W, [r["rank"]])[0][0]) < 1e-9
+
+
+def test_rows_are_worked_on_a_few_at_a_time_and_spectra_in_one_pass(spark, data):
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    from assayer.operators import numeric as rows
+    from assayer.plans import QUERIES
+
+    sizes = []
+
+    class Taken:
+        schema = spark.createDataFrame([], "p array<double>").schema
+
+        def mapInPandas(self, run, schema):
+            whole = pd.DataFrame({"p": [np.array([float(i)]) for i in range(1000)]})
+            out = list(run(iter([whole])))
+            sizes.extend(map(len, out))
+            return pd.concat(out)
+
+    got = rows.rowwise(Taken(), ["p"], lambda p: [2 * float(p[0])], "d", rows.DOUBLES)
+    assert [x[0] for x in got["d"]] == [2.0 * i for i in range(1000)] and max(sizes) <= 256
+    assert QUERIES["arr8_spectrum_statistics"](spark, data)._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
