@@ -95,19 +95,21 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def _logs(docs: DataFrame, trusted: DataFrame, cells: int, prior: float, apart: bool) -> list[float]:
     """For each cell, the log of its share of trusted n-grams over its share of all; `apart` leaves out the folds that fit nothing."""
-    own = docs.join(_listed(trusted).withColumn("target", F.lit(1)), "doc_id", "left")
-    target = F.coalesce("target", F.lit(0))
-    if apart:
-        target = F.when((target == 1) & ~fold(F.col("text")).isin(HELD_OUT, CALIBRATION), 1).otherwise(0)
-    # two projections, so that a text is hashed once and not carried beside each n-gram; the outer form keeps the planner from
-    # testing for empty arrays first, for which it would make the n-grams twice
-    held = own.select(target.alias("target"), _let(words(F.col("text")), lambda w: _cells(w, cells)).alias("cells")).select("target", F.explode_outer("cells").alias("cell")).where("cell is not null")
-    counts = held.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")).collect()
-    n, m = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
+    fits = docs.where(~fold(F.col("text")).isin(HELD_OUT, CALIBRATION)) if apart else docs
+
+    def counts(rows: DataFrame) -> dict[int, int]:
+        # two projections, so that a text is hashed once and not carried beside each n-gram; the outer form keeps the planner from
+        # testing for empty arrays first, for which it would make the n-grams twice
+        held = rows.select(_let(words(F.col("text")), lambda w: _cells(w, cells)).alias("cells")).select(F.explode_outer("cells").alias("cell")).where("cell is not null")
+        return {r["cell"]: r["n"] for r in held.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    # all texts are counted where they are read; only those that may fit the target are dealt by doc_id, at every size alike
+    raw, target = counts(docs), counts(fits.join(_listed(trusted).hint("shuffle_hash"), "doc_id", "left_semi"))
+    n, m = sum(raw.values()), sum(target.values())
     logs = [0.0] * cells  # of cells that no document has, too
-    for r in counts:
-        share = r["raw"] / n
-        logs[r["cell"]] = math.log((r["target"] + prior * share) / (m + prior)) - math.log(share)
+    for cell, count in raw.items():
+        share = count / n
+        logs[cell] = math.log((target.get(cell, 0) + prior * share) / (m + prior)) - math.log(share)
     return logs
 
 
@@ -115,7 +117,7 @@ def _calibration(docs: DataFrame, trusted: DataFrame, rejected: DataFrame) -> Da
     """(label, text) of the different labelled texts of the calibration fold."""
     labels = _listed(trusted).withColumn("label", F.lit(1)).union(_listed(rejected).withColumn("label", F.lit(0)))
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-    held = docs.join(labels, "doc_id").where(fold(F.col("text")) == CALIBRATION)
+    held = docs.where(fold(F.col("text")) == CALIBRATION).join(labels.hint("shuffle_hash"), "doc_id")
     return held.groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("label", "text")
 
 

@@ -1,5 +1,6 @@
 """The quality threshold that is set from labelled rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -45,3 +46,24 @@ def test_all_trusted_rows_count(spark):
     # the target was estimated from 20,000 trusted rows at most
     ids = spark.range(20_500).withColumnRenamed("id", "doc_id")
     assert quality._listed(ids.union(ids)).count() == 20_500
+
+
+def test_texts_that_fit_nothing_are_not_shuffled(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('some words of text number ', id % 97, ' and more ', id) as text")
+    trusted = docs.where("doc_id % 3 = 0").select("doc_id")
+    seen = []
+    plain = quality.fold
+    monkeypatch.setattr(quality, "fold", lambda text: seen.append(text) or plain(text))
+    logs = quality._logs(docs, trusted, 50, 10.0, True)
+    assert len(seen) == 1 and len(logs) == 50
+    held = docs.join(trusted, "doc_id").where(~plain(F.col("text")).isin(quality.HELD_OUT, quality.CALIBRATION))
+    count = lambda df: {r.c: r["count"] for r in df.select(F.explode(quality._cells(quality.words(F.col("text")), 50)).alias("c")).groupBy("c").count().collect()}
+    raw, target = count(docs), count(held)
+    n, m = sum(raw.values()), sum(target.values())
+    for c, k in raw.items():
+        assert abs(logs[c] - (math.log((target.get(c, 0) + 10.0 * k / n) / (m + 10.0)) - math.log(k / n))) < 1e-12
+    jobs = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: jobs.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    quality._logs(docs, trusted, 50, 10.0, True)
+    assert len(jobs) == 2 and "Join" not in jobs[0] and "Join LeftSemi" in jobs[1]
