@@ -8,8 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from assayer.functions import blocks as packing
+from assayer.functions.numbers import finite
 from assayer.operators import resampling
 from assayer.sources import scratch
 
@@ -91,51 +94,114 @@ def _solved(ridge: float) -> Callable[..., Column]:
     return solve
 
 
-def logistic(rows: DataFrame, keys: list[str], features: list[str], c: float = 1.0, rounds: int = 8) -> DataFrame:
-    """Key and `beta` of a logistic model of `label` with an L2 penalty on all weights, the intercept's too.
+_FIT = [T.StructField("_held", T.IntegerType()), T.StructField("_mean", DOUBLES), T.StructField("_sd", DOUBLES), T.StructField("_model", T.IntegerType()), T.StructField("_beta", DOUBLES)]
 
-    Newton's method over sufficient statistics: each round sums gradients and Gram matrices by key, combined before the shuffle,
-    and solves one small system a key. Groups are never gathered; the keys' weights are written between rounds.
-    """
-    x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
-    spark = rows.sparkSession
-    beta = rows.select(*keys).distinct().withColumn("beta", F.array(*(F.lit(0.0) for _ in x)))
+
+def _round_sums(blocks: DataFrame, fits: DataFrame, keys: list[str], models: list[list[int]], n: int) -> DataFrame:
+    """(keys, _held, _mean, _sd, _model, _beta, `_g{i}`, `_h{i}_{j}`): sums over a task's blocks, a row for each key, held fold and model."""
+    doubles = [*(f"_g{i}" for i in range(n + 1)), *(f"_h{i}_{j}" for i, j in packing.pairs(n + 1))]
+    schema = T.StructType([*(blocks.schema[k] for k in keys), *_FIT, *(T.StructField(d, T.DoubleType()) for d in doubles)])
+    return blocks.join(fits, keys).mapInArrow(packing.fit_sums(keys, models, n), schema)
+
+
+def _fitted(blocks: DataFrame, fits: DataFrame, keys: list[str], models: list[list[int]], n: int, c: float, rounds: int) -> DataFrame:
+    """`fits` (keys, `_fits`, an array of (_held, _mean, _sd, _model, _beta)) after `rounds` of Newton's method, in which each model has an L2
+    penalty on all weights, the intercept's too.
+
+    Each round reads the blocks once and sums gradients and Gram matrices of all held folds and models, combined before the shuffle;
+    one small system a key, fold and model is solved. Groups are never gathered and rows never copied; weights are written between rounds."""
+    by = [*keys, "_held", "_model"]
+    gradient = F.array(*(F.col(f"_g{i}") for i in range(n + 1)))
+    gram = F.array(*(F.col(f"_h{min(i, j)}_{max(i, j)}") for i in range(n + 1) for j in range(n + 1)))
     for _ in range(rounds):
-        z = sum((F.get("beta", F.lit(i)) * v for i, v in enumerate(x)), F.lit(0.0))
-        p = 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-        held = rows.join(beta, keys).withColumn("_p", p)
-        w = F.col("_p") * (1 - F.col("_p"))
-        sums = [F.sum((F.col("label") - F.col("_p")) * v).alias(f"_g{i}") for i, v in enumerate(x)]
-        sums += [F.sum(w * a * b).alias(f"_h{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)]
-        s = held.groupBy(*keys).agg(F.first("beta").alias("beta"), *sums)
-        gradient = F.array(*(F.col(f"_g{i}") for i in range(len(x))))
-        gram = F.array(*(F.col(f"_h{i}_{j}") for i in range(len(x)) for j in range(len(x))))
-        path = scratch.folder(spark, "beta")
-        s.select(*keys, _solved(1.0 / c)("beta", gradient, gram).alias("beta")).write.parquet(path)
-        beta = spark.read.parquet(path)
-    return beta
+        parts = _round_sums(blocks, fits, keys, models, n)
+        sums = parts.groupBy(*by).agg(*(F.first(v).alias(v) for v in ("_mean", "_sd", "_beta")), *(F.sum(d).alias(d) for d in parts.columns[len(keys) + len(_FIT) :]))
+        solved = sums.select(*by, "_mean", "_sd", _solved(1.0 / c)("_beta", gradient, gram).alias("_beta"))
+        fits = _written(solved.groupBy(*keys).agg(F.collect_list(F.struct(*(f.name for f in _FIT))).alias("_fits")), "beta")
+    return fits
+
+
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    path = scratch.folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _blocks(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """`rows` (keys, label, fold, features) as blocks of `functions.blocks`, written."""
+    columns = [*(finite(F.col(f)).alias(f) for f in features), F.col("label").cast("double").alias("_label")]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_x", T.BinaryType()), T.StructField("_fold", T.BinaryType())])
+    held = rows.where("fold is not null").select(*keys, F.col("fold").cast("int").alias("fold"), *columns)
+    return _written(held.mapInArrow(packing.packed(keys, [*features, "_label"]), schema), "blocks")
+
+
+def _first_fits(scales: DataFrame, keys: list[str], features: list[str], n: int) -> DataFrame:
+    """`_fits` of `n` models without weights, from (keys, _held, _mean, _sd)."""
+    zeros = F.array(*(F.lit(0.0) for _ in ["", *features]))
+    each = scales.select(*keys, F.struct("_held", "_mean", "_sd").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_model"))
+    one = F.struct("_s._held", "_s._mean", "_s._sd", "_model", zeros.alias("_beta"))
+    return _written(each.groupBy(*keys).agg(F.collect_list(one).alias("_fits")), "beta")
+
+
+def logistic(rows: DataFrame, keys: list[str], features: list[str], c: float = 1.0, rounds: int = 8) -> DataFrame:
+    """Key and `beta` of a logistic model of `label` with an L2 penalty on all weights, the intercept's too, on features as they are.
+    Rows without label or with a missing feature do not count; a key that has only such rows is left out."""
+    none, one = (F.array(*(F.lit(v) for _ in features)).cast(DOUBLES) for v in (0.0, 1.0))
+    scales = rows.select(*keys).distinct().select(*keys, F.lit(0).alias("_held"), none.alias("_mean"), one.alias("_sd"))
+    complete = rows.withColumn("fold", F.lit(-1))
+    for f in features:
+        complete = complete.where(finite(F.col(f)).isNotNull())
+    blocks = _blocks(complete, keys, features)
+    fits = _fitted(blocks, _first_fits(scales, keys, features, 1), keys, [list(range(len(features)))], len(features), c, rounds)
+    return fits.select(*keys, F.get("_fits", F.lit(0))["_beta"].alias("beta"))
+
+
+def _training_scales(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys, _held, _mean, _sd): of each feature outside each held fold, put together from those of the folds; null and 0 without values."""
+    kept = rows.select(*keys, "fold", F.col("n_folds").cast("int").alias("n_folds"), *(finite(F.col(x)).alias(x) for x in features))
+    kinds = {"n": F.count, "m": F.avg, "v": F.var_pop, "l": F.min, "u": F.max}
+    folds = kept.groupBy(*keys, "fold", "n_folds").agg(*(f(x).alias(f"_{k}_{x}") for x in features for k, f in kinds.items()))
+    train = folds.withColumn("_held", F.explode(F.sequence(F.lit(0), F.col("n_folds") - 1))).where("fold <> _held")
+    of = W.partitionBy(*keys, "_held")
+    # means are averaged as distances from the least of them, so that equal ones stay equal
+    least = lambda x: F.min(f"_m_{x}").over(of)
+    train = train.select("*", *(least(x).alias(f"_least_{x}") for x in features))
+    centred = lambda x: F.col(f"_least_{x}") + F.sum(F.col(f"_n_{x}") * (F.col(f"_m_{x}") - F.col(f"_least_{x}"))).over(of) / F.nullif(F.sum(f"_n_{x}").over(of), F.lit(0))
+    train = train.select("*", *(centred(x).alias(f"_mean_{x}") for x in features))
+    spread = lambda x: F.sum(F.col(f"_n_{x}") * (F.col(f"_v_{x}") + F.pow(F.col(f"_m_{x}") - F.col(f"_mean_{x}"), F.lit(2)))) / F.nullif(F.sum(f"_n_{x}"), F.lit(0))
+    sd = lambda x: F.when(F.max(f"_u_{x}") > F.min(f"_l_{x}"), F.sqrt(spread(x))).otherwise(0.0)
+    return train.groupBy(*keys, "_held").agg(F.array(*(F.first(f"_mean_{x}") for x in features)).alias("_mean"), F.array(*(sd(x) for x in features)).alias("_sd"))
+
+
+def out_of_fold_models(rows: DataFrame, keys: list[str], sample: str, models: list[list[str]], c: float = 1.0, rounds: int = 8) -> DataFrame:
+    """(keys, sample, label, `scores`): out-of-fold probabilities of each of several models, given by their features, on shared folds.
+
+    `rows` (keys, sample, label, fold, n_folds, features) is read several times and should be written. Features are standardised on the training folds; missing ones
+    are at their mean. Rows without label train no weights but get scores; a row whose training folds are empty gets none and is left out."""
+    features = [*dict.fromkeys(f for m in models for f in m)]
+    places = [[features.index(f) for f in m] for m in models]
+    start = _first_fits(_training_scales(rows, keys, features), keys, features, len(models))
+    fits = _fitted(_blocks(rows, keys, features), start, keys, places, len(features), c, rounds)
+    of_fold = fits.select(*keys, F.inline("_fits")).groupBy(*keys, "_held").agg(F.first("_mean").alias("_mean"), F.first("_sd").alias("_sd"), F.array_sort(F.collect_list(F.struct("_model", "_beta"))).alias("_models"))
+    held = rows.join(_written(of_fold.withColumnRenamed("_held", "fold"), "beta"), [*keys, "fold"])
+    s = lambda i: F.get("_sd", F.lit(i))
+    scaled = [F.coalesce(finite(F.col(x)) - F.get("_mean", F.lit(i)), F.lit(0.0)) / F.when(s(i) > 0, s(i)).otherwise(1.0) for i, x in enumerate(features)]
+    held = held.select(*keys, sample, "label", "_models", *(x.alias(f"_x{i}") for i, x in enumerate(scaled)))
+    beta = lambda m, i: F.get(F.get("_models", F.lit(m))["_beta"], F.lit(i))
+    z = lambda m: sum((beta(m, i + 1) * F.col(f"_x{i}") for i in places[m]), beta(m, 0))
+    return held.select(*keys, sample, "label", F.array(*(1.0 / (1.0 + F.exp(-z(m))) for m in range(len(models)))).alias("scores"))
 
 
 def out_of_fold(rows: DataFrame, keys: list[str], sample: str, features: list[str], c: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities of `rows` (keys, sample, label, fold, n_folds, features): features standardised on the training folds."""
-    each = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("n_folds").cast("int") - 1)))
-    by = [*keys, "held"]
-    train = each.where("fold <> held")
-    stats = train.groupBy(*by).agg(*(f(x).alias(f"_{n}_{x}") for x in features for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))
-    scale = lambda df: df.join(stats, by).select(
-        *by, sample, "label", *((F.coalesce(F.col(x) - F.col(f"_m_{x}"), F.lit(0.0)) / F.when(F.col(f"_s_{x}") > 0, F.col(f"_s_{x}")).otherwise(1.0)).alias(x) for x in features)
-    )
-    beta = logistic(scale(train), by, features, c)
-    z = sum((F.get("beta", F.lit(i + 1)) * F.col(x) for i, x in enumerate(features)), F.get("beta", F.lit(0)))
-    return scale(each.where("fold = held")).join(beta, by).select(*keys, sample, "label", (1.0 / (1.0 + F.exp(-z))).alias("score"))
+    """`out_of_fold_models` for one model, with `score`."""
+    return out_of_fold_models(rows, keys, sample, [features], c).select(*keys, sample, "label", F.get("scores", F.lit(0)).alias("score"))
 
 
 def each_model(rows: DataFrame, models: dict[str, list[str]], features: list[str]) -> DataFrame:
     """`rows` for each of several models, with `model`; a feature that a model does not use is 0 there.
 
     A feature that is 0 everywhere gets the weight 0, so `logistic` and `out_of_fold` with `model` among their keys fit all models at
-    once: one scan a round sums for all of them, and folds and standard deviations are shared. Rows are copied in the task that
-    reads them and combined before the shuffle."""
+    once. Rows are copied for each model; `out_of_fold_models` needs no copies."""
     kept = F.array(*(F.struct(F.lit(m).alias("model"), *((F.col(f) if f in used else F.lit(0)).cast("double").alias(f) for f in features)) for m, used in models.items()))
     return rows.select(*(c for c in rows.columns if c not in features), F.inline(kept))
 
