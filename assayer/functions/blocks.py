@@ -52,9 +52,21 @@ def packed(keys: list[str], columns: list[str]) -> Callable[[Iterator[pa.RecordB
 
 def _design(x: np.ndarray, mean: list[float | None], sd: list[float | None]) -> np.ndarray:
     """An intercept and standardised features; missing ones are at the mean, and a feature without spread is centred only."""
-    m = np.array([np.nan if v is None else v for v in mean])
-    s = np.array([v if v is not None and v > 0 else 1.0 for v in sd])
-    return np.vstack([np.ones(x.shape[1]), np.nan_to_num((x - m[:, None]) / s[:, None], nan=0.0, posinf=np.inf, neginf=-np.inf)])
+    out = np.ones((len(x) + 1, x.shape[1]))
+    for i, (m, s) in enumerate(zip(mean, sd, strict=True)):
+        np.subtract(x[i], np.nan if m is None else m, out=out[i + 1])
+        out[i + 1] /= s if s is not None and s > 0 else 1.0
+    gaps = np.isnan(out)
+    if gaps.any():
+        out[gaps] = 0.0
+    return out
+
+
+def _products(x: np.ndarray, at: list[tuple[int, int]]) -> np.ndarray:
+    out = np.empty((len(at), x.shape[1]))
+    for k, (i, j) in enumerate(at):
+        np.multiply(x[i], x[j], out=out[k])
+    return out
 
 
 def fit_sums(keys: list[str], models: list[list[int]], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -71,11 +83,12 @@ def fit_sums(keys: list[str], models: list[list[int]], n: int) -> Callable[[Iter
         fold = np.frombuffer(_column(batch, "_fold")[row].as_buffer(), dtype=np.int32)
         labelled = ~np.isnan(values[n])
         for held, (mean, sd, betas) in fits.items():
-            mine = values[:, labelled & (fold != held)]
+            mine = values.take(np.flatnonzero(labelled & (fold != held)), axis=1)
             x = _design(mine[:n], mean, sd)
-            p = 1.0 / (1.0 + np.exp(-np.clip(np.array([betas[m] for m in range(len(models))]) @ x, -30.0, 30.0)))
+            z = np.array([betas[m] for m in range(len(models))]) @ x
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0, out=z)))
             gradient = (mine[n] - p) @ x.T * used
-            gram = (p * (1.0 - p)) @ (x[left] * x[right]).T * used[:, left] * used[:, right]
+            gram = (p * (1.0 - p)) @ _products(x, at).T * used[:, left] * used[:, right]
             yield held, np.hstack([gradient, gram])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import blocks
-from assayer.operators import numeric
+from assayer.operators import numeric, resampling
 from assayer.plans import QUERIES
 from assayer.plans.deployments import SCORES_SQL
 from assayer.plans.selection import _FOLDS_SQL
@@ -81,6 +81,20 @@ def test_a_round_of_a_fit_reads_blocks_and_copies_no_rows(spark):
     assert len(sums) == 45 and all(abs(n - 1600) < 1e-6 for n in sums.values())
 
 
+def test_a_key_stays_dealt_over_tasks_while_it_gets_folds(spark):
+    rows = spark.range(4000).selectExpr("'k' as k", "id as s", "cast(id % 2 as int) as label")
+    for name, value in (off := {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}).items():
+        spark.conf.set(name, value)
+    try:
+        made = resampling.folds(rows, ["k"], "s", 5, 2, 7)
+        at = {r.at for r in made.select(F.spark_partition_id().alias("at")).distinct().collect()}
+        sizes = {r["count"] for r in made.groupBy("rep", "label", "fold").count().collect()}
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert len(at) > 1 and sizes == {400}
+
+
 def test_blocks_keep_every_sample(monkeypatch):
     monkeypatch.setattr(blocks, "_HELD", 40)
     monkeypatch.setattr(blocks, "_BLOCK", 7)
