@@ -81,18 +81,21 @@ def test_a_round_of_a_fit_reads_blocks_and_copies_no_rows(spark):
     assert len(sums) == 45 and all(abs(n - 1600) < 1e-6 for n in sums.values())
 
 
-def test_a_key_stays_dealt_over_tasks_while_it_gets_folds(spark):
-    rows = spark.range(4000).selectExpr("'k' as k", "id as s", "cast(id % 2 as int) as label")
-    for name, value in (off := {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}).items():
+def test_rows_are_ranked_by_cell_and_not_by_key_for_their_folds(spark):
+    rows = spark.range(4000).selectExpr("concat('k', id % 1) as k", "id as s", "cast(id % 2 as int) as label")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in off.items():
         spark.conf.set(name, value)
     try:
         made = resampling.folds(rows, ["k"], "s", 5, 2, 7)
-        at = {r.at for r in made.select(F.spark_partition_id().alias("at")).distinct().collect()}
-        sizes = {r["count"] for r in made.groupBy("rep", "label", "fold").count().collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        sizes = {(r.rep, r.label, r.fold): r["count"] for r in made.groupBy("rep", "label", "fold").count().collect()}
     finally:
         for name in off:
             spark.conf.unset(name)
-    assert len(at) > 1 and sizes == {400}
+    ranked = next(i for i, line in enumerate(plan) if "Window" in line and "[_h#" in line)
+    assert "_cell#" in next(line for line in plan[ranked:] if "Exchange" in line)
+    assert len(sizes) == 20 and set(sizes.values()) == {400}
 
 
 def test_blocks_keep_every_sample(monkeypatch):
